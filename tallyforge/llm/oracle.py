@@ -39,5 +39,25 @@ FROM drawn
 """
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = rf"""
+WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, row_number() OVER () AS n, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT n, item_id, least(13, len(w)) AS size, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS win
+  FROM item, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS r(i) WHERE len(w) > 0),
+doc AS (SELECT doc_id, row_number() OVER () AS d, {_WORDS} AS w FROM documents),
+seen AS (
+  SELECT d, i, z.size, array_to_string(w[i : i + z.size - 1], ' ') AS win
+  FROM doc, (SELECT DISTINCT size FROM windows) z, unnest(range(1, len(w) - z.size + 2)) AS r(i)),
+found AS (SELECT d, i, seen.size, n, item_id FROM seen JOIN windows USING (size, win)),
+hit AS (SELECT d, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + size)) AS r(p) GROUP BY d),
+owner AS (SELECT d, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT d, n, item_id FROM found) GROUP BY d)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (d) LEFT JOIN owner USING (d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8}
+    return {"op3_benchmark_decontamination": OP3, "op8_mixing": OP8}
