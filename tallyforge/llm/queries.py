@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, language, mixing, quality, secrets, urlfilter
+from tallyforge.llm import decontaminate, htmltext, language, mixing, quality, secrets, urlfilter
 from tallyforge.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
@@ -36,4 +40,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_language_id, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
