@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, htmltext, language, mixing, quality, secrets, urlfilter
+from tallyforge.llm import decontaminate, htmltext, language, mixing, neardup, quality, secrets, urlfilter
 from tallyforge.llm.common import table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,4 +44,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
