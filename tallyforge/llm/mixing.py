@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import Workspace
+
 #: Weights of the sources, by code point of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is used at most so many times over.
@@ -102,18 +104,17 @@ def _cuts(base: DataFrame, goals: DataFrame, keep) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, copies, taken, odds (the rank)."""
-    from tallyforge.llm.common import Workspace
-
-    space = Workspace(docs.sparkSession, "mix")
-    base = space.save(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size_of(F.col("text")).alias("size"),
-            uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
-            F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.md5(F.coalesce("text", F.lit(""))).alias("_hash"),
-        )
+def _base(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size_of(F.col("text")).alias("size"),
+        uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.md5(F.coalesce("text", F.lit(""))).alias("_hash"),
     )
+
+
+def _plan(docs: DataFrame, space, weights: tuple[int, ...], most: int, seed: str, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per source: its goal (target, whole copies, need, p), and the cut of its sample."""
+    base = space.save(_base(docs, seed)) if base is None else base
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     per_copy = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # small tables (a row per source) in files: Catalyst broadcasts them while their size allows it
@@ -123,20 +124,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         .withColumn("p", per_copy - F.col("whole"))
         .select(F.col("source").alias("_source"), "source_size", "target", "whole", "need", "p", F.lit(0).cast("long").alias("_before"))
     )
-    cuts = space.save(_cuts(base, goals.select("_source", "need", "_before").where("need > 0"), space.save))
-    rank = F.struct("u", "_doc", "_hash")
+    return goals, space.save(_cuts(base, goals.select("_source", "need", "_before").where("need > 0"), space.save))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size, source_size, target, copies, taken, odds (the rank)."""
+    space = Workspace(docs.sparkSession, "mix")
+    base = space.save(_base(docs, seed))
+    goals, cuts = _plan(docs, space, weights, most, seed, base)
     u = (F.col("u") + F.lit(0.5)) / F.lit(float(1 << BITS))
     # within a source p is one number, so the odds rise with u and the cut in u is a cut in the odds
     odds = F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    drawn = F.when(F.col("cut").isNotNull(), rank <= F.col("cut")).when(F.col("first").isNotNull(), rank < F.col("first")).otherwise(F.col("need") > 0)
-    limits = cuts.withColumnRenamed("_source", "_cut_source")
     return (
         base.join(goals, base["source"].eqNullSafe(goals["_source"]))
-        .join(limits, F.col("source").eqNullSafe(F.col("_cut_source")), "left")
-        .withColumn("copies", F.col("whole") + drawn.cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), odds.alias("odds"), "u", "_doc", "_hash")
+        .join(cuts.withColumnRenamed("_source", "_cut_source"), F.col("source").eqNullSafe(F.col("_cut_source")), "left")
+        .withColumn("copies", F.col("whole") + _drawn(F.struct("u", "_doc", "_hash")).cast("long"))
+        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), odds.alias("odds"))
     )
 
 
 def op8(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def select_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and size, copies, taken.
+
+    The draw depends on the row alone and on its source's numbers, so it is made where the row lies:
+    no join by document.
+    """
+    space = Workspace(docs.sparkSession, "mix-select")
+    goals, cuts = _plan(docs, space, weights, most, seed)
+    size, u = size_of(F.col("text")), uniform(F.col("doc_id"), F.col("text"), seed)
+    rank = F.struct(u.alias("u"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.md5(F.coalesce("text", F.lit(""))).alias("_hash"))
+    by_source = space.save(goals.join(cuts.withColumnRenamed("_source", "_cut_source"), F.col("_source").eqNullSafe(F.col("_cut_source")), "left").select("_source", "whole", "need", "cut", "first"))
+    joined = docs.withColumn("_rank", rank).join(by_source, F.col("source").eqNullSafe(F.col("_source")))
+    clash = [c for c in ("size", "copies", "taken") if c in docs.columns]
+    out = joined.withColumn("_copies", F.col("whole") + _drawn(F.col("_rank")).cast("long")).withColumn("_size", size).where("_copies * _size > 0")
+    return out.select(*(c for c in docs.columns if c not in clash), F.col("_size").alias("size"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def _drawn(rank: Column) -> Column:
+    return F.when(F.col("cut").isNotNull(), rank <= F.col("cut")).when(F.col("first").isNotNull(), rank < F.col("first")).otherwise(F.col("need") > 0)

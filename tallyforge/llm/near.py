@@ -32,6 +32,8 @@ ROWS, BANDS = 5, 32
 SLACK = 4.0
 #: Ids up to so many are broadcast to pick texts (8 MB); more are joined by a shuffle.
 MOST_IDS = 1_000_000
+#: Buckets of more than one member up to so many are broadcast (32 bytes each); more are joined by a shuffle.
+MOST_BUCKETS = 500_000
 #: Members that meet one another at once, and members that meet one centre in one group.
 BLOCK, MEMBERS = 512, 256
 
@@ -153,10 +155,13 @@ class NearLinks:
         Links within a component are not all looked for; between components none is left out.
         """
         save, drop = self.space.save, self.space.drop
-        bands = save(self._bands(classes))
-        ends = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
-        full = save(bands.join(ends.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).drop("_band"))
-        drop(bands)
+        self.texts = texts
+        bands = self._bands(classes)  # made again where it is read again: cheaper than to keep it
+        ends = save(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo <> hi"))
+        shared = ends.select(F.col("band").alias("_band"), "lo", "hi", "k")
+        shared = F.broadcast(shared) if shared.count() <= MOST_BUCKETS else shared
+        full = save(bands.join(shared, F.col("band") == F.col("_band")).drop("_band"))
+        drop(ends)
         star = lambda c: full.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("x"), F.greatest("id", c).alias("y"), F.col(c).alias("c"))
         # a pair met in several buckets counts once; its centre is the end that is a centre more surely
         pairs = star("lo").union(star("hi")).groupBy("x", "y").agg(F.min("c").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
@@ -204,36 +209,26 @@ class NearLinks:
         both = both.withColumns({"comp_a": F.coalesce("_ca", "a"), "comp_b": F.coalesce("_cb", "b")})
         return both.where("comp_a <> comp_b").select("a", "b", *keep)
 
-    def _blocks(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """(band, id, k, comp) -> likely pairs (a < b, est) across components, each once."""
-        sketch, cut, num, den = self.sketch, self.cut, self.num, self.den
+    def _dealt(self, members: DataFrame, content: DataFrame) -> DataFrame:
+        """Members of buckets with their content (id, ...), one copy for each pair of blocks they are part of."""
         blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
         own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
         rows = members.withColumn("_n", blocks).withColumn("_own", own).select("band", "id", "comp", "_own", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
         rows = rows.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "comp")
-        rows = rows.join(classes.select(F.col("id").alias("_id"), "n", "regs"), F.col("id") == F.col("_id")).select("band", "i", "j", "_own", "id", "comp", "n", "regs")
+        named = content.withColumnRenamed("id", "_id")
+        rows = rows.join(named, F.col("id") == F.col("_id")).select("band", "i", "j", "_own", "id", "comp", *(c for c in content.columns if c != "id"))
         parts = max(int(self.space.spark.conf.get("spark.sql.shuffle.partitions")), 8)
-        rows = rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+        return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-        def group(own, ids, comp, n, regs, cross) -> list[tuple[int, int, float]]:
-            out = []
-            for at in range(len(ids) - 1):
-                rest = np.flatnonzero((comp[at + 1 :] != comp[at]) & (den * np.minimum(n[at + 1 :], n[at]) >= num * np.maximum(n[at + 1 :], n[at]))) + at + 1
-                if cross:
-                    rest = rest[own[rest] != own[at]]
-                if len(rest):
-                    est = sketch.compare(np.full(len(rest), n[at]), regs[at][None], n[rest], regs[rest])
-                    out += [(min(ids[at], ids[r]), max(ids[at], ids[r]), float(e)) for r, e in zip(rest.tolist(), est) if e >= cut]
-            return out
+    @staticmethod
+    def _compared(rows: DataFrame, group: Callable) -> DataFrame:
+        """Runs ``group`` over the rows of each (band, i, j); at most two blocks are in memory at once."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held = None, []
 
             def flush() -> list:
-                if len(held) < 2:
-                    return []
-                own, ids, comp, n, regs = zip(*held)
-                return group(np.array(own), list(ids), np.array(comp), np.array(n), np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), sketch.m), key[1] != key[2])
+                return group(*zip(*held), key[1] != key[2]) if len(held) > 1 else []
 
             def pack(out: list) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "est"])
@@ -250,6 +245,24 @@ class NearLinks:
 
         return rows.mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
+    def _blocks(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """(band, id, k, comp) -> likely pairs (a < b, est) across components, each once."""
+        sketch, cut, num, den = self.sketch, self.cut, self.num, self.den
+
+        def group(own, ids, comp, n, regs, cross) -> list[tuple[int, int, float]]:
+            own, comp, n, out = np.array(own), np.array(comp), np.array(n), []
+            regs = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), sketch.m)
+            for at in range(len(ids) - 1):
+                rest = np.flatnonzero((comp[at + 1 :] != comp[at]) & (den * np.minimum(n[at + 1 :], n[at]) >= num * np.maximum(n[at + 1 :], n[at]))) + at + 1
+                if cross:
+                    rest = rest[own[rest] != own[at]]
+                if len(rest):
+                    est = sketch.compare(np.full(len(rest), n[at]), regs[at][None], n[rest], regs[rest])
+                    out += [(min(ids[at], ids[r]), max(ids[at], ids[r]), float(e)) for r, e in zip(rest.tolist(), est) if e >= cut]
+            return out
+
+        return self._compared(self._dealt(members, classes.select("id", "n", "regs")), group)
+
 
 def pick_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the wanted ids from (id, text): one scan, and a shuffle only for very many ids."""

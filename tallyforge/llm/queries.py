@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, htmltext, language, mixing, neardup, quality, secrets, urlfilter
+from tallyforge.llm import decontaminate, htmltext, language, mixing, neardup, quality, secrets, substring, tokencount, urlfilter
 from tallyforge.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op2(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
@@ -44,4 +52,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
