@@ -212,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_w
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("_s"),
         F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"),
     )
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("_s") / 2 - 1), lambda i: F.struct(F.element_at("_s", (2 * i + 1).cast("int")).alias("a"), F.element_at("_s", (2 * i + 2).cast("int")).alias("b"))))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("_s") / 2 - 1).cast("int")), lambda i: F.struct(F.element_at("_s", (2 * i + 1).cast("int")).alias("a"), F.element_at("_s", (2 * i + 2).cast("int")).alias("b"))))
     merged = F.aggregate(
         pairs, F.array().cast("array<int>"),
         lambda acc, p: F.when((F.size(acc) > 0) & (p["a"] <= F.try_element_at(acc, F.lit(-1))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.try_element_at(acc, F.lit(-1)), p["b"])))).otherwise(F.concat(acc, F.array(p["a"], p["b"]))),
