@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Every byte that is no digit, ASCII letter (after lower-casing) or part of a non-ASCII character
 #: becomes a space; A-Z become a-z.
@@ -84,24 +83,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered up to ``limit`` words; beyond that the memory starts anew."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SEED = np.random.Generator(np.random.PCG64(11))
+#: A random number for each byte, none for white space; and the base that counts its place in the word.
+_BYTE = np.where(_SPACE, np.uint64(0), _SEED.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_BASE = int(_SEED.integers(0, 1 << 62)) * 2 + 1
+_powers = np.ones(1, np.uint64)
 
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _power(n: int) -> np.ndarray:
+    global _powers
+    while len(_powers) < n:
+        step = np.uint64(pow(_BASE, len(_powers), 1 << 64))
+        _powers = np.concatenate((_powers, _powers * step))
+    return _powers
 
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes.
 
-
-def as_long(df: DataFrame, name: str):
-    return F.col(name).cast("long")
+    Hashes are polynomials over the bytes, scrambled; a word's hash depends on the word alone. Long texts
+    are taken in pieces that end at white space, so memory stays bounded.
+    """
+    a = np.frombuffer(raw, np.uint8)
+    piece = 1 << 20
+    if len(a) > 2 * piece:
+        parts, at = [], 0
+        while at < len(raw):
+            stop = min(at + piece, len(raw))
+            while stop < len(raw) and not _SPACE[a[stop]]:
+                stop += 1
+            starts, ends, h = _hashed(a[at:stop])
+            parts.append((starts + at, ends + at, h))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    return _hashed(a)
+
+
+def _hashed(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blank = _SPACE[a]
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    place = np.arange(len(a)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(a)]))))
+    h = np.add.reduceat(_BYTE[a] * _power(int(place.max()) + 1)[place], starts)
+    return starts, ends, mix64(h + (ends - starts).astype(np.uint64))

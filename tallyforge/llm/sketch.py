@@ -10,46 +10,47 @@ from __future__ import annotations
 
 import numpy as np
 
-from tallyforge.llm.common import WordHashes, mix64, space_words
+from tallyforge.llm.common import hashed_words, mix64
 
 #: Base and rate of the scale; registers are 16-bit.
 BASE, RATE = 1.001, 20.0
 TOP = 65_535
 
-_memory = WordHashes()
+_STEPS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words are one shingle, none is empty."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _memory.of(words)
-    size = min(k, len(words))
-    x = np.full(len(words) - size + 1, size, np.uint64)
-    for j in range(size):
-        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j])
-    return np.unique(x)
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word windows, in order; k is 16 at most."""
+    n = len(h) - k + 1
+    x = h[:n] * _STEPS[0]
+    for j in range(1, k):
+        x += h[j : n + j] * _STEPS[j]
+    return mix64(x + np.uint64(k))
 
 
 def shingles_of(text: str | None, k: int) -> np.ndarray:
-    return shingles(space_words(text), k)
+    """Sorted distinct 64-bit hashes of the k-word shingles, A-Z lower-cased; fewer words are one shingle, none is empty."""
+    h = hashed_words(text.encode("utf-8", "surrogatepass").lower())[2] if text else ()
+    return np.unique(windows(h, min(k, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
 
 class SetSketch:
     def __init__(self, rows: int, bands: int, seed: int = 2024):
         self.rows, self.bands, self.m = rows, bands, rows * bands
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.a = rng.integers(0, 1 << 63, self.m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, self.m, dtype=np.uint64) * np.uint64(2)
+        # 32-bit arithmetic: processors multiply eight such numbers at once
+        self.a = rng.integers(0, 1 << 31, self.m, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, self.m, dtype=np.uint32)
         self.mixers = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def registers(self, elements: np.ndarray) -> np.ndarray:
-        low = np.full(self.m, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(elements), 4096):
-            values = self.a[:, None] * elements[None, at : at + 4096]
+        low = np.full(self.m, np.iinfo(np.uint32).max, np.uint32)
+        folded = (elements >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(folded), 1024):  # blocks that stay in the processor's cache
+            values = self.a[:, None] * folded[None, at : at + 1024]
             values += self.b[:, None]
             np.minimum(low, values.min(axis=1), out=low)
-        x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64) / RATE
+        x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / RATE
         return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
     def keys(self, registers: np.ndarray) -> np.ndarray:

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHashes, Workspace, mix64
+from tallyforge.llm.common import Workspace, hashed_words, mix64
 from tallyforge.llm.near import NearLinks
-from tallyforge.llm.sketch import shingles_of
+from tallyforge.llm.sketch import shingles_of, windows
 
 SHINGLE, BANDS = 5, 6
 SENTENCE = 6
@@ -36,47 +36,41 @@ RUN = 15
 #: Tables up to so many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 1_000_000
 
-_ENDS = frozenset(b".!?")
-_hashes = WordHashes()
+_ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def paragraphs(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, and the first and last + 1 word of every paragraph. Together these cover all words."""
-    words: list[bytes] = []
-    starts, stops = [], []
-    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        own = line.split()
-        if not own:
-            continue
-        base, begin, sentence = len(words), 0, 0
-        words += own
-        for i, w in enumerate(own, 1):
-            if w[-1] in _ENDS:
-                if i - sentence >= SENTENCE:
-                    starts.append(base + begin)
-                    stops.append(base + i)
-                    begin = i
-                sentence = i
-        if begin < len(own):
-            starts.append(base + begin)
-            stops.append(base + len(own))
-    return words, np.array(starts, np.int64), np.array(stops, np.int64)
+def paragraphs(text: str | None) -> tuple[bytes, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Lower-cased bytes, words (starts, ends, hashes), and the first and last + 1 word of every paragraph."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    words = hashed_words(raw)
+    n = len(words[0])
+    if not n:
+        return raw, words, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = np.frombuffer(raw, np.uint8)
+    line = np.cumsum(a == 10)[words[0]]
+    line_end = np.append(line[1:] != line[:-1], True)
+    sentence_end = _ENDS[a[words[1] - 1]]
+    stops, sentence = [], 0
+    at = np.flatnonzero(line_end | sentence_end)
+    for i, new_line in zip((at + 1).tolist(), line_end[at].tolist()):
+        if new_line or i - sentence >= SENTENCE:
+            stops.append(i)
+        sentence = i
+    stop = np.array(stops, np.int64)
+    return raw, words, np.concatenate(([0], stop[:-1])), stop
 
 
 def signatures(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the paragraphs of five words or more: start, stop, hash, minima (n, BANDS); A-Z lower-cased."""
-    words, start, stop = paragraphs(text)
+    _, (_, _, h), start, stop = paragraphs(text)
     keep = stop - start >= SHINGLE
     start, stop = start[keep], stop[keep]
     if not len(start):
         return start, stop, np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint32)
-    h = _hashes.of([w.lower() for w in words])
-    x = np.full(len(h) - SHINGLE + 1, SHINGLE, np.uint64)
-    for j in range(SHINGLE):
-        x = mix64(x * _STEP + h[j : len(h) - SHINGLE + 1 + j])
+    x = windows(h, SHINGLE)
     # shingles of paragraph i are those at start[i] .. stop[i] - SHINGLE; every other slice of reduceat is its own
     edges = np.stack([start, stop - SHINGLE + 1], 1).ravel()
     tail = np.iinfo(np.uint64).max
@@ -182,8 +176,8 @@ def clusters(docs: DataFrame, space: Workspace) -> DataFrame:
                 out: list[tuple] = []
                 for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                     start, stop, h, _ = signatures(text)
-                    words = paragraphs(text)[0]
-                    out += [(doc, i, int(x), b" ".join(words[a:b]).decode("utf-8", "surrogatepass")) for i, (a, b, x) in enumerate(zip(start.tolist(), stop.tolist(), h))]
+                    raw, (first, last, _), _, _ = paragraphs(text)
+                    out += [(doc, i, int(x), raw[first[a] : last[b - 1]].decode("utf-8", "surrogatepass")) for i, (a, b, x) in enumerate(zip(start.tolist(), stop.tolist(), h))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["doc", "place", "id", "text"])
 
         pieces = items.join(owners, F.col("id") == F.col("_owner"), "left_semi").mapInArrow(run, "doc long, place int, id long, text string")
