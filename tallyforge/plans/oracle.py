@@ -138,4 +138,6 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from tallyforge.plans.more_oracle import MORE
+
+    return ORACLE | MORE

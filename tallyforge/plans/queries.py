@@ -157,4 +157,6 @@ CHECKS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in CHECKS}
+    from tallyforge.plans.more_queries import MORE
+
+    return {f.__name__: f for f in (*CHECKS, *MORE)}
