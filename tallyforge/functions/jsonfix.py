@@ -8,12 +8,14 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def unwrap(text: Column) -> Column:
     """The object inside thinking marks, prose and code fences."""
-    s = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
-    s = F.trim(F.regexp_replace(s, r"^```[a-zA-Z]*\n?|```$", ""))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    s = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    s = strip(F.regexp_replace(s, r"^```[a-zA-Z]*\n?|```$", ""))
     at = F.locate("{", s)
     return F.when(at > 0, F.substring(s, at, F.length(s))).otherwise(s)
 
@@ -50,7 +52,7 @@ def repair(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repaired(texts: pd.Series) -> pd.Series:
     return texts.map(repair)
 
