@@ -6,7 +6,7 @@
 3. Register likelihood drops pairs that are surely below the threshold; the rest are verified on the
    full sets, each item's best pair first. What is connected already needs no more pairs.
 4. Buckets that still hold more than one component are compared completely, across components only:
-   blocks of registers meet in bounded batches, and only likely pairs come out, to be verified.
+   blocks of members meet by their whole sets, and only links come out.
 
 So no link between different components is lost beyond the recall of the bands (see ROWS, BANDS), and no
 bucket is ever gathered in one task. Tables between the steps are written to the shared folder.
@@ -35,7 +35,7 @@ MOST_IDS = 1_000_000
 #: Buckets of more than one member up to so many are broadcast (32 bytes each); more are joined by a shuffle.
 MOST_BUCKETS = 500_000
 #: Members that meet one another at once, and members that meet one centre in one group.
-BLOCK, MEMBERS = 512, 256
+BLOCK, MEMBERS = 256, 256
 
 
 def _signed(x: int) -> int:
@@ -174,33 +174,16 @@ class NearLinks:
             links = save(links.union(more))
             comp = components(links, self.space)
         # buckets that still hold several components
-        named = full.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("band", "id", "k", F.coalesce("comp", "id").alias("comp"))
-        named = save(named)
+        named = save(full.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("band", "id", F.coalesce("comp", "id").alias("comp")))
         open_ = named.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(F.col("band").alias("_band"))
-        members = named.join(open_, F.col("band") == F.col("_band")).drop("_band")
-        rest = save(self._blocks(members, classes))
-        rest_new = rest.join(likely.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-        # the best pair between an item and another component first, then whatever is still apart
-        for first in (True, False):
-            apart = self._across(rest_new, comp, keep=("comp_a", "comp_b", "est"))
-            if first:
-                apart = apart.groupBy("a", "comp_b").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-            more = self.verify(self._hub(apart.select("a", "b").distinct()), texts)
-            if not more.isEmpty():
-                links = save(links.union(more))
-                comp = components(links, self.space)
-        drop(full, named, likely, rest)
+        members = save(named.join(open_, F.col("band") == F.col("_band")).select("band", "id", "comp"))
+        drop(full, named, likely)
+        more = save(self._blocks(members))
+        if not more.isEmpty():
+            links = save(links.union(more))
+            comp = components(links, self.space)
         return links, comp
 
-    @staticmethod
-    def _hub(pairs: DataFrame) -> DataFrame:
-        """Pairs turned so that a is the end with more pairs."""
-        degree = pairs.select(F.col("a").alias("_i")).union(pairs.select(F.col("b").alias("_i"))).groupBy("_i").agg(F.count("*").alias("_d"))
-        side = lambda x: degree.select(F.col("_i").alias(f"_i{x}"), F.col("_d").alias(f"_d{x}"))
-        both = pairs.join(side("a"), F.col("a") == F.col("_ia")).join(side("b"), F.col("b") == F.col("_ib"))
-        turn = F.col("_da") < F.col("_db")
-        return both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
-
     @staticmethod
     def _across(pairs: DataFrame, comp: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """The pairs whose ends lie in different components."""
@@ -209,30 +192,49 @@ class NearLinks:
         both = both.withColumns({"comp_a": F.coalesce("_ca", "a"), "comp_b": F.coalesce("_cb", "b")})
         return both.where("comp_a <> comp_b").select("a", "b", *keep)
 
-    def _dealt(self, members: DataFrame, content: DataFrame) -> DataFrame:
-        """Members of buckets with their content (id, ...), one copy for each pair of blocks they are part of."""
-        blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
-        rows = members.withColumn("_n", blocks).withColumn("_own", own).select("band", "id", "comp", "_own", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
-        rows = rows.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "comp")
-        named = content.withColumnRenamed("id", "_id")
-        rows = rows.join(named, F.col("id") == F.col("_id")).select("band", "i", "j", "_own", "id", "comp", *(c for c in content.columns if c != "id"))
-        parts = max(int(self.space.spark.conf.get("spark.sql.shuffle.partitions")), 8)
-        return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    def _blocks(self, members: DataFrame) -> DataFrame:
+        """(band, id, comp) of open buckets -> all links (a < b) between members of different components.
 
-    @staticmethod
-    def _compared(rows: DataFrame, group: Callable) -> DataFrame:
-        """Runs ``group`` over the rows of each (band, i, j); at most two blocks are in memory at once."""
+        A bucket's members outside its largest component are its odd ones. Blocks of odd members meet all
+        blocks, BLOCK members each, by their whole sets; the largest component's members never meet one another.
+        """
+        k, num, den = self.k, self.num, self.den
+        sizes = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
+        largest = sizes.groupBy(F.col("band").alias("_band")).agg(F.max_by("comp", F.struct("c", "comp")).alias("_main"), F.max("c").alias("_n_main"), (F.sum("c") - F.max("c")).alias("_n_odd"))
+        blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+        rows = members.join(largest, F.col("band") == F.col("_band")).withColumns({"_odd": blocks("_n_odd"), "_all": blocks("_n_odd") + blocks("_n_main"), "_is_odd": F.col("comp") != F.col("_main")})
+        own = F.when(F.col("_is_odd"), F.pmod(F.xxhash64("id"), F.col("_odd"))).otherwise(F.col("_odd") + F.pmod(F.xxhash64("id"), F.col("_all") - F.col("_odd"))).cast("int")
+        # an odd block meets itself, later odd blocks and the main ones; a block also is met by earlier odd ones
+        meets = F.transform(F.sequence(F.lit(0), F.when(F.col("_is_odd"), F.col("_all")).otherwise(F.col("_odd")) - 1), lambda x: F.struct(F.least(x, F.col("_own")).alias("i"), F.greatest(x, F.col("_own")).alias("j")))
+        rows = rows.withColumn("_own", own).select("band", "id", "comp", "_own", F.explode(meets).alias("m")).select("band", "m.i", "m.j", F.col("_own").alias("own"), "id", "comp")
+        content = self.space.save(self.texts(self.space.save(members.select("id").distinct()))).dropDuplicates(["id"]).withColumnRenamed("id", "_id")
+        parts = max(int(self.space.spark.conf.get("spark.sql.shuffle.partitions")), 8)
+        rows = rows.join(content, F.col("id") == F.col("_id")).select("band", "i", "j", "own", "id", "comp", "text").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+        def compare(own: tuple, ids: tuple, comp: tuple, texts: tuple, crossed: bool) -> list[tuple[int, int]]:
+            sets = [shingles_of(t, k) for t in texts]
+            n = np.array([len(s) for s in sets])
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            own_, comp_ = np.array(own), np.array(comp)
+            there = np.zeros(len(values), bool)
+            out = []
+            for at in range(len(ids) - 1):
+                mine = flat[starts[at] : starts[at] + n[at]]
+                there[mine] = True
+                # elements in common with every later member at once
+                both = np.add.reduceat(there[flat[starts[at + 1] :]], starts[at + 1 :] - starts[at + 1], dtype=np.int64)
+                there[mine] = False
+                fit = (den * both >= num * (n[at + 1 :] + n[at] - both)) & (comp_[at + 1 :] != comp_[at])
+                if crossed:
+                    fit &= own_[at + 1 :] != own_[at]
+                out += [(min(ids[at], ids[x]), max(ids[at], ids[x])) for x in (np.flatnonzero(fit) + at + 1).tolist()]
+            return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held = None, []
-
-            def flush() -> list:
-                return group(*zip(*held), key[1] != key[2]) if len(held) > 1 else []
-
-            def pack(out: list) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "est"])
-
+            flush = lambda: compare(*zip(*held), key[1] != key[2]) if len(held) > 1 else []
+            pack = lambda out: pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
             for batch in batches:
                 out = []
                 for band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -243,35 +245,7 @@ class NearLinks:
                 yield pack(out)
             yield pack(flush())
 
-        return rows.mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
-
-    def _blocks(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """(band, id, k, comp) -> likely pairs (a < b, est) across components, each once."""
-        sketch, cut, num, den = self.sketch, self.cut, self.num, self.den
-
-        def group(own, ids, comp, n, regs, cross) -> list[tuple[int, int, float]]:
-            own, comp, n = np.array(own), np.array(comp), np.array(n)
-            regs = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), sketch.m)
-            left, right = [], []
-            for at in range(len(ids) - 1):
-                fit = (comp[at + 1 :] != comp[at]) & (den * np.minimum(n[at + 1 :], n[at]) >= num * np.maximum(n[at + 1 :], n[at]))
-                if cross:
-                    fit &= own[at + 1 :] != own[at]
-                rest = np.flatnonzero(fit) + at + 1
-                if len(rest):
-                    # the share of equal registers is close to the estimate, and quicker
-                    rest = rest[(regs[rest] == regs[at]).sum(1) >= (cut - 0.05) * sketch.m]
-                    left.append(np.full(len(rest), at))
-                    right.append(rest)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            out = []
-            for lo in range(0, len(a), 4096):
-                i, j = a[lo : lo + 4096], b[lo : lo + 4096]
-                est = sketch.compare(n[i], regs[i], n[j], regs[j])
-                out += [(min(ids[x], ids[y]), max(ids[x], ids[y]), float(e)) for x, y, e in zip(i.tolist(), j.tolist(), est) if e >= cut]
-            return out
-
-        return self._compared(self._dealt(members, classes.select("id", "n", "regs")), group)
+        return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def pick_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

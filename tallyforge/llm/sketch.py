@@ -61,7 +61,7 @@ class SetSketch:
             key = mix64(key * self.mixers[j] + parts[:, :, j])
         return key.view(np.int64)
 
-    def similarity(self, n_a: np.ndarray, n_b: np.ndarray, greater: np.ndarray, less: np.ndarray, steps: int = 40) -> np.ndarray:
+    def similarity(self, n_a: np.ndarray, n_b: np.ndarray, greater: np.ndarray, less: np.ndarray, steps: int = 25) -> np.ndarray:
         """Jaccard similarities of largest joint likelihood, from set sizes and the counts of greater and lesser registers."""
         n_a, n_b = n_a.astype(float), n_b.astype(float)
         u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)

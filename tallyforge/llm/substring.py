@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Workspace, hashed_words, mix64
 from tallyforge.llm.near import NearLinks
-from tallyforge.llm.sketch import shingles_of, windows
+from tallyforge.llm.sketch import windows
 
 SHINGLE, BANDS = 5, 6
 SENTENCE = 6
@@ -130,33 +130,6 @@ class ParagraphLinks(NearLinks):
     def _likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         return pairs.withColumn("est", F.lit(1.0))
 
-    def _blocks(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """Paragraphs are short, so blocks meet by their whole sets: only links come out.
-
-        Two sets of similarity s share one of their first n - ceil(s * n) + 1 elements in any common order.
-        """
-        k, num, den = self.k, self.num, self.den
-        content = self.space.save(self.texts(self.space.save(members.select("id").distinct())))
-
-        def group(own, ids, comp, texts, cross) -> list[tuple[int, int, float]]:
-            first: dict[int, list[int]] = {}
-            sets, out = [], []
-            for at, text in enumerate(texts):
-                s = shingles_of(text, k)
-                sets.append(s)
-                seen: set[int] = set()
-                for x in s[: len(s) - -(-num * len(s) // den) + 1].tolist():
-                    for other in first.setdefault(x, []):
-                        if other not in seen and comp[other] != comp[at] and not (cross and own[other] == own[at]):
-                            seen.add(other)
-                            both = len(np.intersect1d(s, sets[other], assume_unique=True))
-                            if den * both >= num * (len(s) + len(sets[other]) - both):
-                                out.append((min(ids[at], ids[other]), max(ids[at], ids[other]), 1.0))
-                    first[x].append(at)
-            return out
-
-        return self._compared(self._dealt(members, content.dropDuplicates(["id"])), group)
-
 
 def clusters(docs: DataFrame, space: Workspace) -> DataFrame:
     """(h, keep_doc, keep_place, cluster) for the paragraphs that occur twice or more, alike or nearly."""
