@@ -138,6 +138,7 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
+    from tallyforge.plans.document_oracle import DOCUMENTS
     from tallyforge.plans.more_oracle import MORE
 
-    return ORACLE | MORE
+    return ORACLE | MORE | DOCUMENTS

@@ -157,6 +157,7 @@ CHECKS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tallyforge.plans.document_queries import DOCUMENTS
     from tallyforge.plans.more_queries import MORE
 
-    return {f.__name__: f for f in (*CHECKS, *MORE)}
+    return {f.__name__: f for f in (*CHECKS, *MORE, *DOCUMENTS)}
