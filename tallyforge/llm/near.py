@@ -162,6 +162,7 @@ class NearLinks:
         shared = F.broadcast(shared) if shared.count() <= MOST_BUCKETS else shared
         full = save(bands.join(shared, F.col("band") == F.col("_band")).drop("_band"))
         drop(ends)
+        texts = self.texts = self._fetched(full, texts)
         star = lambda c: full.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("x"), F.greatest("id", c).alias("y"), F.col(c).alias("c"))
         # a pair met in several buckets counts once; its centre is the end that is a centre more surely
         pairs = star("lo").union(star("hi")).groupBy("x", "y").agg(F.min("c").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
@@ -192,6 +193,10 @@ class NearLinks:
         both = both.withColumns({"comp_a": F.coalesce("_ca", "a"), "comp_b": F.coalesce("_cb", "b")})
         return both.where("comp_a <> comp_b").select("a", "b", *keep)
 
+    def _fetched(self, full: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        """How texts are got once the members of buckets (``full``) are known."""
+        return texts
+
     def _blocks(self, members: DataFrame) -> DataFrame:
         """(band, id, comp) of open buckets -> all links (a < b) between members of different components.
 

@@ -19,7 +19,7 @@ any other; rows that repeat a doc_id with its text count as one document. Extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Workspace, hashed_words, mix64
 from tallyforge.llm.near import NearLinks
-from tallyforge.llm.sketch import windows
+from tallyforge.llm.sketch import shingles_of, windows
 
 SHINGLE, BANDS = 5, 6
 SENTENCE = 6
@@ -130,42 +130,74 @@ class ParagraphLinks(NearLinks):
     def _likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         return pairs.withColumn("est", F.lit(1.0))
 
+    def _fetched(self, full: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        """Texts of all members are read once; later steps pick from that small table."""
+        content = self.space.save(texts(full.select("id").distinct()))
+        return lambda ids: content.join(_small(ids.select(F.col("id").alias("_wanted"))), F.col("id") == F.col("_wanted"), "left_semi")
 
-def clusters(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(h, keep_doc, keep_place, cluster) for the paragraphs that occur twice or more, alike or nearly."""
+    def _blocks(self, members: DataFrame) -> DataFrame:
+        """A bucket of one band may hold thousands of paragraphs that share a phrase and little else.
+
+        So members of open buckets are dealt anew, by their rarest shingles: two sets of similarity s share
+        one of the first n - ceil(s * n) + 1 elements of each in any common order. Nothing is lost by this.
+        """
+        k, num, den = self.k, self.num, self.den
+        comp = self.space.save(members.groupBy("id").agg(F.max("comp").alias("comp")))
+        content = self.texts(comp.select("id")).dropDuplicates(["id"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [shingles_of(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["id", "x"])
+
+        each = self.space.save(content.select("id", "text").mapInArrow(run, "id long, x long"))
+        often = each.groupBy(F.col("x").alias("_x")).agg(F.count("*").alias("c"))
+        ranked = each.join(often, F.col("x") == F.col("_x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("s"))
+        first = F.size("s") - F.ceil(F.size("s") * F.lit(num) / F.lit(den)).cast("int") + 1
+        dealt = ranked.select(F.col("id").alias("_id"), F.explode(F.slice("s", F.lit(1), first)).alias("e")).where("e.c > 1")
+        dealt = self.space.save(dealt.join(comp, F.col("_id") == F.col("id")).select(F.col("e.x").alias("band"), "id", "comp"))
+        open_ = dealt.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(F.col("band").alias("_band"))
+        return super()._blocks(self.space.save(dealt.join(open_, F.col("band") == F.col("_band")).select("band", "id", "comp")))
+
+
+def clusters(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """All paragraphs (doc, place, h, start, stop, minima), and (h, cluster, keep_doc, keep_place) of those that occur twice or more, alike or nearly."""
     items = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    each = _spans(items)
+    each = space.save(_spans(items))
     classes = space.save(
-        each.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"), F.first("minima").alias("regs"))
+        each.groupBy("h").agg(F.min(F.struct("doc", "place", "start", "stop")).alias("first"), F.max(F.struct("doc", "place", "start", "stop")).alias("last"), F.first("minima").alias("regs"))
     )
     near = ParagraphLinks(space)
 
     def texts(ids: DataFrame) -> DataFrame:
-        want = space.save(classes.join(_small(ids.select(F.col("id").alias("_id"))), F.col("h") == F.col("_id")).select(F.col("h").alias("_h"), F.col("first.doc").alias("_doc"), F.col("first.place").alias("_place")))
-        owners = _small(want.select(F.col("_doc").alias("_owner")).distinct())
+        """(id, text): each paragraph is cut out of the document where it occurs first."""
+        want = classes.join(_small(ids.select(F.col("id").alias("_id"))), F.col("h") == F.col("_id"))
+        by_doc = space.save(want.groupBy(F.col("first.doc").alias("_owner")).agg(F.collect_list(F.struct(F.col("h"), F.col("first.start").alias("start"), F.col("first.stop").alias("stop"))).alias("wanted")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
-                for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    start, stop, h, _ = signatures(text)
-                    raw, (first, last, _), _, _ = paragraphs(text)
-                    out += [(doc, i, int(x), raw[first[a] : last[b - 1]].decode("utf-8", "surrogatepass")) for i, (a, b, x) in enumerate(zip(start.tolist(), stop.tolist(), h))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))], ["doc", "place", "id", "text"])
+                for text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+                    first, last, _ = hashed_words(raw)
+                    pieces = [(w["h"], raw[first[w["start"]] : last[w["stop"] - 1]].decode("utf-8", "surrogatepass")) for w in wanted if w["stop"] <= len(first)]
+                    # of several texts under one doc_id, only the right one has the paragraph there
+                    out += [(h, piece) for h, piece in pieces if h in signatures(piece)[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string()))], ["id", "text"])
 
-        pieces = items.join(owners, F.col("id") == F.col("_owner"), "left_semi").mapInArrow(run, "doc long, place int, id long, text string")
-        return pieces.join(_small(want), (F.col("doc") == F.col("_doc")) & (F.col("place") == F.col("_place")) & (F.col("id") == F.col("_h"))).select("id", "text")
+        return items.join(_small(by_doc, SMALL // 5), F.col("id") == F.col("_owner")).select("text", "wanted").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
 
     _, comp = near.run(classes.select(F.col("h").alias("id"), F.lit(0).cast("long").alias("n"), "regs"), texts)
     named = classes.join(comp, F.col("h") == F.col("id"), "left").select("h", "first", (F.col("first") != F.col("last")).alias("twice"), F.coalesce("comp", "h").alias("cluster"), F.col("comp").isNotNull().alias("linked"))
     named = space.save(named.where("twice or linked"))
     keep = named.groupBy(F.col("cluster").alias("_c")).agg(F.min("first").alias("keep"))
-    return space.save(named.join(keep, F.col("cluster") == F.col("_c")).select("h", "cluster", F.col("keep.doc").alias("keep_doc"), F.col("keep.place").alias("keep_place")))
+    return each, space.save(named.join(keep, F.col("cluster") == F.col("_c")).select("h", "cluster", F.col("keep.doc").alias("keep_doc"), F.col("keep.place").alias("keep_place")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if the table has at most SMALL rows; else a shuffled join serves."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Broadcast if the table has at most ``most`` rows; else a shuffled join serves."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def removals(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -175,9 +207,8 @@ def removals(docs: DataFrame, run: int = RUN) -> DataFrame:
     paragraphs stay.
     """
     space = Workspace(docs.sparkSession, "substring")
-    found = clusters(docs, space)
-    items = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    spans = _spans(items).select("doc", "place", F.col("h").alias("_h"), "start", "stop")
+    each, found = clusters(docs, space)
+    spans = each.select("doc", "place", F.col("h").alias("_h"), "start", "stop")
     extra = spans.join(_small(found), F.col("_h") == F.col("h")).where("doc <> keep_doc or place <> keep_place")
     extra = extra.select("doc", "place", "start", "stop", "keep_doc", "cluster").distinct()
     by_doc = Window.partitionBy("doc").orderBy("place")
