@@ -80,6 +80,12 @@ def signatures(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return start, stop, mix64(order + (stop - start).astype(np.uint64)).view(np.int64), (low >> np.uint64(32)).astype(np.uint32)
 
 
+def _hash(h: np.ndarray) -> int:
+    """A paragraph's hash from those of its words, as in ``signatures``."""
+    order = np.add.reduce(mix64(h + np.arange(len(h), dtype=np.uint64) * _STEP))
+    return int(mix64(np.array([order + np.uint64(len(h))]))[0].view(np.int64))
+
+
 def _spread(start: np.ndarray, stop: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Values and repeats that give each word the start of its paragraph (of kept ones; any number elsewhere)."""
     edges = np.concatenate(([0], start, [n]))
@@ -180,10 +186,10 @@ def clusters(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
                 out: list[tuple] = []
                 for text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                     raw = (text or "").encode("utf-8", "surrogatepass").lower()
-                    first, last, _ = hashed_words(raw)
-                    pieces = [(w["h"], raw[first[w["start"]] : last[w["stop"] - 1]].decode("utf-8", "surrogatepass")) for w in wanted if w["stop"] <= len(first)]
+                    first, last, h = hashed_words(raw)
                     # of several texts under one doc_id, only the right one has the paragraph there
-                    out += [(h, piece) for h, piece in pieces if h in signatures(piece)[2]]
+                    here = [w for w in wanted if w["stop"] <= len(first) and _hash(h[w["start"] : w["stop"]]) == w["h"]]
+                    out += [(w["h"], raw[first[w["start"]] : last[w["stop"] - 1]].decode("utf-8", "surrogatepass")) for w in here]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string()))], ["id", "text"])
 
         return items.join(_small(by_doc, SMALL // 5), F.col("id") == F.col("_owner")).select("text", "wanted").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
