@@ -1,13 +1,15 @@
-"""Main text of web pages: semantic parts first, then templates that a host's pages share.
+"""Main text of web pages: what a host's pages do not share.
 
-A page is parsed into a tree of elements. Elements whose tag, role, id or class marks them as menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like are deleted. What remains is
-the article (``article``, else ``main``), or the whole body where a page marks neither. From it are
-deleted the subtrees of containers that recur across many pages of the host: their hashes (tag,
-attributes, text, children) are counted per host in Spark.
+A page is parsed into a tree of elements. The hashes of all its subtrees (tag, attributes, text, children)
+are counted per host in Spark, over the whole page as it came, and subtrees that recur across many pages of
+the host are deleted. Names are an addition, for hosts of few pages and for parts that change from page to
+page: elements whose tag, role, id or class marks them as menus, headers, footers, sidebars, notices,
+adverts, forms, comments and the like are deleted, and of the rest the article (``article``, else ``main``)
+is taken, or the whole body where a page marks neither. Subtrees are hashed again without the elements
+that names delete, so one that differs only in these is found too.
 
 Inside a marked article single paragraphs and headings are not looked up: an article that quotes what
-others quote stays whole. Outside one, every block is.
+others quote stays whole. Outside one, every block is. A marked article and what is around it stay.
 
 Defined results: null, empty and textless pages have an empty text; a null url belongs to the host ''.
 Identical pages count once in a host's statistics, so a host of copies does not lose its text. Tags that
@@ -40,6 +42,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template svg math head title nav header footer aside form button select option textarea iframe object video audio canvas dialog menu label fieldset".split())
 BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr body html details summary hgroup center".split())
 CONTAINERS = frozenset("div section ul ol dl table aside blockquote figure details address center".split())
+#: Looked up outside a marked article, and inside one.
+OUTSIDE = BLOCKS | CONTAINERS | frozenset("nav header footer form label fieldset dialog menu".split())
+INSIDE = CONTAINERS | frozenset("nav header footer form fieldset dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu|menubar|form)\b""", re.I)
 _HIDDEN = re.compile(r"""(?:\s|^)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
@@ -59,10 +64,10 @@ _P_ENDS = BLOCKS - frozenset("body html".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash")
+    __slots__ = ("tag", "attrs", "kids", "hash", "whole")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.kids, self.hash = tag, attrs, [], None
+        self.tag, self.attrs, self.kids, self.hash, self.whole = tag, attrs, [], None, None
 
 
 def parse(source: str) -> Node:
@@ -158,16 +163,35 @@ def prune(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def hashes(tops: list[Node], marked: bool) -> set[int]:
-    """Hashes of the subtrees that may be templates, as signed 64-bit numbers; sets ``hash`` of those nodes."""
+def marked_articles(root: Node) -> tuple[set[int], set[int]]:
+    """Of the page as it came: ids of the elements that ``prune`` may take as marked articles, and of those around them."""
+    tops, around = set(), set()
+    path: list = [(root, 0)]
+    ancestors: list[Node] = []
+    while path:
+        node, depth = path.pop()
+        del ancestors[depth:]
+        if node.tag in ("article", "main") and not unwanted(node):
+            tops.add(id(node))
+            around |= {id(a) for a in ancestors}
+        ancestors.append(node)
+        path += [(k, depth + 1) for k in node.kids if isinstance(k, Node) and k.kids]
+    return tops, around
+
+
+def hashes(tops: list[Node], inside: bool, articles: tuple[set[int], set[int]]) -> set[int]:
+    """Hashes of the subtrees that may be templates, as signed 64-bit numbers; sets ``hash``, None where it may not be one."""
     out: set[int] = set()
+    marked, around = articles
     for top in tops:
-        order, todo = [], [top]
+        order, todo = [], [(top, inside)]
         while todo:
-            node = todo.pop()
-            order.append(node)
-            todo += [k for k in node.kids if isinstance(k, Node)]
-        for node in reversed(order):  # children before parents
+            node, within = todo.pop()
+            within = within or id(node) in marked
+            order.append((node, within))
+            todo += [(k, within) for k in node.kids if isinstance(k, Node)]
+        values: dict[int, bytes] = {}
+        for node, within in reversed(order):  # children before parents
             h = xxhash.xxh3_64(f"{node.tag}\x00{node.attrs}".encode("utf-8", "surrogatepass"))
             blank = True
             for k in node.kids:
@@ -175,16 +199,35 @@ def hashes(tops: list[Node], marked: bool) -> set[int]:
                     h.update(b"\x01" + " ".join(k.split()).encode("utf-8", "surrogatepass"))
                     blank = blank and not k.strip()
                 else:
-                    h.update(b"\x02" + k.hash.to_bytes(8, "little", signed=True))
+                    h.update(b"\x02" + values[id(k)])
                     blank = False
             value = h.intdigest()
-            node.hash = value - (1 << 64) if value >> 63 else value
-            if node is not top and not blank and (node.tag in CONTAINERS if marked else node.tag in BLOCKS):
+            values[id(node)] = value.to_bytes(8, "little")
+            may = node is not top and not blank and id(node) not in marked and id(node) not in around and node.tag in (INSIDE if within else OUTSIDE)
+            node.hash = (value - (1 << 64) if value >> 63 else value) if may else None
+            if may:
                 out.add(node.hash)
     return out
 
 
-def text_of(tops: list[Node], templates: frozenset[int] | set[int], marked: bool) -> str:
+def parsed(source: str | None) -> tuple[list[Node], bool, set[int]]:
+    """What names leave of a page, whether it is a marked article, and the hashes of all possible templates.
+
+    ``whole`` of a node is its hash in the page as it came, ``hash`` that without what names delete.
+    """
+    root = parse(source or "")
+    articles = marked_articles(root)
+    found = hashes([root], False, articles)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.whole = node.hash
+        todo += [k for k in node.kids if isinstance(k, Node)]
+    tops, marked = prune(root)
+    return tops, marked, found | hashes(tops, marked, articles)
+
+
+def text_of(tops: list[Node], templates: frozenset[int] | set[int]) -> str:
     """Blocks in page order, one a line. Pieces between block boundaries are joined, then white space is closed up."""
     blocks: list[str] = []
     piece: list[str] = []
@@ -204,7 +247,7 @@ def text_of(tops: list[Node], templates: frozenset[int] | set[int], marked: bool
                 end()
             elif isinstance(node, str):
                 piece.append(node)
-            elif templates and node is not top and node.hash in templates and (node.tag in CONTAINERS if marked else node.tag in BLOCKS):
+            elif templates and (node.whole in templates or node.hash in templates):
                 end()
             elif node.tag == "br":
                 piece.append(" ")
@@ -220,17 +263,15 @@ def text_of(tops: list[Node], templates: frozenset[int] | set[int], marked: bool
 
 def page_hashes(source: str | None) -> tuple[int, list[int]]:
     """The page's own hash and those of its possible templates."""
-    tops, marked = prune(parse(source or ""))
-    found = hashes(tops, marked)
+    found = parsed(source)[2]
     own = xxhash.xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass"))
     return own - (1 << 64) if own >> 63 else own, sorted(found)
 
 
 def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    tops, marked = prune(parse(source or ""))
     if templates:
-        hashes(tops, marked)
-    return text_of(tops, templates, marked)
+        return text_of(parsed(source)[0], templates)
+    return text_of(prune(parse(source or ""))[0], templates)
 
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,6 +107,18 @@ def test_site_templates(spark):
     assert got[51].text == "" and got[52].n_chars == 0 and len(got) == len(rows)
 
 
+def test_whole_pages_are_counted(spark):
+    page = lambda i: f"<body><nav><a>Home</a></nav><div class='ad'><p>Buy {i}</p></div><div class='wrap'><article><p>Quoted</p><p>Story {i}</p><div><p>Read on</p></div></article></div><footer>Us</footer></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(8)]
+    d = frame(spark, rows, "page_id long, url string, html string")
+    found = {r.template: r.n for r in htmltext.templates(d).collect() if r.template is not None}
+    one = htmltext.parse(page(1))
+    whole = htmltext.hashes([one], False, htmltext.marked_articles(one))
+    hit = [n.tag for n in one.kids if n.hash in found]
+    assert hit == ["nav", "footer"] and set(found.values()) == {8} and len(found) == 3 and set(found) < whole
+    assert {r.text for r in htmltext.extract_text(d).collect()} == {f"Quoted\nStory {i}" for i in range(8)}
+
+
 # -- secrets
 
 
