@@ -2,17 +2,21 @@
 
 A paragraph is a piece of a line: sentences are taken together until one of SENTENCE words or more ends.
 The rule looks at nothing before, so a passage that stands in the middle of other text is cut into the
-same pieces everywhere (but for its first and last).
+same pieces everywhere (but for its first and last). A paragraph of more than LONG words is also cut where a
+pair of words has the least hash among those up to NEAR words away; this depends on these words alone, so a
+passage without sentence ends, or within a longer sentence, has the same pieces in any surroundings.
 
 1. Every paragraph of five words or more gets a hash and BANDS minima over its five-word shingles (one row a
    band: two paragraphs of similarity 0.8 miss all six with probability 0.2**6 = 6e-5).
 2. Equal paragraphs collapse, by partial minima; different ones that collide in a band are joined, verified
-   by exact Jaccard similarity, and linked (see ``near``); clusters are the components.
+   by exact Jaccard similarity, and linked (see ``near``); clusters are the components. Pieces of long
+   paragraphs match what is equal to them; a word that differs costs the piece it is in.
 3. The first occurrence of a cluster, by doc_id and place, stays. Others are removed where neighbouring ones
-   make up RUN words or more, so stock phrases and short lines stay.
+   make up RUN words or more, so stock phrases and short lines stay. What a piece matches in its own kept
+   paragraph is no repetition.
 
 Defined results: null and empty texts have no paragraphs; a text without line or sentence ends is one
-paragraph; rows with a null doc_id are left alone; a paragraph repeated within a document is removed like
+paragraph with its pieces (none where the same few words, NEAR at most, recur on and on); rows with a null doc_id are left alone; a paragraph repeated within a document is removed like
 any other; rows that repeat a doc_id with its text count as one document. Extra columns pass through
 ``remove``. An empty table gives an empty result.
 """
@@ -33,6 +37,7 @@ from tallyforge.llm.sketch import shingles_of, windows
 SHINGLE, BANDS = 5, 6
 SENTENCE = 6
 RUN = 15
+LONG, NEAR = 16, 4
 #: Tables up to so many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 1_000_000
 
@@ -75,9 +80,38 @@ def signatures(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     edges = np.stack([start, stop - SHINGLE + 1], 1).ravel()
     tail = np.iinfo(np.uint64).max
     low = np.stack([np.minimum.reduceat(np.append(x * a, tail), edges)[::2] for a in _A], 1)
+    return start, stop, _hashes(h, start, stop), (low >> np.uint64(32)).astype(np.uint32)
+
+
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pieces of five words or more of the paragraphs of more than LONG words: start, stop, hash."""
+    _, (_, _, h), start, stop = paragraphs(text)
+    keep = stop - start > LONG
+    start, stop, n = start[keep], stop[keep], len(h)
+    if not len(start):
+        return start, stop, np.zeros(0, np.int64)
+    far = np.full(NEAR, np.iinfo(np.uint64).max)
+    pair = np.concatenate((far, mix64(h + np.concatenate((h[:1], h[:-1])) * _STEP), far))
+    low = pair[NEAR : NEAR + n]
+    least = np.ones(n, bool)
+    for d in range(1, NEAR + 1):
+        least &= (low < pair[NEAR - d : NEAR - d + n]) & (low <= pair[NEAR + d : NEAR + d + n])
+    edge = np.zeros(n + 1, np.int64)
+    edge[start] += 1
+    edge[stop] -= 1
+    within = np.cumsum(edge[:n]) > 0
+    at = np.unique(np.concatenate((np.flatnonzero(least & within), start, stop)))
+    a, b = at[:-1], at[1:]
+    keep = within[a] & (b - a >= SHINGLE) & ~(np.isin(a, start) & np.isin(b, stop))
+    a, b = a[keep], b[keep]
+    return a, b, _hashes(h, a, b) if len(a) else np.zeros(0, np.int64)
+
+
+def _hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of words that follow one another."""
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(*_spread(start, stop, len(h)))
     order = np.add.reduceat(np.append(mix64(h + place * _STEP), np.uint64(0)), np.stack([start, stop], 1).ravel())[::2]
-    return start, stop, mix64(order + (stop - start).astype(np.uint64)).view(np.int64), (low >> np.uint64(32)).astype(np.uint32)
+    return mix64(order + (stop - start).astype(np.uint64)).view(np.int64)
 
 
 def _hash(h: np.ndarray) -> int:
@@ -93,28 +127,32 @@ def _spread(start: np.ndarray, stop: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(id, text) -> a row for each paragraph: doc, place, h, start, stop, minima."""
+    """(id, text) -> a row for each paragraph and piece: doc, h, start, stop, reach, minima (null for pieces).
+
+    ``reach`` is the start of the next paragraph, after which a stretch goes on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids, places, hs, starts, stops, minima = [], [], [], [], [], []
+                ids, hs, starts, stops, reaches, minima = [], [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     start, stop, h, low = signatures(text)
                     if len(h):
-                        ids.append(np.full(len(h), doc))
-                        places.append(np.arange(len(h), dtype=np.int32))
-                        hs.append(h)
-                        starts.append(start.astype(np.int32))
-                        stops.append(stop.astype(np.int32))
-                        minima.append(low)
+                        a, b, piece = pieces(text)
+                        reach = np.append(start[1:], stop[-1:])
+                        at = np.minimum(np.searchsorted(stop, b), len(stop) - 1)
+                        ids.append(np.full(len(h) + len(a), doc))
+                        hs += [h, piece]
+                        starts += [start.astype(np.int32), a.astype(np.int32)]
+                        stops += [stop.astype(np.int32), b.astype(np.int32)]
+                        reaches += [reach.astype(np.int32), np.where(stop[at] == b, reach[at], b).astype(np.int32)]
+                        minima += [*(x.tobytes() for x in low), *[None] * len(a)]
                 if ids:
-                    flat = np.concatenate(minima)
-                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(flat), [None, pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (ids, places, hs, starts, stops)), packed], ["doc", "place", "h", "start", "stop", "minima"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (ids, hs, starts, stops, reaches)), pa.array(minima, pa.binary())], ["doc", "h", "start", "stop", "reach", "minima"])
 
-    return docs.mapInArrow(run, "doc long, place int, h long, start int, stop int, minima binary")
+    return docs.mapInArrow(run, "doc long, h long, start int, stop int, reach int, minima binary")
 
 
 class ParagraphLinks(NearLinks):
@@ -168,11 +206,12 @@ class ParagraphLinks(NearLinks):
 
 
 def clusters(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """All paragraphs (doc, place, h, start, stop, minima), and (h, cluster, keep_doc, keep_place) of those that occur twice or more, alike or nearly."""
+    """All paragraphs and pieces (see ``_spans``), and (h, cluster, keep_doc, keep_start, keep_stop) of those that occur twice or more, alike or nearly."""
     items = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     each = space.save(_spans(items))
     classes = space.save(
-        each.groupBy("h").agg(F.min(F.struct("doc", "place", "start", "stop")).alias("first"), F.max(F.struct("doc", "place", "start", "stop")).alias("last"), F.first("minima").alias("regs"))
+        each.groupBy("h").agg(F.min(F.struct("doc", "start", "stop")).alias("first"), F.max(F.struct("doc", "start", "stop")).alias("last"), F.first("minima", ignorenulls=True).alias("regs"))
+        .where("regs is not null or first <> last")
     )
     near = ParagraphLinks(space)
 
@@ -194,11 +233,11 @@ def clusters(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
 
         return items.join(_small(by_doc, SMALL // 5), F.col("id") == F.col("_owner")).select("text", "wanted").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
 
-    _, comp = near.run(classes.select(F.col("h").alias("id"), F.lit(0).cast("long").alias("n"), "regs"), texts)
+    _, comp = near.run(classes.where("regs is not null").select(F.col("h").alias("id"), F.lit(0).cast("long").alias("n"), "regs"), texts)
     named = classes.join(comp, F.col("h") == F.col("id"), "left").select("h", "first", (F.col("first") != F.col("last")).alias("twice"), F.coalesce("comp", "h").alias("cluster"), F.col("comp").isNotNull().alias("linked"))
     named = space.save(named.where("twice or linked"))
     keep = named.groupBy(F.col("cluster").alias("_c")).agg(F.min("first").alias("keep"))
-    return each, space.save(named.join(keep, F.col("cluster") == F.col("_c")).select("h", "cluster", F.col("keep.doc").alias("keep_doc"), F.col("keep.place").alias("keep_place")))
+    return each, space.save(named.join(keep, F.col("cluster") == F.col("_c")).select("h", "cluster", F.col("keep.doc").alias("keep_doc"), F.col("keep.start").alias("keep_start"), F.col("keep.stop").alias("keep_stop")))
 
 
 def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -214,11 +253,13 @@ def removals(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     space = Workspace(docs.sparkSession, "substring")
     each, found = clusters(docs, space)
-    spans = each.select("doc", "place", F.col("h").alias("_h"), "start", "stop")
-    extra = spans.join(_small(found), F.col("_h") == F.col("h")).where("doc <> keep_doc or place <> keep_place")
-    extra = extra.select("doc", "place", "start", "stop", "keep_doc", "cluster").distinct()
-    by_doc = Window.partitionBy("doc").orderBy("place")
-    island = extra.withColumn("_i", F.col("place") - F.row_number().over(by_doc))
+    spans = each.select("doc", F.col("h").alias("_h"), "start", "stop", "reach")
+    extra = spans.join(_small(found), F.col("_h") == F.col("h")).where("doc <> keep_doc or start >= keep_stop")
+    extra = extra.select("doc", "start", "stop", "reach", "keep_doc", "cluster").distinct()
+    by_doc = Window.partitionBy("doc").orderBy("start", "stop")
+    before = F.max("reach").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = extra.withColumn("_new", F.when(F.col("start") <= before, 0).otherwise(1))
+    island = fresh.withColumn("_i", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return (
         island.groupBy("doc", "_i").agg(
             F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.array_sort(F.collect_set("keep_doc")).alias("keep_docs"), F.array_sort(F.collect_set("cluster")).alias("clusters"),

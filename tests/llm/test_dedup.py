@@ -145,6 +145,30 @@ def test_substring_finds_passages_anywhere(spark):
     assert substring.removals(d.limit(0)).count() == 0
 
 
+def test_passages_without_sentence_ends(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    shared, twice, long = [words(50) for _ in range(6)], words(60), words(2000)
+    rows = [(i, " ".join(words(40) + shared[i % 6] + words(35))) for i in range(18)]
+    rows += [(30, " ".join(words(30) + twice + words(30) + twice)), (40, " ".join(long)), (41, " ".join(words(300) + long + words(300)))]
+    sentences = " ".join(words(29) + ["end."] + words(29) + ["end."])
+    rows += [(50, sentences), (51, " ".join(words(20)) + f" {sentences} " + " ".join(words(20)) + ".")]
+    got = substring.removals(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {*range(6, 18), 30, 41, 51}
+    text = {i: t.split() for i, t in rows}
+    for r in got:
+        cut = text[r.doc_id][r.start_word : r.end_word]
+        kept = " ".join(text[r.keep_docs[0]])
+        assert r.n_words >= 15 and " ".join(cut) in kept and r.keep_docs == [{30: 30, 41: 40, 51: 50}.get(r.doc_id, r.doc_id % 6)]
+    assert [r.n_words > 1900 for r in got if r.doc_id == 41] == [True]
+    found = 0
+    for _ in range(300):  # a passage of 50 words in two surroundings
+        p = words(50)
+        one, two = ({h: b - a for a, b, h in zip(*substring.pieces(" ".join(words(30) + p + words(30))))} for _ in range(2))
+        found += sum(n for h, n in one.items() if h in two) >= substring.RUN
+    assert found >= 294
+
+
 def test_near_paragraphs_are_linked(spark):
     rng = random.Random(8)
     line = [f"l{rng.randrange(10**6)}" for _ in range(70)]
