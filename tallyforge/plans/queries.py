@@ -14,6 +14,8 @@ from tallyforge.plans.bills import bill_lines, bills, table
 
 #: The day on which rules look at dates.
 AS_OF = datetime.date(1998, 6, 1)
+#: A limit above the longest text.
+ALL = 2**31 - 1
 
 
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +134,7 @@ def id_confidence(spark, sf):
 
 def scrub_text(spark, sf):
     raw = F.concat(F.col("text"), F.lit(" api_key = zz"), F.col("conv_id"), F.lit(" Bearer abc sk-"), F.col("conv_id"), F.lit("12345678"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", S.scrub(F.right(raw, F.lit(120))).alias("scrubbed"), S.mask_key(F.col("text")).alias("masked"), S.slugify(F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.scrub(raw, ALL).alias("scrubbed"), S.mask_key(F.col("text")).alias("masked"), S.slugify(F.col("text")).alias("slug"))
 
 
 def redact(spark, sf):
