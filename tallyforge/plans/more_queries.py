@@ -149,7 +149,7 @@ def props_json(spark, sf):
 
 def ai_guard(spark, sf):
     url = F.when(F.col("doc_id") % 3 == 0, F.lit("http://localhost:11434")).otherwise(F.lit("https://api.example.com"))
-    return pages.guard(table(spark, sf, "documents").select("doc_id", "text"), url, redact=False, cap=500).select("doc_id", "allowed", "prepared", "note")
+    return pages.guard(table(spark, sf, "documents").select("doc_id", "text"), url).select("doc_id", "allowed", "prepared", "note")
 
 
 MORE = (

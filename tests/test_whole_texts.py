@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import queries
+from pyspark.sql import functions as F
+
+from tallyforge.operators import pages
+from tallyforge.plans import more_queries, queries
 
 
 def put(spark, folder, name, rows, schema):
@@ -17,3 +20,15 @@ def test_scrub_text_sees_the_whole_turn(spark, tmp_path):
     assert got[7].scrubbed == "[REDACTED] " + "word " * 300 + "[REDACTED] end [REDACTED] [REDACTED] [REDACTED]"
     assert got[7].slug == "api_key_abc123_" + "word_" * 300 + "sk_abcdefgh99_end"
     assert got[8].slug == "hi_there" and got[8].scrubbed == "Hi there [REDACTED] [REDACTED] [REDACTED]"
+
+
+def test_ai_guard_redacts_whole_texts(spark, tmp_path):
+    words = "word " * 300
+    mail = f"{words}a.b@example.com end"
+    sf = put(spark, tmp_path, "documents", [(1, mail), (3, mail), (4, "word " * 12_001), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in more_queries.ai_guard(spark, sf).collect()}
+    assert (got[1].prepared, got[1].note) == (f"{words}[EMAIL] end", "redacted 1 personal/banking identifier(s)")
+    assert (got[3].prepared, got[3].note) == (mail, "")  # a local model
+    assert (len(got[4].prepared), got[4].note) == (60_000, "truncated to 60000 characters")
+    small = pages.guard(spark.createDataFrame([("mail a@b.cd now",)], "text string"), F.lit("https://api.example.com"), cap=9).collect()[0]
+    assert (small.prepared, small.note) == ("mail [EMA", "redacted 1 personal/banking identifier(s); truncated to 9 characters")
