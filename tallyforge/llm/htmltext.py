@@ -16,8 +16,10 @@ Identical pages count once in a host's statistics, so a host of copies does not
 are never closed end with the page; end tags without a start are ignored. Repeated rows are treated alike.
 Extra columns are ignored. An empty table gives an empty result.
 
-A host's templates are few: each is on at least SHARE of its pages, so there are at most
-(containers of a page) / SHARE of them.
+A subtree is a template by an absolute number of different pages, however large the host is. Short single
+blocks (a cell, an item, a heading of fewer than WORDS words) may be content that recurs by chance, so they
+need MANY pages, or on a small host SHARE of its pages. Templates meet pages by (host, hash); what one
+page gets is bounded by its own subtrees, not by those of its host.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import Workspace
 from tallyforge.llm.urlfilter import parts
 
-#: A subtree is a template if it is on so many different pages of its host, and on this share of them.
-PAGES, SHARE = 5, 0.2
+#: A subtree is a template if it is on so many different pages of its host.
+PAGES = 5
+#: A block of fewer words that is no container: if it is on so many pages, or on PAGES and this share of them.
+WORDS, MANY, SHARE = 8, 100, 0.2
+#: Tables up to so many rows are broadcast; larger ones are joined by a shuffle.
+SMALL = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of their own, or with text that is no prose.
@@ -180,7 +186,10 @@ def marked_articles(root: Node) -> tuple[set[int], set[int]]:
 
 
 def hashes(tops: list[Node], inside: bool, articles: tuple[set[int], set[int]]) -> set[int]:
-    """Hashes of the subtrees that may be templates, as signed 64-bit numbers; sets ``hash``, None where it may not be one."""
+    """Hashes of the subtrees that may be templates, as signed 64-bit numbers; sets ``hash``, None where it may not be one.
+
+    Those of short blocks are odd, all others even.
+    """
     out: set[int] = set()
     marked, around = articles
     for top in tops:
@@ -191,18 +200,22 @@ def hashes(tops: list[Node], inside: bool, articles: tuple[set[int], set[int]])
             order.append((node, within))
             todo += [(k, within) for k in node.kids if isinstance(k, Node)]
         values: dict[int, bytes] = {}
+        words: dict[int, int] = {}
         for node, within in reversed(order):  # children before parents
             h = xxhash.xxh3_64(f"{node.tag}\x00{node.attrs}".encode("utf-8", "surrogatepass"))
-            blank = True
+            blank, n = True, 0
             for k in node.kids:
                 if isinstance(k, str):
+                    n += len(k.split())
                     h.update(b"\x01" + " ".join(k.split()).encode("utf-8", "surrogatepass"))
                     blank = blank and not k.strip()
                 else:
+                    n += words[id(k)]
                     h.update(b"\x02" + values[id(k)])
                     blank = False
             value = h.intdigest()
-            values[id(node)] = value.to_bytes(8, "little")
+            values[id(node)], words[id(node)] = value.to_bytes(8, "little"), n
+            value = value & ~1 | (n < WORDS and node.tag not in INSIDE)
             may = node is not top and not blank and id(node) not in marked and id(node) not in around and node.tag in (INSIDE if within else OUTSIDE)
             node.hash = (value - (1 << 64) if value >> 63 else value) if may else None
             if may:
@@ -261,11 +274,9 @@ def text_of(tops: list[Node], templates: frozenset[int] | set[int]) -> str:
     return "\n".join(blocks)
 
 
-def page_hashes(source: str | None) -> tuple[int, list[int]]:
-    """The page's own hash and those of its possible templates."""
-    found = parsed(source)[2]
-    own = xxhash.xxh3_64_intdigest((source or "").encode("utf-8", "surrogatepass"))
-    return own - (1 << 64) if own >> 63 else own, sorted(found)
+def page_hashes(source: str | None) -> list[int]:
+    """The hashes of the page's possible templates."""
+    return sorted(parsed(source)[2])
 
 
 def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -276,46 +287,61 @@ def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [page_hashes(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["host", "page", "found"])
+        found = [page_hashes(x) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "found"])
 
 
 def _host():
     return parts(F.col("url"))[0]
 
 
+def _key():
+    """What tells the different pages of a host apart."""
+    return F.xxhash64(F.coalesce("html", F.lit("")))
+
+
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, found): the possible templates of each different page."""
+    seen = pages.select(_host().alias("host"), _key().alias("page"), "html").mapInArrow(_hash_pages, "host string, page long, found array<long>")
+    return seen.groupBy("host", "page").agg(F.first("found").alias("found"))
+
+
 def templates(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """(host, template, n): subtrees on at least ``least`` different pages of the host; template null counts its pages.
 
     Counts are summed before the shuffle, by host and hash, so a large host is no large task.
     """
-    seen = pages.select(_host().alias("host"), "html").mapInArrow(_hash_pages, "host string, page long, found array<long>")
-    each = seen.groupBy("host", "page").agg(F.first("found").alias("found"))
+    return _counted(_subtrees(pages), least)
+
+
+def _counted(each: DataFrame, least: int) -> DataFrame:
     counted = each.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "found")).alias("template")).groupBy("host", "template").agg(F.count("*").alias("n"))
     return counted.where((F.col("n") >= least) | F.col("template").isNull())
 
 
-def extract_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """One row for each row of ``pages``: page_id, url, text, n_chars, n_templates (of the host)."""
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Broadcast if the table has at most ``most`` rows; else a shuffled join serves."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def extract_text(pages: DataFrame, least: int = PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """One row for each row of ``pages``: page_id, url, text, n_chars."""
     space = Workspace(pages.sparkSession, "html")
-    counted = space.save(templates(pages, least))
-    totals = counted.where("template is null").select("host", F.col("n").alias("total"))
-    often = counted.where("template is not null").join(totals, "host").where(F.col("n") >= share * F.col("total"))
-    by_host = space.save(often.groupBy(F.col("host").alias("_host")).agg(F.collect_set("template").alias("_templates")))
+    each = space.save(_subtrees(pages))
+    counted = space.save(_counted(each, least))
+    totals = counted.where("template is null").select(F.col("host").alias("_host"), F.col("n").alias("total"))
+    sure = (F.col("template").bitwiseAND(F.lit(1).cast("long")) == 0) | (F.col("n") >= many) | (F.col("n") >= share * F.col("total"))
+    often = space.save(counted.where("template is not null").join(totals, F.col("host") == F.col("_host")).where(sure).select(F.col("host").alias("_host"), F.col("template").alias("_template")))
+    met = each.select("host", "page", F.explode("found").alias("template")).join(_small(often), (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")))
+    by_page = space.save(met.groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_set("template").alias("_templates")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[int]] = {}
         for batch in batches:
-            texts = []
-            for source, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if found and tuple(found) not in known:
-                    known.clear()
-                    known[tuple(found)] = frozenset(found)
-                texts.append(extract(source, known[tuple(found)] if found else frozenset()))
+            texts = [extract(source, frozenset(found or ())) for source, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("_h"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("_h"), _key().alias("_p"))
     return (
-        rows.join(by_host, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "_templates")
+        rows.join(_small(by_page, SMALL // 5), (F.col("_h") == F.col("_host")) & (F.col("_p") == F.col("_page")), "left").select("page_id", "url", "html", "_templates")
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
     )

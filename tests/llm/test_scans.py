@@ -119,6 +119,16 @@ def test_whole_pages_are_counted(spark):
     assert {r.text for r in htmltext.extract_text(d).collect()} == {f"Quoted\nStory {i}" for i in range(8)}
 
 
+def test_blocks_of_a_part_of_a_large_host_are_templates(spark):
+    block = lambda i: f"<div class='q{i % 13}'><p>Section {i % 13} of our site</p></div>" if i < 130 else ""
+    page = lambda i: f"<body>{block(i)}<p>Story {i} is here</p>{'<table><tr><td>salt</td><td>' + str(i) + ' g</td></tr></table>' if i % 20 == 0 else ''}</body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(400)]
+    rows += [(1000 + i, f"http://b.example/{i}", f"<body><h2>{'More on this' if i % 6 == 0 else f'About {i}'}</h2><p>Tale {i}</p></body>") for i in range(900)]
+    got = {r.page_id: r.text for r in htmltext.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is here" + (f"\nsalt\n{i} g" if i % 20 == 0 else "") for i in range(400))
+    assert all(got[1000 + i] == (f"Tale {i}" if i % 6 == 0 else f"About {i}\nTale {i}") for i in range(900))
+
+
 # -- secrets
 
 
