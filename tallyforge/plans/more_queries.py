@@ -16,12 +16,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scanned_flag(spark, sf):
-    short = _docs(spark, sf).withColumn("text", F.when(F.col("doc_id").cast("long") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")))
-    return pages.scanned(short).select("doc_id", F.col("n_content").cast("long").alias("n_content"), "n_pages", "scanned")
+    return pages.scanned(_docs(spark, sf)).select("doc_id", F.col("n_content").cast("long").alias("n_content"), "n_pages", "scanned")
 
 
 def page_source(spark, sf):
-    return pages.page_source(_docs(spark, sf).withColumn("text", F.when(F.col("page_no") % 2 == 0, F.substring("text", 1, 30)).otherwise(F.col("text")))).select("doc_id", "page_no", "page_source")
+    return pages.page_source(_docs(spark, sf)).select("doc_id", "page_no", "page_source")
 
 
 def ocr_tag(spark, sf):
@@ -102,7 +101,7 @@ def carry_forward(spark, sf):
 
 def continuation_merge(spark, sf):
     lines = pages.text_lines(table(spark, sf, "documents"))
-    rows = lines.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("line_no").alias("row_no"), F.create_map(F.lit("description"), F.substring("text", 1, 20), F.lit("amount"), F.when(F.length("text") % 3 == 0, F.length("text").cast("string")).otherwise("")).alias("cols"))
+    rows = lines.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("line_no").alias("row_no"), F.create_map(F.lit("description"), F.col("text"), F.lit("amount"), F.when(F.length("text") % 3 == 0, F.length("text").cast("string")).otherwise("")).alias("cols"))
     return tables.merge_continuations(rows).select("doc_id", "row_no", F.try_element_at("cols", F.lit("description")).alias("description"), F.try_element_at("cols", F.lit("amount")).alias("amount"))
 
 

@@ -32,3 +32,18 @@ def test_ai_guard_redacts_whole_texts(spark, tmp_path):
     assert (len(got[4].prepared), got[4].note) == (60_000, "truncated to 60000 characters")
     small = pages.guard(spark.createDataFrame([("mail a@b.cd now",)], "text string"), F.lit("https://api.example.com"), cap=9).collect()[0]
     assert (small.prepared, small.note) == ("mail [EMA", "redacted 1 personal/banking identifier(s); truncated to 9 characters")
+
+
+def test_labels_pages_and_rows_of_whole_texts(spark, tmp_path):
+    head, tail = "Some words before " * 5, "a & b <c> Total:"
+    texts = {0: head + tail, 1: "short", 2: "", 3: "n" * 45 + " " + "m" * 45, 4: "x" * 100}
+    sf = put(spark, tmp_path, "documents", [(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    labels = {r.doc_id: r for r in queries.clean_labels(spark, sf).collect()}
+    assert labels[0].label == f"{head}a & b <c> total".lower() and labels[0].xml == f"{head}a &amp; b &lt;c&gt; Total:"
+    assert labels[0].undoubted == head + tail and labels[0].filename == f"{head}a & b _c_ Total_.pdf"
+    flag = more_queries.scanned_flag(spark, sf).collect()
+    assert [(r.n_content, r.n_pages, r.scanned) for r in flag] == [(sum(c.isalnum() for t in texts.values() for c in t), 5, False)]
+    source = {r.page_no: r.page_source for r in more_queries.page_source(spark, sf).collect()}
+    assert source == {1: "native", 2: "ocr", 3: "ocr", 4: "native", 5: "native"}
+    merged = {r.doc_id: r.description for r in more_queries.continuation_merge(spark, sf).collect()}
+    assert merged["0"] == head + tail and merged["3"] == texts[3]
