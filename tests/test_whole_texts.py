@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import pages
+from tallyforge.operators import exports, pages
 from tallyforge.plans import more_queries, queries
 
 
@@ -47,3 +47,17 @@ def test_labels_pages_and_rows_of_whole_texts(spark, tmp_path):
     assert source == {1: "native", 2: "ocr", 3: "ocr", 4: "native", 5: "native"}
     merged = {r.doc_id: r.description for r in more_queries.continuation_merge(spark, sf).collect()}
     assert merged["0"] == head + tail and merged["3"] == texts[3]
+
+
+def test_bill_export_has_all_lines(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    got = more_queries.bill_export_rows(spark, sf)
+    assert got.where("pos is not null").count() == lines.count() == got.count()
+
+
+def test_bill_without_lines_is_one_empty_row(spark):
+    bills = more_queries._invoices(spark, "/root/testdata/sf0.001").limit(1)
+    none = spark.createDataFrame([], "doc_id string, pos int, cols map<string,string>")
+    rows = exports.bill_rows(bills, none).collect()
+    assert len(rows) == 1 and rows[0].item_description == "" and rows[0].amount == ""
