@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Every byte that is no digit, ASCII letter (after lower-casing) or part of a non-ASCII character
 #: becomes a space; A-Z become a-z.
@@ -35,10 +36,13 @@ def alnum_words(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local session, as in tests) a folder of our own is set.
+    Only where the setting is absent in a local session, as in tests, a folder of our own is set. On a
+    cluster a folder of the driver's machine would be of no use to the executors: that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -72,6 +76,22 @@ class Workspace:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def private(name: str, *dfs: DataFrame) -> str:
+    """``name``, or the first longer one that none of the tables has."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast if the (written) table has at most ``most`` rows; else a shuffled join serves.
+
+    Callers choose ``most`` for the width of their rows, so that what is broadcast stays below some 64 MB.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
