@@ -11,7 +11,7 @@ from tallyforge.llm.common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.op1(table(spark, sf_dir, "documents"))
+    return tokencount.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
