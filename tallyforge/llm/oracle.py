@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from tallyforge.llm import mixing
 
+_A = [weight for _, weight in mixing.LENGTHS]
+_M = mixing.MOST_COPIES
+_CLASS = " + ".join(f"(size >= {least})::INT" for least, _ in mixing.LENGTHS)
+#: Expected copies by length class, from target and the words s[1], s[2], s[3] of the classes.
+_LAMBDA = f"""
+  SELECT *, w3 IS NULL OR {_M} * w3 <= {_A[2]} * target AS full3 FROM (
+    SELECT *, ({_A[0]} * s[1] + {_A[1]} * s[2] + {_A[2]} * s[3])::DOUBLE AS w3, ({_A[0]} * s[1] + {_A[1]} * s[2])::DOUBLE AS w2, ({_A[0]} * s[1])::DOUBLE AS w1,
+      target - {_M} * s[3] AS rest2, target - {_M} * s[3] - {_M} * s[2] AS rest1
+    FROM goals)"""
+
 OP8 = rf"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -12,6 +22,7 @@ WITH base AS (
   FROM documents),
 sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size,
+    [{", ".join(f"sum(CASE WHEN {_CLASS} = {k + 1} THEN size ELSE 0 END)::BIGINT" for k in range(len(_A)))}] AS s,
     [{", ".join(map(str, mixing.WEIGHTS))}][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::BIGINT AS w
   FROM base GROUP BY source),
 filled AS (
@@ -23,19 +34,30 @@ filled AS (
 level AS (
   SELECT rest, rest_w FROM filled WHERE NOT (cap::DOUBLE * rest_w <= w::DOUBLE * rest) ORDER BY cap::DOUBLE / w, source ASC NULLS LAST LIMIT 1),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, s,
     CASE WHEN cap::DOUBLE * f.rest_w <= w::DOUBLE * f.rest OR l.rest IS NULL THEN cap::DOUBLE ELSE (w::DOUBLE * l.rest) / l.rest_w END AS target
   FROM filled f LEFT JOIN level l ON true),
-ranked AS (
-  SELECT b.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS whole,
-    sum(b.size) OVER (PARTITION BY b.source ORDER BY u, d, h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    sum(b.size) OVER (PARTITION BY b.source, u, d, h) AS own
-  FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source),
+one AS ({_LAMBDA}),
+two AS (SELECT *, full3 AND {_M} * w2 <= {_A[1]} * rest2 AS full2 FROM one),
+three AS (SELECT *, full2 AND {_M} * w1 <= {_A[0]} * rest1 AS full1 FROM two),
+four AS (
+  SELECT *, CASE WHEN NOT full3 AND w3 > 0 THEN target / w3 WHEN full3 AND NOT full2 AND w2 > 0 THEN rest2 / w2 WHEN full2 AND NOT full1 AND w1 > 0 THEN rest1 / w1 END AS t
+  FROM three),
+five AS (
+  SELECT source, source_size, target, s,
+    [{", ".join(f"CASE WHEN full{k + 1} OR t IS NULL THEN {_M}::DOUBLE ELSE least({_M}::DOUBLE, {_A[k]} * t) END" for k in range(3))}] AS lam FROM four),
+six AS (SELECT *, target - (floor(lam[1]) * s[1] + floor(lam[2]) * s[2] + floor(lam[3]) * s[3]) AS need FROM five),
 drawn AS (
-  SELECT *, (target - whole * source_size) AS need FROM ranked)
+  SELECT b.*, g.source_size, g.target, g.need, floor(lam[{_CLASS}]) AS whole, lam[{_CLASS}] - floor(lam[{_CLASS}]) AS p, (u + 0.5::DOUBLE) / {float(1 << mixing.BITS)}::DOUBLE AS x
+  FROM base b JOIN six g ON b.source IS NOT DISTINCT FROM g.source),
+placed AS (SELECT *, CASE WHEN p > 0 THEN floor(x * (1 - p) / (x * (1 - p) + (1 - x) * p) * {float(1 << mixing.BITS)}::DOUBLE) END AS r FROM drawn),
+ranked AS (
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY r NULLS LAST, d, h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(size) OVER (PARTITION BY source, r, d, h) AS own
+  FROM placed)
 SELECT doc_id, size, source_size, target,
-  ((whole + CASE WHEN need > 0 AND 2 * upto - own <= 2 * need THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM drawn
+  ((whole + CASE WHEN p > 0 AND need > 0 AND 2 * upto - own <= 2 * need THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM ranked
 """
 
 
