@@ -3,10 +3,15 @@
 Every line of a text gets a feature vector; a two-label chain (content, boilerplate) is decoded with
 Viterbi; the share of words in content lines decides whether the document is kept.
 
+Labels are known for documents, not for lines. Lines of good documents count as content. A line of a bad one
+is boilerplate if its own features say so (by a model of single lines, learned from the documents'
+labels), and such lines make up BAD_SHARE of the document's words at least, the likeliest first. So a bad
+document's plain lines are content, and the chain learns where one kind follows the other.
+
 Defined results: a null or empty text has no words and fails the base rules; a text whose lines are
 all blank likewise. Repeated rows are judged alike, each on its own. Extra columns pass through
-``keep_documents`` untouched; ``judge`` returns only its own columns, so names never clash. An empty
-table gives an empty result; with no labels, or labels of one class, the weights of ``PRIOR`` hold.
+``keep_documents`` untouched; ``judge`` returns only its own columns, so names never clash. Texts are
+measured whole, in linear time; memory is some hundred bytes a line. An empty table gives an empty result; with no labels, or labels of one class, the weights of ``PRIOR`` hold.
 """
 
 from __future__ import annotations
@@ -19,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the field is fitted on, and their longest text in characters.
-TRAIN_DOCS, TRAIN_CHARS = 2_000, 12_000
+#: The field is fitted on so many chains of labelled documents, of so many lines at most; a longer document is several chains.
+TRAIN_CHAINS, CHAIN_LINES = 2_000, 128
+#: Words of a bad document that its boilerplate lines have in training, at least.
+BAD_SHARE = 0.5
 #: Least share of a kept document's words in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -150,41 +157,57 @@ def viterbi(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return labels
 
 
-def fit(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.3, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights that maximise the labels' likelihood, by forward-backward gradients and Adam.
 
-    ``chains`` holds (features, label) per document: all lines of a document carry its label.
+    ``chains`` holds (features, label of each line) per document.
     """
     chains = [c for c in chains if len(c[0])]
-    if len({y for _, y in chains}) < 2:
+    if len({y for _, own in chains for y in own.tolist()}) < 2:
         return PRIOR
-    longest, n = max(len(x) for x, _ in chains), len(chains)
-    lengths = np.array([len(x) for x, _ in chains])
-    order = np.argsort(-lengths, kind="stable")
-    chains, lengths = [chains[i] for i in order], lengths[order]
-    gold = np.array([y for _, y in chains], float)
-    flat = np.concatenate([x for x, _ in chains])
-    offset = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    live = [int((lengths > t).sum()) for t in range(longest)]
-    weight = 1 / n / lengths  # each document weighs the same, whatever its number of lines
-    w, trans = np.zeros(flat.shape[1]), np.zeros((2, 2))
+    chains = sorted(chains, key=lambda c: -len(c[0]))
+    w, trans = np.zeros(chains[0][0].shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
+    data = _Stacked(chains)
     for step in range(1, rounds + 1):
-        e = flat @ w
-        fwd = np.zeros((len(flat), 2))
-        for t in range(longest):
-            k = live[t]
+        _, g_w, g_t = data.gradient(w, trans, ridge)
+        g = np.concatenate([g_w, g_t.ravel()])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, trans = w + move[: len(w)], trans + move[len(w) :].reshape(2, 2)
+    return w, trans
+
+
+class _Stacked:
+    """Chains, longest first, end to end; a step works on one line of every chain that is long enough."""
+
+    def __init__(self, chains: list[tuple[np.ndarray, np.ndarray]]):
+        self.lengths = np.array([len(x) for x, _ in chains])
+        self.flat, self.gold = np.concatenate([x for x, _ in chains]), np.concatenate([y for _, y in chains]).astype(int)
+        self.offset = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.live = [int((self.lengths > t).sum()) for t in range(self.lengths[0])]
+        self.weight = 1 / len(chains) / self.lengths  # each chain weighs the same, whatever its number of lines
+        self.seen = np.zeros((len(chains), 2, 2))
+        for t in range(1, self.lengths[0]):
+            k = self.live[t]
+            at = self.offset[:k] + t
+            np.add.at(self.seen, (np.arange(k), self.gold[at - 1], self.gold[at]), 1)
+
+    def gradient(self, w: np.ndarray, trans: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted log-likelihood less the ridge, and its gradients."""
+        e, offset, lengths, weight = self.flat @ w, self.offset, self.lengths, self.weight
+        fwd = np.zeros((len(e), 2))
+        for t, k in enumerate(self.live):
             at = offset[:k] + t
             if t:
-                before = fwd[at - 1]
-                s = before[:, :, None] + trans[None]
+                s = fwd[at - 1][:, :, None] + trans[None]
                 fwd[at] = np.logaddexp(s[:, 0], s[:, 1])
             fwd[at, 1] += e[at]
         bwd = np.zeros_like(fwd)
-        pair = np.zeros((n, 2, 2))
+        pair = np.zeros((len(lengths), 2, 2))
         z = np.logaddexp(fwd[offset + lengths - 1, 0], fwd[offset + lengths - 1, 1])
-        for t in range(longest - 2, -1, -1):
-            k = live[t + 1]
+        for t in range(len(self.live) - 2, -1, -1):
+            k = self.live[t + 1]
             at = offset[:k] + t
             onward = bwd[at + 1] + np.stack([np.zeros(k), e[at + 1]], 1)
             s = trans[None] + onward[:, None, :]
@@ -192,34 +215,52 @@ def fit(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0
             pair[:k] += np.exp(fwd[at][:, :, None] + s - z[:k, None, None])
         marginal = np.exp(fwd[:, 1] + bwd[:, 1] - np.repeat(z, lengths))
         each = np.repeat(weight, lengths)
-        g_w = flat.T @ (each * (np.repeat(gold, lengths) - marginal)) - ridge * w
-        seen = np.zeros((n, 2, 2))
-        seen[np.arange(n), gold.astype(int), gold.astype(int)] = lengths - 1
-        g_t = ((seen - pair) * weight[:, None, None]).sum(0) - ridge * trans
-        g = np.concatenate([g_w, g_t.ravel()])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, trans = w + move[: len(w)], trans + move[len(w) :].reshape(2, 2)
-    return w, trans
-
-
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on ``limit`` labelled documents, chosen by a hash of doc_id, of at most ``longest`` characters.
-
-    Lines inherit their document's quality label (distant supervision).
-    """
+        score = (each * self.gold * e).sum() + (self.seen * trans[None] * weight[:, None, None]).sum() - (weight * z).sum()
+        g_w = self.flat.T @ (each * (self.gold - marginal)) - ridge * w
+        g_t = ((self.seen - pair) * weight[:, None, None]).sum(0) - ridge * trans
+        return float(score - ridge / 2 * ((w**2).sum() + (trans**2).sum())), g_w, g_t
+
+
+def line_labels(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, words of each line, bad) -> (features, label of each line)."""
+    documents = [d for d in documents if len(d[0])]
+    single = [(x[i : i + 1], np.array([bad])) for x, _, bad in documents for i in range(len(x))]
+    w, _ = fit(single, rounds=80) if single else PRIOR
+    out = []
+    for x, words, bad in documents:
+        label = np.zeros(len(x), int)
+        if bad:
+            e = x @ w
+            order = np.argsort(-e, kind="stable")
+            before = np.cumsum(words[order]) - words[order]
+            label[order] = (e[order] > 0) | (before < BAD_SHARE * words.sum())
+        out.append((x, label))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_CHAINS, longest: int = CHAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on ``limit`` chains of at most ``longest`` lines of labelled documents, chosen by a hash; lines are measured where the texts lie."""
     picked = (
-        labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
+        labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"))
         .where("_id is not null and _quality is not null")
         .orderBy(F.xxhash64("_id"), "_id", "_quality").limit(2 * limit)
     )
-    rows = (
-        docs.select("doc_id", "text").where((F.length("text") <= longest) & F.col("doc_id").isNotNull())
-        .join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most 2 * limit rows
-        .select(F.xxhash64("doc_id", F.lit(7)).alias("_h"), "doc_id", "text", "_quality")
-        .orderBy("_h", "doc_id", "_quality", "text").limit(limit).collect()
-    )
-    return fit([(measure(r.text).features, int(r._quality == 0)) for r in rows])
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most 2 * limit rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for id_, text, quality in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                t = measure(text.as_py())
+                for at in range(0, len(t.line_words), longest):
+                    out.append((id_, at, quality, t.features[at : at + longest].astype(np.float32).tobytes(), t.line_words[at : at + longest].astype(np.int32).tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "at", "quality", "features", "words"])
+
+    chains = rows.select(F.col("doc_id").cast("long"), "text", "_quality").mapInArrow(run, "doc_id long, at long, quality int, features binary, words binary")
+    chains = chains.orderBy(F.xxhash64("doc_id", "at", F.lit(7)), "doc_id", "at", "quality", "features").limit(limit).collect()
+    unpacked = [(np.frombuffer(r.features, np.float32).reshape(-1, len(FEATURES)).astype(float), np.frombuffer(r.words, np.int32), int(r.quality == 0)) for r in chains]
+    return fit(line_labels(unpacked))
 
 
 SCHEMA = (
@@ -239,8 +280,8 @@ def _verdict(text: str | None, model: tuple[np.ndarray, np.ndarray], share: floa
 def _batches(model: tuple[np.ndarray, np.ndarray], share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            columns = list(zip(*(_verdict(t, model, share) for t in texts))) or [()] * 10
+            ids, texts = batch.column(0), batch.column(1)
+            columns = list(zip(*(_verdict(t.as_py(), model, share) for t in texts))) or [()] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3
             names = [part.split()[0] for part in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
@@ -260,7 +301,6 @@ def keep_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            yield batch.filter(pa.array([_verdict(t, model, share)[6] for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([_verdict(t.as_py(), model, share)[6] for t in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
