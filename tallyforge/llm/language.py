@@ -6,11 +6,13 @@ on a bounded sample. A text gets the language of the centroid with the largest c
 further away than the language's own training texts ever lie, ``rejected`` says so.
 
 Document frequencies come from all training rows; only the clustering is fitted on a sample, of at most
-SAMPLE rows a language, chosen by a hash of doc_id.
+SAMPLE different rows a language, chosen by a hash of doc_id and text. Sampled texts are counted whole where
+they lie; their counts come to the driver.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0. Without training rows every
 text is ``und``. Ties between centroids go to the language first by code point. Rows with a null language
-train nothing. Repeated rows count each. Extra columns are ignored. An empty table gives an empty result.
+train nothing. Repeated rows count each in frequencies and once in the sample. Texts are taken whole, of any
+length. Letters are what Unicode calls letters, so "² ½" has none. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,19 +28,19 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 CENTROIDS = 4
-#: Rows a language that the clusters are fitted on, and their longest text in characters.
-SAMPLE, SAMPLE_CHARS = 300, 20_000
+#: Rows a language that the clusters are fitted on.
+SAMPLE = 300
 #: Share of a language's training texts that may lie beyond its rejection distance.
 REJECT = 0.002
 
 _FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)], np.uint8)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[A-Za-z]")
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _SHIFT = np.uint32(32 - (BUCKETS - 1).bit_length())
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and (_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def counts(text: str) -> np.ndarray:
@@ -105,7 +107,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
-def train(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE, longest: int = SAMPLE_CHARS) -> Model:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, text) -> (lang, h, bucket numbers, counts) of texts with a letter."""
+    for batch in batches:
+        out: list[tuple] = []
+        for lang, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            text = text.as_py()
+            if has_letter(text):
+                c = counts(text)
+                at = np.flatnonzero(c)
+                out.append((lang, h, at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "at", "c"])
+
+
+def train(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     """Fit on (doc_id, text, lang): frequencies of all rows, clusters of a bounded sample of each language."""
     rows = rows.where("lang is not null")
     df, n = np.zeros(BUCKETS), 0
@@ -115,18 +130,21 @@ def train(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE, longest: in
         else:
             df[r.bucket] = r.n
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    short = rows.where((F.length("text") <= longest) & (F.length("text") > 0))
-    sizes = {r.lang: r.n for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # a hash below its language's threshold: some 1.5 samples a language, never a whole language in one place
-    span = float(1 << 32)
-    edge = F.create_map(*(x for lang, m in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample / m) * span)))) if sizes else None
+    hashed = rows.where(F.length("text") > 0).select("lang", F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 32)).alias("h"), "text")
+    sizes = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     by_lang: dict[str, list[np.ndarray]] = {}
     if sizes:
-        hashed = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 32))
-        picked = short.where(hashed.cast("double") <= F.element_at(edge, F.col("lang"))).select("lang", "text", hashed.alias("h"))
-        for r in picked.orderBy("h", "lang", "text").limit(2 * sample * len(sizes)).toLocalIterator():
-            if has_letter(r.text) and len(by_lang.setdefault(r.lang, [])) < sample:
-                by_lang[r.lang].append(counts(r.text))
+        # a hash below its language's threshold: some 1.5 samples a language, never a whole language in one place
+        span = float(1 << 32)
+        edge = F.create_map(*(x for lang, m in sorted(sizes.items()) for x in (F.lit(lang), F.lit(span if m <= 2 * sample else 1.5 * sample / m * span))))
+        picked = hashed.where(F.col("h").cast("double") <= F.element_at(edge, F.col("lang"))).mapInArrow(_sampled, "lang string, h long, at binary, c binary")
+        # repeated rows are one: they never fill a language's sample
+        once = picked.groupBy("lang", "h").agg(F.min(F.struct("at", "c")).alias("x")).select("lang", "h", "x.*")
+        for r in once.orderBy("h", "lang").limit(4 * sample * len(sizes)).toLocalIterator():
+            if len(own := by_lang.setdefault(r.lang, [])) < sample:
+                full = np.zeros(BUCKETS, np.float32)
+                full[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.c, np.uint32)
+                own.append(full)
     model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0, int), np.zeros(0))
     centroids, owner, floor = [], [], []
     for lang in sorted(x for x in by_lang if by_lang[x]):
