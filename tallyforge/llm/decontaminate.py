@@ -10,17 +10,22 @@ item, no match goes over that point, so only runs of known neighbours as long as
 are streamed.
 
 The automaton goes to every Python worker, so its size is bounded: items are dealt into shards of at
-most SHARD_WORDS words, each with an automaton of its own. A single shard needs no shuffle; several are
-matched one after the other and a text's hits are united by row.
+most SHARD_WORDS words, each with an automaton of its own. A single shard needs no shuffle. Several are
+built, sent, matched and forgotten one after the other; only the rows that one hits are written, and united
+by a number that the rows got once. A corpus is read once for each shard: a benchmark grows by the test,
+not with the corpus.
 
 Defined results: null, empty and wordless texts have no words and no hits; items without words match
 nothing; repeated items each count; a null item_id is written as an empty string. Repeated documents are
-judged alike. Extra columns pass through ``decontaminate`` untouched. An empty table gives an empty result.
+judged alike. Texts are taken whole, in time that grows with their words and the windows they hold. Extra
+columns of any name pass through ``decontaminate`` untouched; n_chars, if there, follows a cut text. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,9 @@ COVER = (1, 20)
 SHARD_WORDS = 200_000
 
 
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
 class Automaton:
     """Generalised suffix automaton over word numbers."""
 
@@ -168,56 +176,83 @@ def automata(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHAR
     yield Automaton(rows, window)
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+RAW = "doc_id long, n_words long, spans array<int>, items array<string>, longest int"
 
 
-RAW = "doc_id long, n_words long, spans array<int>, items array<string>, longest int"
+def _hits(machine: Automaton, text: str | None) -> tuple[int, list[int], list[str], int]:
+    words = alnum_words(text)
+    spans, items, longest = machine.hits(words)
+    return len(words), [x for s in spans for x in s], [machine.names[i] for i in sorted(items)], longest
 
 
-def _match(docs: DataFrame, automaton: Automaton, columns: list[str], schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
+KINDS = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
+
+
+def _match(docs: DataFrame, shared, key: str, only_hits: bool = False) -> DataFrame:
+    """(key, text) -> (key, n_words, spans, items, longest) by one automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(len(columns) - 1).to_pylist():
-                words = alnum_words(text)
-                spans, items, longest = machine.hits(words)
-                for column, value in zip(out, (len(words), [x for s in spans for x in s], [machine.names[i] for i in sorted(items)], longest)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(out, kinds))], [*columns[:-1], "n_words", "spans", "items", "longest"])
+            found = [_hits(machine, text.as_py()) for text in batch.column(1)]
+            keys = batch.column(0)
+            if only_hits:
+                some = [bool(f[1]) or f[3] > 0 for f in found]
+                keys, found = keys.filter(pa.array(some, pa.bool_())), [f for f, s in zip(found, some) if s]
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([f[i] for f in found], k) for i, k in enumerate(KINDS))], [key, "n_words", "spans", "items", "longest"])
+
+    return docs.select(key, "text").mapInArrow(run, RAW.replace("doc_id", key))
+
+
+def _united(rows: DataFrame, machines: Iterator[Automaton], space: Workspace) -> DataFrame:
+    """(_row, text) -> (_row, spans, items, longest) of the rows that any automaton hits; one automaton is alive at a time."""
+    every: DataFrame | None = None
+    for machine in machines:
+        shared = rows.sparkSession.sparkContext.broadcast(machine)
+        part = space.save(_match(rows, shared, "_row", only_hits=True))
+        shared.destroy()
+        every = part if every is None else every.union(part)
+    together = every.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_s"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[x for s in _merged(flat) for x in s] for flat in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, KINDS[1]), batch.column(2), batch.column(3)], ["_row", "spans", "items", "longest"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return space.save(together.mapInArrow(merge, "_row long, spans array<int>, items array<string>, longest int"))
+
+
+def _merged(flat: list[int]) -> list[list[int]]:
+    """Spans that neither overlap nor touch, from the flat ends of any."""
+    merged: list[list[int]] = []
+    for a, b in sorted(zip(flat[::2], flat[1::2])):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def _shards(benchmark: DataFrame, window: int, shard_words: int) -> tuple[Automaton, Iterator[Automaton] | None]:
+    """The first automaton, and an iterator over all if there are more."""
+    found = automata(benchmark, window, shard_words)
+    first, second = next(found), next(found, None)
+    return first, None if second is None else itertools.chain((first, second), found)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, spans (flat list of word spans), items, longest match."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = automata(benchmark, window, shard_words)
-    first, second = next(found), next(found, None)
-    if second is None:
-        return _match(ids, first, ["doc_id", "text"], RAW)
-    # every shard sees every text; a row number taken once joins their answers
+    first, more = _shards(benchmark, window, shard_words)
+    if more is None:
+        return _match(ids, docs.sparkSession.sparkContext.broadcast(first), "doc_id")
     space = Workspace(docs.sparkSession, "decontaminate")
-    rows = space.save(ids.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "text"))
-    parts = [space.save(_match(rows, m, ["_row", "doc_id", "text"], "_row long, " + RAW)) for m in (first, second)]
-    parts += [space.save(_match(rows, m, ["_row", "doc_id", "text"], "_row long, " + RAW)) for m in found]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    together = every.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("_s"),
-        F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"),
-    )
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("_s") / 2 - 1).cast("int")), lambda i: F.struct(F.element_at("_s", (2 * i + 1).cast("int")).alias("a"), F.element_at("_s", (2 * i + 2).cast("int")).alias("b"))))
-    merged = F.aggregate(
-        pairs, F.array().cast("array<int>"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (p["a"] <= F.try_element_at(acc, F.lit(-1))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.try_element_at(acc, F.lit(-1)), p["b"])))).otherwise(F.concat(acc, F.array(p["a"], p["b"]))),
-    )
-    return together.select("doc_id", "n_words", F.when(F.size("_s") > 0, merged).otherwise(F.array().cast("array<int>")).alias("spans"), "items", "longest")
+    rows = space.save(ids.withColumn("_row", F.monotonically_increasing_id()))
+    hits = _united(rows, more, space).withColumnRenamed("_row", "_hit")
+    counted = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")).drop("text")
+    joined = counted.join(hits, F.col("_row") == F.col("_hit"), "left")
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", empty("int")).alias("spans"), F.coalesce("items", empty("string")).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -231,77 +266,55 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
     )
 
 
-_WORD = None
-
-
-def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+def _cut(text: str, spans: list[list[int]]) -> str:
     """``text`` without the word spans; what lies between words outside them stays."""
-    import re
-
-    global _WORD
-    _WORD = _WORD or re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    at = [m.span() for m in _WORD.finditer(text)]
-    out, last = [], 0
+    out, last, n, at = [], 0, 0, (0, 0)
+    places = _WORD.finditer(text)
     for a, b in spans:
-        out.append(text[last : at[a][0]])
-        last = at[b - 1][1]
+        while n <= a:
+            at, n = next(places).span(), n + 1
+        out.append(text[last : at[0]])
+        while n < b:
+            at, n = next(places).span(), n + 1
+        last = at[1]
     return "".join([*out, text[last:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept; with ``max_span``, spans of at least so many words are cut from the rest."""
-    place, names = docs.columns.index("text"), docs.columns
-    kinds = docs.schema
-    current = docs
-    found = automata(benchmark, window, shard_words)
-    first, second = next(found), next(found, None)
-    only = docs.sparkSession.sparkContext.broadcast(first) if second is None else None
-    for machine in () if second is None else (first, second, *found):  # coverage adds up over shards
-        current = _mark(current, machine, place)
-
-    def marked(text: str | None) -> list[int]:
-        words = alnum_words(text)
-        return [len(words), *(x for span in only.value.hits(words)[0] for x in span)]
+    names, schema = docs.columns, docs.schema
+    place = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names else None
+    spark = docs.sparkSession
+    first, more = _shards(benchmark, window, shard_words)
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    if more is None:
+        only, current = spark.sparkContext.broadcast(first), docs.select(row)
+    else:
+        only, space = None, Workspace(spark, "decontaminate")
+        rows = space.save(docs.select(F.monotonically_increasing_id().alias("_row"), row))
+        hits = _united(rows.select("_row", F.col("row.text").alias("text")), more, space).select(F.col("_row").alias("_hit"), "spans")
+        current = rows.join(hits, F.col("_row") == F.col("_hit"), "left").select("row", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            # a single automaton matches and judges in one pass
-            marks = [marked(t) for t in texts] if only else batch.column(len(names)).to_pylist()
-            keep, new = [], []
-            for text, mark in zip(texts, marks):
-                merged: list[list[int]] = []
-                for a, b in sorted(zip(mark[1::2], mark[2::2])):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+            columns = batch.column(0).flatten()
+            keep, new, changed = [], [], []
+            spans = None if only else batch.column(1).to_pylist()
+            for i, text in enumerate(columns[place]):
+                text = text.as_py()
+                # a single automaton matches and judges in one pass
+                flat = _hits(only.value, text)[1] if only else spans[i] or []
+                merged = _merged(flat)
                 n = sum(b - a for a, b in merged)
-                keep.append(not (n and COVER[1] * n >= COVER[0] * mark[0]))
-                long = [(a, b) for a, b in merged if max_span is not None and b - a >= max_span]
+                keep.append(not (n and COVER[1] * n >= COVER[0] * len(alnum_words(text))))
+                long = [s for s in merged if max_span is not None and s[1] - s[0] >= max_span]
                 new.append(_cut(text, long) if long else text)
-            columns = [*batch.columns[: len(names)]]
-            columns[place] = pa.array(new, batch.schema.field(place).type)
+                changed.append(bool(long))
+            columns[place] = pa.array(new, columns[place].type)
+            if counted is not None and any(changed):
+                sizes = [len(t) if c else n for t, c, n in zip(new, changed, columns[counted].to_pylist())]
+                columns[counted] = pa.array(sizes).cast(columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return current.mapInArrow(finish, kinds)
-
-
-def _mark(docs: DataFrame, machine: Automaton, place: int) -> DataFrame:
-    """Adds the column _spans: the number of words, then the ends of this and earlier shards' spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    before = "_spans" in docs.columns
-    schema = docs.schema if before else docs.select("*", F.array().cast("array<int>").alias("_spans")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(batch.num_columns - 1).to_pylist() if before else None
-            marks = []
-            for i, text in enumerate(batch.column(place).to_pylist()):
-                words = alnum_words(text)
-                spans = [x for s in shared.value.hits(words)[0] for x in s]
-                marks.append(old[i] + spans if old else [len(words), *spans])
-            columns = [*batch.columns[: batch.num_columns - before], pa.array(marks, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-
-    return docs.mapInArrow(run, schema)
+    return current.mapInArrow(finish, schema)
