@@ -7,7 +7,8 @@ and addresses of trackers, adverts and generated spam.
 
 Defined results: a null url or one without ``://`` has an empty host and path, meets no rule and gets
 the trees' verdict on empty features. Of rules of the same length that fit, the first by text wins.
-Repeated rows are judged alike. Extra columns pass through ``keep_urls``; ``judge`` returns only its own.
+Repeated rows are judged alike. Urls are judged whole, of any length. Extra columns of any name pass through
+``keep_urls``; ``judge`` returns only its own.
 An empty table gives an empty result. Labels of one class give that class's verdict throughout.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: (verdict, host and path). A host stands for itself and its subdomains.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Rules are part of the expression; more than so many are refused.
-MOST_RULES = 2_000
+#: So many rules are part of the expression; more are joined by host.
+MOST_RULES = 500
 #: Labelled URLs that the trees are fitted on, chosen by a hash of the URL.
 TRAIN_URLS = 20_000
 TREES, DEPTH, RATE, CUTS = 40, 3, 0.2, 32
@@ -173,8 +174,6 @@ def score(df: DataFrame, model: Trees) -> DataFrame:
 
 def rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """The longest rule that fits, as struct (rule, verdict), or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} fit into an expression")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, text in sorted(rules, key=lambda r: (-len(r[1]), r[1]), reverse=True):
         name, _, rest = text.partition("/")
@@ -183,15 +182,37 @@ def rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES)
     return out
 
 
+def with_rule(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """Adds _rule to the output of ``features``.
+
+    Many rules meet the different hosts, by all their parent domains; a host comes back with its own rules,
+    the longest first, and each row picks the first that its path fits.
+    """
+    if len(rules) <= MOST_RULES:
+        return df.withColumn("_rule", rule(F.col("_host"), F.col("_path"), rules))
+    spark = df.sparkSession
+    known = spark.createDataFrame([(t.partition("/")[0], -len(t), t, "/" + t.partition("/")[2], v) for v, t in rules], "name string, less int, rule string, path string, verdict string")
+    labels = F.split("_h", "[.]")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own = (
+        df.select(F.col("_host").alias("_h")).distinct().select("_h", F.explode(parents).alias("_p")).join(known, F.col("_p") == F.col("name"))
+        .groupBy("_h").agg(F.array_sort(F.collect_list(F.struct("less", "rule", "path", "verdict"))).alias("_own"))
+    )
+    fits = F.filter("_own", lambda r: F.startswith(F.col("_path"), r["path"]))
+    best = F.try_element_at(fits, F.lit(1))
+    found = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+    return df.join(own, F.col("_host") == F.col("_h"), "left").withColumn("_rule", found).drop("_h", "_own")
+
+
 def judge(pages: DataFrame, model: Trees, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, score."""
-    df = score(features(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")), model)
-    df = df.withColumn("_rule", rule(F.col("_host"), F.col("_path"), rules))
+    df = with_rule(score(features(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")), model), rules)
     learned = F.when(F.col("_score") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return df.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", learned).alias("verdict"), (1 / (1 + F.exp(-F.col("_score")))).alias("score"))
 
 
 def keep_urls(pages: DataFrame, model: Trees, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """The rows of ``pages`` that are not blocked, with all their columns."""
-    df = score(features(pages), model).withColumn("_rule", rule(F.col("_host"), F.col("_path"), rules))
-    return df.where(F.coalesce(F.col("_rule.verdict") == "allow", F.col("_score") <= 0)).select(*pages.columns)
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row"), "url")
+    df = with_rule(score(features(rows), model), rules)
+    return df.where(F.coalesce(F.col("_rule.verdict") == "allow", F.col("_score") <= 0)).select("_row.*")
