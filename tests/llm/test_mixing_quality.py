@@ -85,6 +85,46 @@ def test_viterbi_is_the_best_path():
         assert score(quality.viterbi(e, tr).tolist()) == pytest.approx(best)
 
 
+def test_gradient_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    chains = sorted(((rng.normal(size=(n, 3)), rng.integers(0, 2, n)) for n in (1, 4, 2, 5)), key=lambda c: -len(c[0]))
+    data, w, trans = quality._Stacked(chains), rng.normal(size=3), rng.normal(size=(2, 2))
+    value, g_w, g_t = data.gradient(w, trans, 0.1)
+    want = 0.0
+    for x, y in chains:  # all labellings of each chain
+        score = lambda z: sum(x[i] @ w * z[i] for i in range(len(x))) + sum(trans[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+        total = sum(np.exp(score([k >> i & 1 for i in range(len(x))])) for k in range(2 ** len(x)))
+        want += (score(y.tolist()) - np.log(total)) / len(x) / len(chains)
+    assert value == pytest.approx(want - 0.05 * ((w**2).sum() + (trans**2).sum()))
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-5
+        assert g_w[i] == pytest.approx((data.gradient(w + step, trans, 0.1)[0] - data.gradient(w - step, trans, 0.1)[0]) / 2e-5, abs=1e-6)
+    for i in range(4):
+        step = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert g_t.ravel()[i] == pytest.approx((data.gradient(w, trans + step, 0.1)[0] - data.gradient(w, trans - step, 0.1)[0]) / 2e-5, abs=1e-6)
+
+
+def test_plain_lines_of_bad_documents_are_content():
+    prose = lambda i: " ".join(f"word{j}of{i}" for j in range(9)) + "."
+    junk = lambda i: " | ".join(f"menu{j}of{i}" for j in range(12))
+    good = ["\n".join(prose(i * 9 + j) for j in range(8)) for i in range(40)]
+    bad = ["\n".join([prose(900 + i), *(junk(i * 9 + j) for j in range(6)), prose(950 + i)]) for i in range(20)]
+    seen = [quality.measure(t) for t in good + bad]
+    model = quality.fit(quality.line_labels([(t.features, t.line_words, int(i >= 40)) for i, t in enumerate(seen)]))
+    labels = [quality.viterbi(t.features @ model[0], model[1]).tolist() for t in seen]
+    assert labels == [[0] * 8] * 40 + [[0, *[1] * 6, 0]] * 20
+    assert quality.line_labels([]) == []
+
+
+def test_long_labelled_documents_are_used(spark):
+    good = ["\n".join(f"A line of words number {i} and {j}, which ends well." for j in range(2000)) for i in range(4)]
+    bad = ["\n".join(f"MENU{i} | HOME{j} | CART | LOGIN | #{j}" for j in range(2000)) for i in range(4)]
+    d = docs(spark, [(i, t, "s") for i, t in enumerate(good + bad)])
+    model = quality.train(d, spark.createDataFrame([(i, int(i < 4), 0) for i in range(8)], "doc_id long, quality int, toxic int"), limit=40)
+    assert model is not quality.PRIOR and [r.kept for r in quality.judge(d, model).orderBy("doc_id").collect()] == [False] * 8  # few different windows
+    assert [r.n_boilerplate_lines for r in quality.judge(d, model).orderBy("doc_id").collect()] == [0] * 4 + [2000] * 4
+
+
 def test_rules_learn_and_keep_columns(spark):
     good = ["The ship went out to sea at dawn, and nobody on the shore saw it again until spring came. " * 4 + f"\nA note {i}." for i in range(30)]
     good = [" ".join(f"w{j}x{i}" for j in range(70)) + ".\nIt ended well." for i, _ in enumerate(good)]
