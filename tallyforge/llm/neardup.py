@@ -6,65 +6,89 @@ See ``near`` for how links are found.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, not even one another;
 a text of fewer words than a shingle is one shingle. Rows that repeat a doc_id are judged by their own
-text. A row with a null doc_id is linked with nothing, has a null component and is kept. Ties go to the
-least doc_id. Extra columns pass through ``keep_one``; ``groups`` returns only its own. An empty table
-gives an empty result.
+text, whatever the others hold. A row with a null doc_id is linked with nothing, has a null component and is
+kept. Ties go to the least doc_id. Texts are taken whole; a long one costs its words in time and eight bytes
+for each different shingle in memory. Extra columns of any name pass through ``keep_one``; ``groups`` returns
+only its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Workspace
-from tallyforge.llm.near import NearLinks, pick_texts
+from tallyforge.llm.common import Workspace, private, small
+from tallyforge.llm.near import SMALL, NearLinks, signed
+from tallyforge.llm.sketch import shingles_of
+
+
+def _hash(s: np.ndarray) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return signed(h >> 64), signed(h & (1 << 64) - 1)
+
+
+def _classes(rows: DataFrame, space: Workspace) -> DataFrame:
+    """(id, doc, h1, h2, n, regs): a row for each different set, with a 64-bit id of its own and its least doc_id.
+
+    Copies collapse by partial minima: a class of a third of all rows is one row from each task. Should two
+    sets get the same id, all are numbered anew.
+    """
+    live = rows.where("n > 0 and id is not null").withColumnRenamed("id", "doc")
+    for seed in range(8):
+        keyed = live.withColumn("id", F.xxhash64("h1", "h2", F.lit(seed)) if seed else F.col("h1"))
+        found = space.save(keyed.groupBy("id").agg(
+            F.min("doc").alias("doc"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.first("n").alias("n"), F.first("regs").alias("regs"),
+            ((F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))).alias("alone"),
+        ))
+        if found.where(~F.col("alone")).isEmpty():
+            return found.drop("alone")
+        space.drop(found)
+    raise RuntimeError("no ids without clashes")  # 64 bits failed eight times
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, and the class of its set (h1, h2)."""
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, and the class of its set (h1, h2).
+
+    ``rep`` says whether the row's class is the one that stays for its component: that of the least
+    (doc_id, h1, h2).
+    """
     space = Workspace(docs.sparkSession, "neardup")
     near = NearLinks(space, k, num, den)
     items = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"))
     rows = space.save(near.sketches(items))
-    # copies collapse by partial minima: a class of a third of all rows is one row from each task
-    classes = space.save(
-        rows.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    )
-    hashes = classes.select("id", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-
-    def texts(ids):
-        # an id may come with several texts: the one of the class is picked by its hash
-        return pick_texts(items, ids)
-
-    doubtful = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("h1").alias("_a"), F.max("h1").alias("_b")).where("_a <> _b").select("id")
-    doubtful = space.save(doubtful)
-    if not doubtful.isEmpty():
-        return _with_own_ids(docs, space, near, rows)
-    _, comp = near.run(classes.select("id", "n", "regs"), texts)
-    named = hashes.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("_h1", "_h2", F.coalesce("comp", "id").alias("_comp"))
-    return _result(rows, space.save(named), space)
-
-
-def _result(rows: DataFrame, named: DataFrame, space: Workspace) -> DataFrame:
-    joined = rows.select("id", "n", "h1", "h2").join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("_comp", "id"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), "h1", "h2")
-
-
-def _with_own_ids(docs: DataFrame, space: Workspace, near: NearLinks, rows: DataFrame) -> DataFrame:
-    """Where one doc_id comes with several texts, classes carry their hash as id and ids are put in at the end."""
-    both = space.save(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null"))
-    keyed = both.withColumn("id", F.xxhash64(F.coalesce("text", F.lit("")))).select("id", "text", "doc")
-    sketched = space.save(near.sketches(keyed.groupBy("id").agg(F.first("text").alias("text"))))
-    classes = space.save(sketched.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    texts = space.save(keyed.groupBy("id").agg(F.first("text").alias("text")))
-    _, comp = near.run(classes.select("id", "n", "regs"), lambda ids: pick_texts(texts, ids))
-    cls = classes.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("h1", "h2", F.coalesce("comp", "id").alias("_c"))
-    least = rows.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("_least"))
-    named = cls.join(least, ["h1", "h2"])
-    top = named.groupBy(F.col("_c").alias("_cc")).agg(F.min("_least").alias("_comp"))
-    named = space.save(named.join(top, F.col("_c") == F.col("_cc")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_comp"))
-    return _result(rows, named, space)
+    classes = _classes(rows, space)
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """The sets of classes, each made from the document where it is known to be."""
+        wanted = space.save(ids.select(F.col("id").alias("_id")).join(classes.select("id", "doc", "h1", "h2"), F.col("_id") == F.col("id")).select("id", F.col("doc").alias("_doc"), "h1", "h2"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple[int, bytes]] = []
+                for text, id_, h1, h2 in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
+                    s = shingles_of(text.as_py(), k)
+                    if _hash(s) == (h1, h2):  # a doc_id may come with other texts
+                        out.append((id_, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["id", "s"])
+
+        found = space.save(items.where("id is not null").withColumnRenamed("id", "_i").join(small(wanted, SMALL), F.col("_i") == F.col("_doc")).select("text", "id", "h1", "h2").mapInArrow(run, "id long, s binary"))
+        return found.dropDuplicates(["id"]) if found.count() > wanted.count() else found
+
+    full = near.shared(near.bands(classes))
+    _, comp = near.run(full, classes.select("id", "n", "regs"), fetch)
+    named = space.save(classes.select("id", "doc", "h1", "h2").join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "doc", "comp"))
+    first = named.where("comp is not null").groupBy(F.col("comp").alias("_c")).agg(F.min(F.struct("doc", "_h1", "_h2")).alias("_first"))
+    named = space.save(named.join(first, F.col("comp") == F.col("_c"), "left").select("_h1", "_h2", F.coalesce("_first", F.struct("doc", "_h1", "_h2")).alias("_first")))
+    judged = F.col("n") > 0
+    out = rows.select("id", "n", "h1", "h2").join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & judged & F.col("id").isNotNull(), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("_first.doc", "id"))
+    rep = F.coalesce(F.col("_first") == F.struct("id", "h1", "h2"), F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), "h1", "h2", rep.alias("rep"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -72,20 +96,36 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the least doc_id; all columns kept.
+    """``docs`` with one row of each group of near-duplicates, all columns kept.
 
-    Of rows that repeat this doc_id the one with the least text stays.
+    The row of the least doc_id stays; where this one comes with several texts of the group, the one with
+    the least hash of its set; of rows that repeat doc_id and set, the one with the least text. Every row
+    is judged by its own text: a doc_id may stay with one text and go with another.
     """
     space = Workspace(docs.sparkSession, "keep-one")
-    judged = groups(docs, k, num, den)
-    out = space.save(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_out")).distinct())
+    judged = space.save(groups(docs, k, num, den).where("doc_id is not null"))
     id_ = F.col("doc_id").cast("long")
-    kept_too = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_twice"))
-    twice = space.save(kept_too)
-    hint = F.broadcast if out.count() <= 1_000_000 else (lambda df: df)
+    # a doc_id that comes once, or always with the same verdict to go, needs no look at the row's text
+    by_doc = judged.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("rep").alias("stays"))
+    name = private("_id", docs)
+    out = space.save(by_doc.where("not stays").select(F.col("doc_id").alias(name)))
+    twice = space.save(by_doc.where("stays and c > 1").select(F.col("doc_id").alias(name)))
+    rest = docs.join(small(out, SMALL), id_ == F.col(name), "left_anti")
     if twice.isEmpty():
-        return docs.join(hint(out), id_ == F.col("_out"), "left_anti")
-    single = docs.join(twice, id_ == F.col("_twice"), "left_anti").join(out, id_ == F.col("_out"), "left_anti")
-    order = Window.partitionBy(id_).orderBy(F.col("text").isNull(), "text")
-    many = docs.join(twice, id_ == F.col("_twice"), "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-    return single.union(many.select(*docs.columns))
+        return rest
+    single = rest.join(small(twice, SMALL), id_ == F.col(name), "left_anti")
+    many = docs.join(small(twice, SMALL), id_ == F.col(name), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # their rows again with the hashes of their sets; rows without a set each stay
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field("text") if isinstance(batch.column(0), pa.StructArray) else pa.array([])
+            sets = [shingles_of(t.as_py(), k) for t in texts]
+            h = [_hash(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in h], pa.int64()) for i in (0, 1)), pa.array([len(s) > 0 for s in sets], pa.bool_())], ["row", "h1", "h2", "some"])
+
+    hashed = space.save(many.mapInArrow(run, many.selectExpr("row", "0L as h1", "0L as h2", "true as some").schema))
+    reps = judged.where("rep and n_shingles > 0").select(F.col("doc_id").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    there = hashed.where("some").join(reps, (F.col("row.doc_id").cast("long") == F.col("_d")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    chosen = there.groupBy("_d", "h1", "h2").agg(F.min_by("row", "row.text").alias("row")).select("row")
+    return single.union(chosen.union(hashed.where("not some").select("row")).select("row.*"))
