@@ -95,7 +95,10 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     from tallyforge.llm import near
 
     monkeypatch.setattr(near, "BLOCK", 4)
-    monkeypatch.setattr(near, "MEMBERS", 3)
+    monkeypatch.setattr(near, "BLOCK_ELEMENTS", 150)
+    monkeypatch.setattr(near, "SMALL", 0)
+    monkeypatch.setattr(near, "SMALL_KEYS", 0)
+    monkeypatch.setattr(near, "GROUPS", 3)
     rows = corpus(240, 9)
     got = {r.doc_id: r.component_id for r in neardup.op2(frame(spark, rows)).collect()}
     assert got == brute(rows, 2)
@@ -106,12 +109,84 @@ def test_keep_one_and_odd_rows(spark):
     d = frame(spark, rows)
     got = neardup.keep_one(d)
     assert got.columns == d.columns
-    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, "a b c d e f"), (9, "x y z"), (None, "a b c d e f"), (8, None), (7, "q")]))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, "a b c d e f"), (9, "x y z"), (None, "a b c d e f"), (8, None), (7, "q"), (7, "r s t")]))
     assert neardup.op2(d.limit(0)).count() == 0 and neardup.keep_one(d.limit(0)).count() == 0
     null = [r for r in neardup.op2(d).collect() if r.doc_id is None][0]
     assert null.component_id is None and null.kept
 
 
+def test_one_id_with_several_texts(spark):
+    long, other, near_ = " ".join(map(str, range(60))), " ".join(map(str, range(100, 160))), " ".join(map(str, range(59)))
+    rows = [(1, long), (1, None), (1, ""), (2, near_), (2, other), (2, other), (3, other), (4, near_), (4, None), (None, other)]
+    d = frame(spark, rows)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.groups(d, k=5).collect()))
+    assert got == sorted([
+        (False, 1, 56, 1, True), (False, 1, 0, 1, True), (False, 1, 0, 1, True), (False, 2, 55, 1, False), (False, 2, 56, 2, True), (False, 2, 56, 2, True),
+        (False, 3, 56, 2, False), (False, 4, 55, 1, False), (False, 4, 0, 4, True), (True, 0, 56, None, True),
+    ])
+    kept = sorted(str((r.doc_id, r.text)) for r in neardup.keep_one(d).collect())
+    assert kept == sorted(map(str, [(1, long), (1, None), (1, ""), (2, other), (4, None), (None, other)]))
+
+
+def test_clashing_columns_pass_through(spark):
+    extra = ["_rank", "_out", "_twice", "row", "h1", "h2", "rep", "n", "id", "band", "spans", "doc", "key", "component_id"]
+    text = " ".join(f"{i}." for i in range(60))
+    rows = [(1, text, *extra), (2, text, *extra), (2, text + " x", *extra), (2, text, *extra)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    one = neardup.keep_one(d)
+    assert one.columns == d.columns and [tuple(r) for r in one.collect()] == [rows[0]]
+    cut = substring.remove(d)
+    assert cut.columns == d.columns and sorted(len(r.text.split()) for r in cut.collect()) == [0, 0, 0, 60] and all(tuple(r)[2:] == tuple(extra) for r in cut.collect())
+
+
+def test_substring_of_one_id_with_several_texts(spark):
+    rng = random.Random(6)
+    p, q = passage(rng, 60), passage(rng, 60)
+    own = lambda i, n: [f"o{i}x{j}" + ("." if j % 8 == 7 else "") for j in range(n)]
+    rows = [(1, " ".join(p)), (2, " ".join(own(2, 24) + p)), (2, " ".join(own(3, 16) + q)), (2, None), (3, " ".join(q + own(4, 24))), (2, " ".join(own(2, 24) + p))]
+    d = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = substring.remove(d).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, " ".join(p)), (2, " ".join(own(2, 24)) + " "), (2, " ".join(own(2, 24)) + " "), (2, " ".join(own(3, 16) + q)), (2, ""), (3, " " + " ".join(own(4, 24)))])
+    assert all(r.n_chars == len(r.text or "") for r in got)
+
+
+def test_removals_match_brute_force(spark):
+    """Equal and near paragraphs (one a line), clustered and kept by a plain version."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    pool = [[rng.choice(words) for _ in range(rng.randint(15, 16))] for _ in range(30)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            line = list(rng.choice(pool)) if rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randint(15, 16))]
+            if rng.random() < 0.2:
+                line[0] = rng.choice(words)
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    lines = [(i, n, l, sets(l, 5)) for i, t in rows for n, l in enumerate(t.split("\n"))]
+    near_ = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    cluster = list(range(len(lines)))
+    for x in range(len(lines)):
+        for y in range(x):
+            if cluster[x] != cluster[y] and near_(lines[x][3], lines[y][3]):
+                old = cluster[x]
+                cluster = [cluster[y] if c == old else c for c in cluster]
+    first = {}
+    for x, c in enumerate(cluster):
+        first.setdefault(c, x)
+    want = {}
+    for x, c in enumerate(cluster):
+        if first[c] != x and sum(cluster.count(c) > 1 for c in [c]):
+            want.setdefault(lines[x][0], set()).add(lines[x][1])
+    starts = {i: [sum(len(l.split()) for l in t.split("\n")[:n]) for n in range(len(t.split("\n")) + 1)] for i, t in rows}
+    gone = {i: {w for n in ns for w in range(starts[i][n], starts[i][n + 1])} for i, ns in want.items()}
+    got: dict = {}
+    for r in substring.removals(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == gone and len(gone) > 20
+
+
 def passage(rng, n):
     out = []
     while len(out) < n:
