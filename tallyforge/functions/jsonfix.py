@@ -1,9 +1,15 @@
-"""Lenient JSON: valid text is parsed by Spark; only what fails goes through a repair in Python."""
+"""Lenient JSON: valid text is parsed by Spark; only what fails is read by a tolerant reader in Python.
+
+The reader takes one value from the beginning of the text and keeps whatever it has when the text ends or
+stops making sense: an open string counts as said, a key without a value does not, missing and surplus
+commas do not matter, what follows the value, or is nested deeper than DEPTH, is ignored. It goes once over the text and needs no recursion.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,36 +26,92 @@ def unwrap(text: Column) -> Column:
     return F.when(at > 0, F.substring(s, at, F.length(s))).otherwise(s)
 
 
-def _close(text: str) -> str:
-    """Ends an open string and closes what is still open, innermost first."""
-    waiting: list[str] = []
-    quoted = skip = False
-    for c in text:
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            waiting.append("}" if c == "{" else "]")
-        elif c in "}]" and waiting and waiting[-1] == c:
-            waiting.pop()
-    return re.sub(r"[\s,:]+$", "", text + '"' * quoted) + "".join(reversed(waiting))
+_LEXEME = re.compile(r'\s*(?:(?P<mark>[{}\[\]:,])|"(?P<string>(?:[^"\\]|\\.)*)(?P<closed>"?)|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>true|false|null)\b)', re.S)
+_NAMES = {"true": True, "false": False, "null": None}
+_NOTHING = object()
+#: Nesting beyond this depth is not read.
+DEPTH = 500
+
+
+def _string(body: str) -> str:
+    try:
+        return json.loads(f'"{body}"', strict=False)
+    except ValueError:  # an escape that means nothing
+        return body.replace("\\", "")
+
+
+class _Reader:
+    """Containers that are open, innermost last; a key waits beside its object."""
+
+    def __init__(self) -> None:
+        self.open: list[Any] = []
+        self.keys: list[Any] = []
+        self.value: Any = _NOTHING
+
+    def put(self, value: Any) -> None:
+        """A value, or in an object without a waiting key, the key."""
+        if not self.open:
+            self.value = value
+        elif isinstance(self.open[-1], list):
+            self.open[-1].append(value)
+        elif self.keys[-1] is _NOTHING:
+            self.keys[-1] = value if isinstance(value, str) else str(value)
+        else:
+            self.open[-1][self.keys[-1]] = value
+            self.keys[-1] = _NOTHING
+
+    def enter(self, container: Any) -> bool:
+        if self.open and isinstance(self.open[-1], dict) and self.keys[-1] is _NOTHING:
+            return False  # a container is no key
+        if len(self.open) >= DEPTH:
+            return False
+        self.put(container)
+        self.open.append(container)
+        self.keys.append(_NOTHING)
+        return True
+
+    def leave(self, kind: type) -> bool:
+        """Closes the innermost container of this kind, with those in it that were left open."""
+        if not any(isinstance(c, kind) for c in self.open):
+            return False
+        while True:
+            self.keys.pop()
+            if isinstance(self.open.pop(), kind):
+                return True
+
+    def read(self, text: str) -> Any:
+        at = 0
+        while (m := _LEXEME.match(text, at)) is not None:
+            at, mark = m.end(), m.group("mark")
+            if mark in ("{", "["):
+                if not self.enter({} if mark == "{" else []):
+                    break
+            elif mark in ("}", "]"):
+                if not self.leave(dict if mark == "}" else list):
+                    break
+            elif mark is None:
+                key = bool(self.open) and isinstance(self.open[-1], dict) and self.keys[-1] is _NOTHING
+                if m.group("string") is not None:
+                    if key and not m.group("closed"):
+                        break
+                    self.put(_string(m.group("string")))
+                elif key:
+                    break  # keys are strings
+                elif m.group("number") is not None:
+                    self.put(json.loads(m.group("number")) if not re.match(r"-?0\d", m.group("number")) else float(m.group("number")))
+                else:
+                    self.put(_NAMES[m.group("name")])
+            elif not self.open:
+                break
+            if not self.open and self.value is not _NOTHING:
+                break
+        return self.value
 
 
 def repair(text: str | None) -> str | None:
-    """JSON text of the largest readable beginning, or null."""
-    if not text:
-        return None
-    last = max(text.rfind(c) for c in "}],")
-    for attempt in (lambda: text, lambda: text[: text.rfind("}") + 1], lambda: _close(text), lambda: _close(text[: max(last, 0)])):
-        try:
-            found = json.loads(attempt())
-        except ValueError:
-            continue
-        return json.dumps(found, ensure_ascii=False)
-    return None
+    """JSON text of what can be read from the beginning, or null."""
+    value = _Reader().read(text) if text else _NOTHING
+    return None if value is _NOTHING else json.dumps(value, ensure_ascii=False)
 
 
 @F.pandas_udf(StringType())
@@ -58,9 +120,12 @@ def _repaired(texts: pd.Series) -> pd.Series:
 
 
 def parse_json(df: DataFrame, column: str, to: str = "json") -> DataFrame:
-    """Adds ``to``: valid JSON text or null. Rows that Spark can parse never reach Python."""
+    """Adds ``to``: valid JSON text or null. Rows that Spark can parse never reach Python.
+
+    Spark's parser passes over what follows the value, so texts where something may follow are read again.
+    """
     df = df.withColumn("_raw", unwrap(F.col(column)))
-    good = F.try_parse_json("_raw").isNotNull()
+    good = F.try_parse_json("_raw").isNotNull() & ~F.col("_raw").rlike(r"[}\]]\s*[^\s,}\]]")
     fine = df.where(F.coalesce(good, F.lit(False))).withColumn(to, F.col("_raw"))
     broken = df.where(~F.coalesce(good, F.lit(False))).withColumn(to, _repaired("_raw"))
     return fine.unionByName(broken).drop("_raw")

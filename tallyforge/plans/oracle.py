@@ -140,5 +140,6 @@ ORACLE = {
 def oracle_sql() -> dict[str, str]:
     from tallyforge.plans.document_oracle import DOCUMENTS
     from tallyforge.plans.more_oracle import MORE
+    from tallyforge.plans.table_oracle import TABLES
 
-    return ORACLE | MORE | DOCUMENTS
+    return ORACLE | MORE | DOCUMENTS | TABLES

@@ -161,5 +161,6 @@ CHECKS = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tallyforge.plans.document_queries import DOCUMENTS
     from tallyforge.plans.more_queries import MORE
+    from tallyforge.plans.table_queries import TABLES
 
-    return {f.__name__: f for f in (*CHECKS, *MORE, *DOCUMENTS)}
+    return {f.__name__: f for f in (*CHECKS, *MORE, *DOCUMENTS, *TABLES)}

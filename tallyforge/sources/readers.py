@@ -7,6 +7,7 @@ works on tables of words, pages and boxes.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
@@ -43,6 +44,16 @@ class Settings:
         return cls(**{k: v for k, v in (found or {}).items() if k in known and v is not None})
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files that driver and executors share, from ``spark.checkpoint.dir``; a local session gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyforge-"))
+    return (found or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def read_folder(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF,Pdf}") -> DataFrame:
     """(path, modificationTime, length, content) of the files; content is only read if it is used."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
