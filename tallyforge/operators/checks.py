@@ -7,6 +7,8 @@ cannot be compared is null, and only false fails.
 from __future__ import annotations
 
 import datetime
+import json
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,42 +133,44 @@ LIGHT = {
 CORE = ("vendor", "invoice_number", "invoice_date", "po_number", "subtotal", "tax", "total", "cgst", "sgst", "igst", "taxable_value", "source_file")
 
 
-def _present(value: Column) -> Column:
-    return value.isNotNull() & (value.cast("string") != "")
+#: A profile as a row; ``require_any`` holds groups of which one name is enough.
+PROFILE = (
+    "struct<required:array<string>,require_any:array<array<string>>,require_bill_from:boolean,require_bill_to:boolean,require_tax_id:boolean,require_regulatory:boolean,"
+    "require_line_fields:array<string>,require_tax_breakup:boolean,require_subtotal:boolean,require_total:boolean,regex:map<string,string>,max_total:double,min_total:double,"
+    "date_not_future:boolean,date_max_age_days:int,allowed_tax_rates:array<double>,require_line_items:boolean>"
+)
 
 
-def _field(invoices: DataFrame, name: str) -> Column:
-    """A field's value as text: the column, else an entry of ``extra`` with this name, whatever its case."""
-    own = F.nullif(F.col(name).cast("string"), F.lit("")) if name in CORE and name in invoices.columns else F.lit(None).cast("string")
-    if "extra" not in invoices.columns:
-        return own
-    entries = F.filter(F.map_entries("extra"), lambda e: (F.lower(e["key"]) == name.lower()) & _present(e["value"]))
-    return F.coalesce(own, F.try_element_at(entries, F.lit(1))["value"])
+def _present(value: Column) -> Column:
+    return value.isNotNull() & (value.cast("string") != "")
 
 
-def _alias(invoices: DataFrame, group: str) -> Column:
-    names = ALIASES.get(group, (group,))
-    found = F.lit(False)
-    for n in names:
-        found = found | _field(invoices, n).isNotNull()
-    inside = lambda key: _has(F.lower(key), names)
+def _named(invoices: DataFrame) -> DataFrame:
+    """Adds what the rules look at, once for all of them: _own (name, value) of columns, then of ``extra`` whatever its
+    case; _names of these; _inner, the names in ``extra`` and on lines as one text."""
+    own = [F.struct(F.lit(c).alias("key"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("value")) for c in CORE if c in invoices.columns]
+    own = F.filter(F.array(*own), lambda e: e["value"].isNotNull())
+    inner = F.array().cast("array<string>")
     if "extra" in invoices.columns:
-        found = found | F.coalesce(F.exists(F.map_entries("extra"), lambda e: _present(e["value"]) & ~F.startswith(e["key"], F.lit("_")) & inside(e["key"])), F.lit(False))
+        extra = F.transform(F.filter(F.map_entries(F.coalesce("extra", F.create_map().cast("map<string,string>"))), lambda e: _present(e["value"])), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].cast("string").alias("value")))
+        own = F.concat(own, extra)
+        inner = F.filter(F.transform(extra, lambda e: e["key"]), lambda k: ~F.startswith(k, F.lit("_")))
     if "lines" in invoices.columns:
-        found = found | F.coalesce(F.exists("lines", lambda line: F.exists(F.map_entries(line), lambda e: _present(e["value"]) & inside(e["key"]))), F.lit(False))
-    return found
+        on_lines = F.flatten(F.transform(F.coalesce("lines", F.array().cast("array<map<string,string>>")), lambda line: F.transform(F.filter(F.map_entries(line), lambda e: _present(e["value"])), lambda e: F.lower(e["key"]))))
+        inner = F.concat(inner, F.array_distinct(on_lines))
+    df = invoices.withColumns({"_own": own, "_inner": F.array_join(inner, "\n")})
+    return df.withColumn("_names", F.transform("_own", lambda e: e["key"]))
 
 
-def _every_line(invoices: DataFrame, concept: str) -> Column:
-    names = LINE_ALIASES.get(concept, (concept,))
+def _alias(group: str) -> Column:
+    names = ALIASES[group]
+    return F.arrays_overlap("_names", F.array(*map(F.lit, names))) | _has(F.col("_inner"), names)
 
-    def has(line: Column) -> Column:
-        out = F.lit(False)
-        for n in names:
-            out = out | F.coalesce(~F.trim(F.try_element_at(line, F.lit(n))).isin("", "None"), F.lit(False))
-        return out
 
-    return F.coalesce((F.size("lines") > 0) & F.forall("lines", has), F.lit(False))
+def _every_line(names: Column) -> Column:
+    """Each line says something under one of the names."""
+    said = lambda line, n: F.coalesce(~F.trim(F.try_element_at(line, n)).isin("", "None"), F.lit(False))
+    return F.coalesce((F.size("lines") > 0) & F.forall("lines", lambda line: F.exists(names, lambda n: said(line, n))), F.lit(False))
 
 
 def overlay(*profiles: dict[str, Any]) -> dict[str, Any]:
@@ -177,69 +181,81 @@ def overlay(*profiles: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def _failures(p: Column, as_of: datetime.date) -> Column:
+    """What fails by profile ``p`` (see PROFILE), in the order of the checks; over the columns of ``_named``."""
+    flag = lambda name, bad, text: F.when(p[name] & bad, F.lit(text) if isinstance(text, str) else text)
+    value = lambda name: F.try_element_at(F.filter("_own", lambda e: e["key"] == name), F.lit(1))["value"]
+    lines = F.create_map(*(x for k, names in LINE_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, names)))))
+    missing = F.transform(F.filter(p["required"], lambda f: ~F.array_contains("_names", f)), lambda f: F.concat(F.lit("missing required field '"), f, F.lit("'")))
+    no_id = F.transform(F.filter(p["require_any"], lambda g: ~F.arrays_overlap("_names", g)), lambda g: F.concat(F.lit("missing an identifier - need one of: "), F.array_join(g, " / ")))
+    no_cell = F.filter(p["require_line_fields"], lambda c: ~_every_line(F.coalesce(F.try_element_at(lines, c), F.array(c))))
+    odd = F.filter(F.map_entries(p["regex"]), lambda e: value(e["key"]).isNotNull() & ~F.rlike(F.trim(value(e["key"])), F.concat(F.lit("^(?:"), e["value"], F.lit(")$"))))
+    total, shown = F.col("total"), F.format_number(F.col("total"), 2)
+    d, today = rule_date(F.col("invoice_date")), F.lit(as_of)
+
+    def rate(line: Column) -> Column:
+        cell = lambda k: F.try_element_at(line, F.lit(k)).try_cast("double")
+        return F.coalesce(*(F.when(~F.array_contains(p["allowed_tax_rates"], cell(k)), cell(k)) for k in RATE_KEYS))
+
+    rates = F.transform("lines", lambda line, i: F.when(rate(line).isNotNull(), F.concat(F.lit("line "), (i + 1).cast("string"), F.lit(": tax rate "), rate(line).cast("string"), F.lit("% is not an allowed rate"))))
+    return F.concat(
+        missing, no_id,
+        _listed(
+            flag("require_bill_from", ~_alias("bill_from"), "no supplier / 'bill from' details found"), flag("require_bill_to", ~_alias("bill_to"), "no customer / 'bill to' details found"),
+            flag("require_tax_id", ~_alias("tax_id"), "no GST/VAT/tax registration number found"), flag("require_regulatory", ~_alias("regulatory"), "no regulatory details found (HSN/SAC, PAN, CIN, place of supply...)"),
+        ),
+        F.transform(no_cell, lambda c: F.concat(F.lit("line items are missing '"), c, F.lit("'"))),
+        _listed(
+            flag("require_tax_breakup", ~((_alias("cgst") & _alias("sgst")) | _alias("igst")), "no tax breakup found - expected CGST + SGST, or IGST"),
+            flag("require_subtotal", F.col("subtotal").isNull(), "no sub total found"), flag("require_total", total.isNull(), "no invoice total found"),
+        ),
+        F.transform(odd, lambda e: F.concat(F.lit("'"), e["key"], F.lit("' ("), value(e["key"]), F.lit(") doesn't match the expected format"))),
+        _listed(
+            F.when(total > p["max_total"], F.concat(F.lit("total "), shown, F.lit(" exceeds the approval threshold "), F.format_number(p["max_total"], 2))),
+            F.when(total < p["min_total"], F.concat(F.lit("total "), shown, F.lit(" is below the minimum "), F.format_number(p["min_total"], 2))),
+            flag("date_not_future", d > today, F.concat(F.lit("invoice date "), d.cast("string"), F.lit(" is in the future"))),
+            F.when(F.datediff(today, d) > p["date_max_age_days"], F.concat(F.lit("invoice is older than "), p["date_max_age_days"].cast("string"), F.lit(" days (dated "), d.cast("string"), F.lit(")"))),
+            F.when(d.isNull() & _present(F.col("invoice_date")), F.concat(F.lit("invoice date '"), F.col("invoice_date"), F.lit("' couldn't be understood"))),
+            flag("require_line_items", F.coalesce(F.size("lines"), F.lit(0)) <= 0, "no line items were extracted"),
+        ),
+        F.when(F.size(p["allowed_tax_rates"]) > 0, F.array_compact(F.coalesce(rates, F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>")),
+    )
+
+
+def _row(p: dict[str, Any]) -> tuple:
+    """A profile as a row of PROFILE."""
+    number = lambda k, kind: None if p[k] is None else kind(p[k])
+    return (
+        list(p["required"] or []), [list(g) for g in p["require_any"] or []], *(bool(p[f"require_{k}"]) for k in ("bill_from", "bill_to", "tax_id", "regulatory")), list(p["require_line_fields"] or []),
+        *(bool(p[f"require_{k}"]) for k in ("tax_breakup", "subtotal", "total")), dict(p["regex"] or {}), number("max_total", float), number("min_total", float), bool(p["date_not_future"]),
+        number("date_max_age_days", int), [float(x) for x in p["allowed_tax_rates"] or []], bool(p["require_line_items"]),
+    )
+
+
+def _judged(invoices: DataFrame, profiles: dict[str, dict[str, Any]], default: dict[str, Any], key: Column, as_of: datetime.date) -> DataFrame:
+    """Profiles are rows, joined by key; the default is a constant. One set of checks serves all."""
+    named = _named(invoices).withColumn("_profile", F.lit(None).cast(PROFILE))
+    if profiles:
+        known = invoices.sparkSession.createDataFrame([(name, _row(p)) for name, p in sorted(profiles.items())], f"_key string, _own_profile {PROFILE}")
+        known = F.broadcast(known) if len(profiles) <= 50_000 else known  # a kilobyte a row
+        named = named.join(known, key == F.col("_key"), "left").withColumn("_profile", F.col("_own_profile"))
+    names = re.findall(r"(\w+):", PROFILE)
+    other = F.from_json(F.lit(json.dumps(dict(zip(names, _row(default))))), PROFILE)
+    judged = named.withColumn("_profile", F.coalesce("_profile", other))
+    return judged.withColumn("rule_failures", _failures(F.col("_profile"), as_of)).select(*invoices.columns, "rule_failures")
+
+
 def apply_rules(invoices: DataFrame, profile: dict[str, Any], as_of: datetime.date) -> DataFrame:
     """Adds rule_failures, in the order of the checks. ``lines`` is an array of maps, ``extra`` a map of text.
 
     ``as_of`` is a parameter, so that reruns agree.
     """
-    p = overlay(profile)
-    out: list[Column] = [F.when(_field(invoices, f).isNull(), F.lit(f"missing required field '{f}'")) for f in p["required"] or []]
-    for group in p["require_any"] or []:
-        none = F.lit(True)
-        for g in group:
-            none = none & _field(invoices, g).isNull()
-        out.append(F.when(none, F.lit("missing an identifier - need one of: " + " / ".join(group))))
-    for key, text in (
-        ("bill_from", "no supplier / 'bill from' details found"), ("bill_to", "no customer / 'bill to' details found"), ("tax_id", "no GST/VAT/tax registration number found"),
-        ("regulatory", "no regulatory details found (HSN/SAC, PAN, CIN, place of supply...)"),
-    ):
-        if p[f"require_{key}"]:
-            out.append(F.when(~_alias(invoices, key), F.lit(text)))
-    out += [F.when(~_every_line(invoices, c), F.lit(f"line items are missing '{c}'")) for c in p["require_line_fields"] or []]
-    if p["require_tax_breakup"]:
-        out.append(F.when(~((_alias(invoices, "cgst") & _alias(invoices, "sgst")) | _alias(invoices, "igst")), F.lit("no tax breakup found - expected CGST + SGST, or IGST")))
-    if p["require_subtotal"]:
-        out.append(F.when(F.col("subtotal").isNull(), F.lit("no sub total found")))
-    if p["require_total"]:
-        out.append(F.when(F.col("total").isNull(), F.lit("no invoice total found")))
-    for f, pattern in (p["regex"] or {}).items():
-        v = _field(invoices, f)
-        out.append(F.when(v.isNotNull() & ~F.trim(v).rlike(f"^(?:{pattern})$"), F.concat(F.lit(f"'{f}' ("), v, F.lit(") doesn't match the expected format"))))
-    shown = F.format_number(F.col("total"), 2)
-    if p["max_total"] is not None:
-        out.append(F.when(F.col("total") > float(p["max_total"]), F.concat(F.lit("total "), shown, F.lit(f" exceeds the approval threshold {float(p['max_total']):,.2f}"))))
-    if p["min_total"] is not None:
-        out.append(F.when(F.col("total") < float(p["min_total"]), F.concat(F.lit("total "), shown, F.lit(f" is below the minimum {float(p['min_total']):,.2f}"))))
-    d, today = rule_date(F.col("invoice_date")), F.lit(as_of)
-    if p["date_not_future"]:
-        out.append(F.when(d > today, F.concat(F.lit("invoice date "), d.cast("string"), F.lit(" is in the future"))))
-    if p["date_max_age_days"] is not None:
-        out.append(F.when(F.datediff(today, d) > int(p["date_max_age_days"]), F.concat(F.lit(f"invoice is older than {p['date_max_age_days']} days (dated "), d.cast("string"), F.lit(")"))))
-    out.append(F.when(d.isNull() & _present(F.col("invoice_date")), F.concat(F.lit("invoice date '"), F.col("invoice_date"), F.lit("' couldn't be understood"))))
-    if p["require_line_items"]:
-        out.append(F.when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, F.lit("no line items were extracted")))
-    notes = _listed(*out)
-    if p["allowed_tax_rates"]:
-        allowed = F.array(*(F.lit(float(x)) for x in p["allowed_tax_rates"]))
-
-        def rate(line: Column) -> Column:
-            bad = lambda k: F.try_element_at(line, F.lit(k)).try_cast("double")
-            return F.coalesce(*(F.when(~F.array_contains(allowed, bad(k)), bad(k)) for k in RATE_KEYS))
-
-        found = F.transform(F.coalesce("lines", F.array().cast("array<map<string,string>>")), lambda line, i: F.when(rate(line).isNotNull(), F.concat(F.lit("line "), (i + 1).cast("string"), F.lit(": tax rate "), rate(line).cast("string"), F.lit("% is not an allowed rate"))))
-        notes = F.concat(notes, F.array_compact(found))
-    return invoices.withColumn("rule_failures", notes)
+    return _judged(invoices, {}, overlay(profile), F.lit(None).cast("string"), as_of)
 
 
 def apply_vendor_rules(invoices: DataFrame, profiles: dict[str, dict[str, Any]], as_of: datetime.date, key: str = "template_id", default: dict[str, Any] | None = None) -> DataFrame:
-    """Each row by its vendor's profile over the default; one plan, a CASE over the profiles."""
-    base = apply_rules(invoices, overlay(default), as_of).withColumnRenamed("rule_failures", "_default")
-    for i, (_, profile) in enumerate(sorted(profiles.items())):
-        base = apply_rules(base, overlay(default, profile), as_of).withColumnRenamed("rule_failures", f"_p{i}")
-    choice = F.col("_default")
-    for i, (name, _) in enumerate(sorted(profiles.items())):
-        choice = F.when(F.col(key) == name, F.col(f"_p{i}")).otherwise(choice)
-    return base.withColumn("rule_failures", choice).select(*invoices.columns, "rule_failures")
+    """Each row by its vendor's profile over the default."""
+    return _judged(invoices, {n: overlay(default, p) for n, p in profiles.items()}, overlay(default), F.col(key), as_of)
 
 
 # -- duplicates
