@@ -6,9 +6,10 @@ uses them. Casts are ``try_`` casts: what cannot be read is null.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # -- numbers
@@ -46,12 +47,21 @@ DMY_FORMATS = ("d-MMM-yy", "d-MMM-yyyy", "d/M/yyyy", "d/M/yy", "yyyy-M-d", "d-M-
 RULE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy")
 
 
+def _shape(fmt: str) -> str:
+    """What texts of a format look like: digits for d, M, y, letters for MMM and MMMM."""
+    out = re.sub(r"[.]", r"\\.", fmt)
+    for part, pattern in (("MMMM", r"\\p{L}+"), ("MMM", r"\\p{L}+"), ("yyyy", "Y"), ("yy", r"[0-9]{2}"), ("M", "[0-9]{1,2}"), ("d", "[0-9]{1,2}"), ("Y", "[0-9]{4}")):
+        out = re.sub(rf"(?<![a-zA-Z]){part}(?![a-zA-Z])", pattern, out)
+    return f"^{out}$"
+
+
 def parse_date(text: Column, formats: tuple[str, ...]) -> Column:
     """The first format that reads the text; two-digit years from 69 on belong to the last century."""
     s = F.regexp_replace(F.trim(text), r"\s+", " ")
 
     def one(fmt: str) -> Column:
-        d = F.try_to_timestamp(s, F.lit(fmt)).cast("date")
+        # a text of another shape is not tried: a failing parser costs an exception
+        d = F.when(s.rlike(_shape(fmt)), F.try_to_timestamp(s, F.lit(fmt))).cast("date")
         return d if fmt.count("y") != 2 else F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
 
     return F.coalesce(*map(one, formats))
@@ -132,6 +142,14 @@ def redact(text: Column) -> tuple[Column, Column]:
     return text, found
 
 
+def redacted(df: DataFrame, column: str, to: str, count: str) -> DataFrame:
+    """``redact`` as columns ``to`` and ``count``: a stage for each pattern, so that none is matched again for the next."""
+    df = df.withColumns({to: F.col(column), count: F.lit(0)})
+    for pattern, mark in PERSONAL:
+        df = df.withColumns({count: F.col(count) + F.regexp_count(to, F.lit(pattern)), to: F.regexp_replace(to, pattern, mark)})
+    return df
+
+
 def mask_key(key: Column) -> Column:
     return (
         F.when(key.isNull() | (key == ""), "(none)")
@@ -169,7 +187,11 @@ def is_local(url: Column, hints: tuple[str, ...] = ("localhost", "127.0.0.1", "0
 
 # -- identifiers
 
+#: What dates, mobile numbers, plain words and numbers look like where a number is expected.
 _DATE_LIKE = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$|^\d{1,2}[-/][A-Za-z]{3}[-/]\d{2,4}$"
+_MOBILE, _FEW_DIGITS, _DIGITS = r"^[6-9]\d{9,}$", r"^\d{1,2}$", r"^\d{3,9}$"
+_WORDS, _SHORT_WORD = r"^[A-Za-z\s]+$", r"^[A-Za-z]{1,4}$"
+_IDENTIFIER, _ORDER = r"^[A-Za-z0-9][A-Za-z0-9/_\-]{2,}$", r"^[A-Za-z0-9][A-Za-z0-9/_\-\s]{1,}$"
 #: Labels that get mistaken for an order number.
 NOT_AN_ORDER = ("dated", "date", "tel", "telno", "tel no", "phone", "mobile", "reference", "ref", "gstin", "pan", "cin", "challan", "receiver", "buyer", "vendor", "supplier", "party")
 
@@ -178,17 +200,17 @@ def invoice_number_confidence(value: Column) -> Column:
     """How far a text can be trusted as an invoice number; the first rule that fits counts."""
     s = F.trim(value)
     return (
-        F.when(value.isNull() | (value == ""), 0.0).when(F.replace(s, F.lit(" "), F.lit("")).rlike(r"^[6-9]\d{9,}$"), 0.1)
-        .when(s.rlike(r"^\d{1,2}$"), 0.2).when(s.rlike(_DATE_LIKE), 0.05).when(s.rlike(r"^[A-Za-z\s]+$") & (F.length(s) < 20), 0.1)
-        .when(s.rlike(r"^\d{3,9}$"), 0.75).when(s.rlike(r"^[A-Za-z0-9][A-Za-z0-9/_\-]{2,}$"), 0.95).otherwise(0.6)
+        F.when(value.isNull() | (value == ""), 0.0).when(F.replace(s, F.lit(" "), F.lit("")).rlike(_MOBILE), 0.1)
+        .when(s.rlike(_FEW_DIGITS), 0.2).when(s.rlike(_DATE_LIKE), 0.05).when(s.rlike(_WORDS) & (F.length(s) < 20), 0.1)
+        .when(s.rlike(_DIGITS), 0.75).when(s.rlike(_IDENTIFIER), 0.95).otherwise(0.6)
     )
 
 
 def order_number_confidence(value: Column) -> Column:
     s = F.trim(value)
     return (
-        F.when(value.isNull() | (value == ""), 0.0).when(F.lower(s).isin(*NOT_AN_ORDER), 0.05).when(s.rlike(r"^[A-Za-z]{1,4}$"), 0.1)
-        .when(s.rlike(_DATE_LIKE), 0.05).when(s.rlike(r"^[A-Za-z0-9][A-Za-z0-9/_\-\s]{1,}$"), 0.9).otherwise(0.6)
+        F.when(value.isNull() | (value == ""), 0.0).when(F.lower(s).isin(*NOT_AN_ORDER), 0.05).when(s.rlike(_SHORT_WORD), 0.1)
+        .when(s.rlike(_DATE_LIKE), 0.05).when(s.rlike(_ORDER), 0.9).otherwise(0.6)
     )
 
 

@@ -16,11 +16,12 @@ from tallyforge.functions import scalars as S
 from tallyforge.functions.jsonfix import parse_json
 from tallyforge.operators.checks import validate
 
+TAXES = "array<struct<name:string,rate:string,amount:string>>"
+LINE_ITEMS = "array<struct<description:string,hsn_sac:string,quantity:string,unit_price:string,tax_rate:string,tax_amount:string,amount:string>>"
 ANSWER = (
     "vendor string, invoice_number string, invoice_date string, po_number string, currency string, cgst string, sgst string, igst string, taxable_value string, subtotal string, total string, "
-    "taxes array<struct<name string, rate string, amount string>>, "
-    "line_items array<struct<description string, hsn_sac string, quantity string, unit_price string, tax_rate string, tax_amount string, amount string>>"
-).replace("<name string, rate string, amount string>", "<name:string,rate:string,amount:string>").replace("<description string, hsn_sac string, quantity string, unit_price string, tax_rate string, tax_amount string, amount string>", "<description:string,hsn_sac:string,quantity:string,unit_price:string,tax_rate:string,tax_amount:string,amount:string>")
+    f"taxes {TAXES}, line_items {LINE_ITEMS}"
+)
 D = "decimal(18,2)"
 CELLS = ("quantity", "unit_price", "tax_rate", "tax_amount", "amount")
 
@@ -35,10 +36,10 @@ def from_answers(answers: DataFrame, column: str = "raw") -> DataFrame:
     a = lambda k: F.col(f"_a.{k}")
     money = lambda k: S.to_number(a(k)).cast(D)
     number, order = _text(a("invoice_number")), _text(a("po_number"))
-    taxes = F.filter(F.coalesce(a("taxes"), F.array().cast("array<struct<name:string,rate:string,amount:string>>")), lambda t: S.to_number(t["amount"]).isNotNull())
+    taxes = F.filter(F.coalesce(a("taxes"), F.array().cast(TAXES)), lambda t: S.to_number(t["amount"]).isNotNull())
     tax_sum = F.aggregate(taxes, F.lit(0).cast(D), lambda acc, t: (acc + S.to_number(t["amount"]).cast(D)).cast(D))
     gst = sum((F.coalesce(money(k), F.lit(0).cast(D)) for k in ("cgst", "sgst", "igst")), F.lit(0).cast(D)).cast(D)
-    rows = F.filter(F.coalesce(a("line_items"), F.array().cast("array<struct<description:string,hsn_sac:string,quantity:string,unit_price:string,tax_rate:string,tax_amount:string,amount:string>>")), lambda r: ~S.is_summary_row(S.strip_doubt(F.coalesce(r["description"], F.lit("")))))
+    rows = F.filter(F.coalesce(a("line_items"), F.array().cast(LINE_ITEMS)), lambda r: ~S.is_summary_row(S.strip_doubt(F.coalesce(r["description"], F.lit("")))))
 
     def cols(r: Column) -> Column:
         pairs = [F.struct(F.lit("description").alias("k"), S.strip_doubt(r["description"]).alias("v")), F.struct(F.lit("hsn_sac").alias("k"), _text(r["hsn_sac"]).alias("v"))]
@@ -83,11 +84,12 @@ def ask(texts: DataFrame, model: Callable[[str], str], prompt: str = "prompt") -
 
 
 def retry_hint() -> Column:
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    """What to tell the model about its first answer; begins with CORRECTION."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     return F.concat(
-        F.lit("CORRECTION NEEDED — the previous extraction had math errors:\n"), F.array_join(F.transform("validation_notes", lambda n: F.concat(F.lit("  - "), n)), "\n"),
-        F.lit("\n\nRe-examine the invoice carefully and return corrected values.\nPrevious values: subtotal="), value("subtotal"), F.lit(", tax="), value("tax"), F.lit(", total="), value("total"),
-        F.lit("\nCheck: subtotal + tax must equal total. Line items must sum to subtotal."),
+        F.lit("CORRECTION: the figures you gave do not add up.\n"), F.array_join(F.transform("validation_notes", lambda n: F.concat(F.lit("* "), n)), "\n"),
+        F.lit("\nYou read subtotal "), value("subtotal"), F.lit(", tax "), value("tax"), F.lit(" and total "), value("total"),
+        F.lit(".\nRead the document once more. The rows have to add up to the subtotal, and subtotal and tax to the total."),
     )
 
 

@@ -111,7 +111,7 @@ def hint_text(rows: DataFrame) -> DataFrame:
     """(doc_id, row_no, cols map) -> a readable table for a prompt."""
     line = F.array_join(F.map_values("cols"), " | ")
     df = rows.groupBy("doc_id").agg(F.min_by(F.array_join(F.map_keys("cols"), " | "), "row_no").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
-    return df.select("doc_id", F.concat(F.lit("STRUCTURED TABLE (column-mapped, use this preferentially):\n"), "head", F.lit("\n" + "-" * 60 + "\n"), "body").alias("hint"))
+    return df.select("doc_id", F.concat(F.lit("Table as read by columns; trust it before the text:\n"), "head", F.lit("\n" + "-" * 60 + "\n"), "body").alias("hint"))
 
 
 def fence(text: Column) -> Column:

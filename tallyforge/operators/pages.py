@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,46 @@ def guess_vendor(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(one, F.try_element_at(plain, F.lit(1)), F.lit("")).alias("vendor_guess"))
 
 
+#: So many keywords become one expression; more are looked for by one automaton in a pass over each text.
+MOST_KEYWORDS = 500
+
+
+def _match_many(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+    """As ``match_templates``, with one automaton of all keywords and their words in every Python worker."""
+    known = []
+    for r in keywords.orderBy("ord").toLocalIterator():
+        kw = (r.keyword or "").lower().strip()
+        if kw:
+            words = {w for w in re.split(r"\W+", kw) if len(w) > 2}
+            known.append((int(r.ord), r.template_id, r.keyword, kw, words if len(words) > 1 else set()))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # the configuration
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine, by_word = ahocorasick.Automaton(), {}
+        for i, (*_, kw, words) in enumerate(shared.value):
+            for w in {kw} | words:
+                by_word.setdefault(w, set()).add(i)
+                machine.add_word(w, w)
+        machine.make_automaton()
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                found = {w for _, w in machine.iter((text.as_py() or "").lower())}
+                best = None
+                for i in {i for w in found for i in by_word[w]}:
+                    place, template, keyword, kw, words = shared.value[i]
+                    score = 1.0 if kw in found else 0.85 if words and words <= found else 0.0
+                    if score and (best is None or (score, -place) > best[0]):
+                        best = (score, -place), template, keyword
+                out.append((best[1], best[2], best[0][0]) if best else (None, None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64())))], ["doc_id", "template_id", "keyword", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, template_id string, keyword string, score double")
+
+
 def match_templates(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """(doc_id, text) against (template_id, ord, keyword): the best template of each document.
 
@@ -116,14 +159,14 @@ def match_templates(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     ties go to the smaller ord. The join has no equality, so keywords (configuration, a row per template)
     are collected to one array and every document is scored where it lies: no shuffle, no nested loop.
     """
-    rows = keywords.orderBy("ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 template keywords")
+    rows = keywords.orderBy("ord").limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        return _match_many(docs, keywords)
     low = F.lower(F.coalesce("text", F.lit("")))
     known = []
     for r in rows:
         kw = (r.keyword or "").lower().strip()
-        words = [w for w in __import__("re").split(r"\W+", kw) if len(w) > 2]
+        words = [w for w in re.split(r"\W+", kw) if len(w) > 2]
         if not kw:
             continue
         loose = reduce(lambda a, b: a & b, (F.contains(F.col("_low"), F.lit(w)) for w in words)) if len(words) > 1 else F.lit(False)
@@ -138,7 +181,10 @@ def match_templates(docs: DataFrame, keywords: DataFrame) -> DataFrame:
 # -- labelled values in text
 
 #: Where numbers, orders and dates stand, in the order in which they are tried.
-NUMBER_LABELS = tuple(rf"(?i){w}\s*(?:number|no\.?|#)\s*[:\-]?\s*([A-Za-z0-9][\w\-/]{{2,}})" for w in ("order", "invoice", "bill", "receipt"))
+NUMBER_LABELS = (
+    r"(?i)order\s*(?:number|no\.?|#)\s*[:\-]?\s*([A-Za-z0-9][\w\-/]{2,})", r"(?i)invoice\s*(?:number|no\.?|#)\s*[:\-]?\s*([A-Za-z0-9][\w\-/]{2,})", r"(?i)bill\s*(?:number|no\.?|#)\s*[:\-]?\s*([A-Za-z0-9][\w\-/]{2,})",
+    r"(?i)receipt\s*(?:number|no\.?|#)\s*[:\-]?\s*([A-Za-z0-9][\w\-/]{2,})",
+)
 ORDER_LABELS = (
     r"(?i)(?:PO|P\.O\.)\s*(?:Number|No\.?|#)\s*[:\-]?\s*([A-Z0-9\-/]+)", r"(?i)Purchase\s*Order\s*(?:No\.?|Number|#)?\s*[:\-]?\s*([A-Z0-9\-/]+)", r"(?i)Order\s*(?:Ref|Reference|No\.?)\s*[:\-]?\s*([A-Z0-9\-/]+)",
     r"(?i)Buyer\s*Order\s*(?:No\.?|#)?\s*[:\-]?\s*([A-Z0-9\-/]+)", r"(?i)(?:Reference|Ref)\s*(?:No\.?|Number|#)\s*[:\-]?\s*([A-Z0-9\-/]+)", r"(?i)Customer\s*PO\s*[:\-]?\s*([A-Z0-9\-/]+)", r"(?i)Your\s*Order\s*(?:No\.?|#)?\s*[:\-]?\s*([A-Za-z0-9\-/]+)",
@@ -189,12 +235,14 @@ def financial_summary(lines: DataFrame) -> DataFrame:
 def guard(texts: DataFrame, url: Column, allow_cloud: bool = True, redact: bool = True, cap: int = 60_000) -> DataFrame:
     """What may be sent to a model: allowed, prepared text, note. Hints belong into the text before this."""
     local = S.is_local(url)
-    clean, n = S.redact(F.col("text"))
-    prepared = F.when(local | F.lit(not redact), F.col("text")).otherwise(clean)
-    count = F.when(local | F.lit(not redact), 0).otherwise(n)
+    names = texts.columns
+    clean, n = next(f"_clean{i}" for i in range(99) if f"_clean{i}" not in names), next(f"_found{i}" for i in range(99) if f"_found{i}" not in names)
+    texts = S.redacted(texts, "text", clean, n) if redact else texts.withColumns({clean: F.col("text"), n: F.lit(0)})
+    prepared = F.when(local, F.col("text")).otherwise(F.col(clean))
+    count = F.when(local, 0).otherwise(F.col(n))
     allowed = local | F.lit(allow_cloud)
     notes = F.concat_ws("; ", F.when(count > 0, F.concat(F.lit("redacted "), count.cast("string"), F.lit(" personal/banking identifier(s)"))), F.when(F.length(prepared) > cap, F.lit(f"truncated to {cap} characters")))
     return texts.select(
-        "*", allowed.alias("allowed"), F.when(allowed, F.substring(prepared, 1, cap)).otherwise("").alias("prepared"),
+        *names, allowed.alias("allowed"), F.when(allowed, F.substring(prepared, 1, cap)).otherwise("").alias("prepared"),
         F.when(allowed, notes).otherwise("Cloud AI is disabled in Security settings. Use a local model (Ollama) or re-enable cloud AI.").alias("note"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans.oracle import BILLS, LINES
+from tallyforge.plans.oracle import _STAGES, BILLS, LINES
 
 _PAGES = "p AS (SELECT (doc_id // 5)::VARCHAR AS doc_id, (doc_id % 5 + 1)::INT AS page_no, text, n_chars::DOUBLE AS height, doc_id // 5 AS d FROM documents)"
 _CONTENT = r"len(regexp_replace(regexp_replace(regexp_replace(t, '---\s*PAGE\s*\d+\s*---', '', 'gi'), '===\s*.*?\s*===', '', 'g'), '[^a-zA-Z0-9]', '', 'g'))"
@@ -14,9 +14,9 @@ _HEADERISH = "['customer','order','size','pickup','time','qty','qty.','item','it
 _INVOICES = rf"""{BILLS}, inv AS (SELECT *, (tax_sum::DECIMAL(24,6) * 0.5)::DECIMAL(18,2) AS half FROM bills)"""
 
 MORE = {
-    "scanned_flag": rf"""WITH {_PAGES}, s AS (SELECT doc_id, CASE WHEN d % 3 = 0 THEN left(text, 40) ELSE text END AS t FROM p)
+    "scanned_flag": rf"""WITH {_PAGES}, s AS (SELECT doc_id, text AS t FROM p)
         SELECT doc_id, sum({_CONTENT})::BIGINT AS n_content, count(*) AS n_pages, sum({_CONTENT}) < 50 * count(*) AS scanned FROM s GROUP BY doc_id""",
-    "page_source": rf"""WITH {_PAGES}, s AS (SELECT doc_id, page_no, CASE WHEN page_no % 2 = 0 THEN left(text, 30) ELSE text END AS t FROM p), n AS (SELECT *, {_CONTENT} AS c FROM s)
+    "page_source": rf"""WITH {_PAGES}, s AS (SELECT doc_id, page_no, text AS t FROM p), n AS (SELECT *, {_CONTENT} AS c FROM s)
         SELECT doc_id, page_no, CASE WHEN c >= 50 AND NOT sum(c) OVER (PARTITION BY doc_id) < 50 * count(*) OVER (PARTITION BY doc_id) THEN 'native' ELSE 'ocr' END AS page_source FROM n""",
     "ocr_tag": r"""WITH b AS (SELECT (user_id % 50)::VARCHAR AS doc_id, (event_id % 7)::INT AS page_no, event_id AS seq, event_type AS t, (((floor(value * 7)::BIGINT % 100) + 100) % 100)::DOUBLE / 100 * CASE WHEN user_id % 50 % 3 = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS conf FROM events),
         k AS (SELECT *, max((conf >= 0.4)::INT) OVER (PARTITION BY doc_id, page_no) = 1 AS any_ FROM b)
@@ -49,9 +49,9 @@ MORE = {
     "midpoint_columns": rf"""WITH {_COLUMNS} SELECT template_id, name, x_min AS x0, coalesce((lag(x_min) OVER w + x_min) / 2, -1e9) AS lo, coalesce((x_min + lead(x_min) OVER w) / 2, 1e9) AS hi FROM cols WINDOW w AS (PARTITION BY template_id ORDER BY x_min, name)""",
     "gap_columns": rf"""WITH {_WORDS}, x AS (SELECT DISTINCT doc_id, (round_even(x0 / 10, 0) * 10)::BIGINT AS x FROM words), g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) AS gap FROM x)
         SELECT doc_id, string_agg(x::VARCHAR, ',' ORDER BY x) AS boundaries FROM g WHERE gap IS NULL OR gap >= 20 GROUP BY doc_id""",
-    "carry_forward": "SELECT user_id AS doc_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events",
+    "carry_forward": "SELECT * FROM (SELECT user_id AS doc_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events) WHERE carried IS NOT NULL",
     "continuation_merge": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\r\n|\r|\n'), 1) - 1 AS i FROM documents),
-        r AS (SELECT doc_id, i, left(t, 20) AS d, CASE WHEN len(t) % 3 = 0 THEN len(t)::VARCHAR ELSE '' END AS amount, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE trim(t) <> ''),
+        r AS (SELECT doc_id, i, t AS d, CASE WHEN len(t) % 3 = 0 THEN len(t)::VARCHAR ELSE '' END AS amount, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE trim(t) <> ''),
         s AS (SELECT *, sum(CASE WHEN n > 1 AND trim(d) <> '' AND amount = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r)
         SELECT doc_id::VARCHAR AS doc_id, min(i)::INT AS row_no, CASE WHEN count(*) > 1 THEN trim(string_agg(trim(d), ' ' ORDER BY i)) ELSE min(d) END AS description, min_by(amount, i) AS amount FROM s GROUP BY doc_id, g""",
     "total_rows": rf"""WITH lines AS ({LINES}), o AS (SELECT doc_id, concat_ws('-', pos, l_partkey, amount) AS pos, l_partkey::VARCHAR AS description, max(amount) AS amount, max(tax_amount) AS tax_amount FROM lines GROUP BY 1, 2, 3)
@@ -64,10 +64,11 @@ MORE = {
     "bill_export_rows": rf"""WITH {BILLS} SELECT b.doc_id, pos::INT AS pos, coalesce(invoice_number, '') AS bill_no, vendor AS supplier, coalesce(invoice_date, '') AS bill_date, '' AS due_date, '' AS po_number, coalesce(l_partkey::VARCHAR, '') AS item_description,
           coalesce(quantity::INT::VARCHAR, '') AS qty, coalesce(price::VARCHAR, '') AS rate, coalesce(l.amount::VARCHAR, '') AS amount, coalesce(CASE WHEN pos % 2 = 0 THEN tax_amount::VARCHAR END, '') AS tax_amount,
           coalesce(subtotal::VARCHAR, '') AS bill_subtotal, coalesce(tax::VARCHAR, '') AS bill_tax, coalesce(total::VARCHAR, '') AS bill_total, CASE WHEN b.l_suppkey % 2 = 1 THEN 'USD' ELSE 'INR' END AS currency
-        FROM bills b LEFT JOIN (SELECT * FROM lines WHERE l_orderkey % 10 <> 0) l ON b.doc_id = l.doc_id""",
+        FROM bills b LEFT JOIN lines l ON b.doc_id = l.doc_id""",
     "json_export": rf"""WITH {BILLS} SELECT doc_id, '{{"doc_id":"' || doc_id || '","vendor":"' || vendor || '","invoice_number":' || coalesce('"' || invoice_number || '"', 'null') || ',"total":' || coalesce('"' || total || '"', 'null') || '}}' AS json FROM bills""",
     "audit_tail": "SELECT event_id AS seq, event_type AS event, user_id::VARCHAR AS \"user\" FROM events ORDER BY event_id DESC LIMIT 300",
     "audit_events": "SELECT event_type AS event, count(*) AS n FROM events GROUP BY event_type",
     "props_json": "SELECT event_id, coalesce(json_valid(props), false) AS readable FROM events",
-    "ai_guard": r"""SELECT doc_id, true AS allowed, left(text, 500) AS prepared, CASE WHEN len(text) > 500 THEN 'truncated to 500 characters' ELSE '' END AS note FROM documents""",
+    "ai_guard": f"""SELECT doc_id, true AS allowed, left(CASE WHEN doc_id % 3 = 0 THEN text ELSE t END, 60000) AS prepared,
+        concat_ws('; ', CASE WHEN doc_id % 3 <> 0 AND n > 0 THEN 'redacted ' || n || ' personal/banking identifier(s)' END, CASE WHEN len(CASE WHEN doc_id % 3 = 0 THEN text ELSE t END) > 60000 THEN 'truncated to 60000 characters' END) AS note FROM {_STAGES}""",
 }

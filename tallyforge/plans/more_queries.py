@@ -92,11 +92,10 @@ def gap_columns(spark, sf):
 
 
 def carry_forward(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.when(F.col("event_type") == "click", F.col("value")).alias("v"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return e.select("doc_id", "event_id", F.last("v", ignorenulls=True).over(w).alias("carried"))
+    """Pages without a header take the one before: events as pages, clicks as those with a header."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("page_no"), "event_type", "value")
+    heads = e.where("event_type = 'click'").select("doc_id", "page_no", F.lit(0).cast("long").alias("header_line"), F.col("value").alias("header"))
+    return tables.carry_headers(e, heads).select("doc_id", F.col("page_no").alias("event_id"), F.col("header").alias("carried"))
 
 
 def continuation_merge(spark, sf):

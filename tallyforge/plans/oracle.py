@@ -123,13 +123,13 @@ ORACLE = {
           CASE WHEN raw = '' THEN 0.0 WHEN lower(c) IN ('dated', 'date', 'ref') THEN 0.05 WHEN regexp_matches(c, '^[A-Za-z]{1,4}$') THEN 0.1
             WHEN regexp_matches(c, '^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$|^\d{1,2}[-/][A-Za-z]{3}[-/]\d{2,4}$') THEN 0.05 WHEN regexp_matches(c, '^[A-Za-z0-9][A-Za-z0-9/_\-\s]{1,}$') THEN 0.9 ELSE 0.6 END::DOUBLE AS order_confidence
         FROM s""",
-    "scrub_text": r"""WITH r AS (SELECT *, right(text || ' api_key = zz' || conv_id || ' Bearer abc sk-' || conv_id || '12345678', 120) AS raw FROM conversations)
-        SELECT conv_id, turn, left(regexp_replace(raw, '(sk-[A-Za-z0-9\-_]{8,}|AIza[A-Za-z0-9\-_]{35}|api[_-]?key\s*[:=]\s*\S+|Bearer\s+\S+)', '[REDACTED]', 'gi'), 500) AS scrubbed,
+    "scrub_text": r"""WITH r AS (SELECT *, text || ' api_key = zz' || conv_id || ' Bearer abc sk-' || conv_id || '12345678' AS raw FROM conversations)
+        SELECT conv_id, turn, regexp_replace(raw, '(sk-[A-Za-z0-9\-_]{8,}|AIza[A-Za-z0-9\-_]{35}|api[_-]?key\s*[:=]\s*\S+|Bearer\s+\S+)', '[REDACTED]', 'gi') AS scrubbed,
           CASE WHEN text IS NULL OR text = '' THEN '(none)' WHEN len(text) > 10 THEN left(text, 3) || '…' || right(text, 3) ELSE '…' END AS masked,
-          trim(regexp_replace(lower(trim(left(text, 40))), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM r""",
-    "clean_labels": r"""WITH r AS (SELECT doc_id, text, left(text, 60) AS t FROM documents)
+          trim(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM r""",
+    "clean_labels": r"""WITH r AS (SELECT doc_id, text, text AS t FROM documents)
         SELECT doc_id, trim(lower(t), ':.,;-()[]% ') AS label, trim(replace(regexp_replace(lower(translate(t, 'áéíóúñçêèàäöüßÁÉÍÓÚÑÇÊÈÀÄÖÜ', 'aeiouncêeaaous')), '[^a-z0-9%/ ]', ' ', 'g'), '  ', ' ')) AS header,
-          trim(regexp_replace('[?' || left(text, 8) || '?]', '\[?\?+([^?\]]*)\?+\]?', '\1', 'g')) AS undoubted,
+          trim(regexp_replace('[?' || text || '?]', '\[?\?+([^?\]]*)\?+\]?', '\1', 'g')) AS undoubted,
           replace(replace(replace(t, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS xml,
           left(regexp_replace(replace(split_part('in/' || t || '.pdf', '/', -1), '\', '_'), '[<>:"|?*\x00-\x1f]', '_', 'g'), 180) AS filename FROM r""",
     "summary_filter": r"""WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Grand Total ' || p_name WHEN 1 THEN ' N/A' WHEN 2 THEN 'Totally ' || p_name ELSE p_name END AS d FROM part)
@@ -137,6 +137,18 @@ ORACLE = {
 }
 
 
+#: As in the scalar functions, in DuckDB's dialect: what stands before a telephone number is kept by a group.
+_PERSONAL = (
+    (r"[\w.+-]+@[\w-]+\.[\w.]+", "[EMAIL]"), (r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b", "[IBAN]"), (r"(?i)\b(?:A/?c|Account|Acct)\.?\s*(?:No\.?|Number)?\s*[:\-]?\s*\d{6,}", "Account: [ACCOUNT]"),
+    (r"\b(?:\d[ -]?){12,18}\d\b", "[CARD]"), (r"(^|[^0-9])\+?\d[\d\-\s()]{8,}\d", r"\1[PHONE]"),
+)
+_STAGES = "documents"
+for _pattern, _mark in _PERSONAL:
+    _before = "text" if _STAGES == "documents" else "t"
+    _STAGES = f"(SELECT doc_id, text, regexp_replace({_before}, '{_pattern}', '{_mark}', 'g') AS t, {'0' if _before == 'text' else 'n'} + len(regexp_extract_all({_before}, '{_pattern}')) AS n FROM {_STAGES})"
+ORACLE["redact"] = f"SELECT doc_id, t AS redacted, n::INT AS n_redacted FROM {_STAGES}"
+
+
 def oracle_sql() -> dict[str, str]:
     from tallyforge.plans.document_oracle import DOCUMENTS
     from tallyforge.plans.more_oracle import MORE

@@ -138,8 +138,7 @@ def scrub_text(spark, sf):
 
 
 def redact(spark, sf):
-    text, n = S.redact(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", text.alias("redacted"), n.alias("n_redacted"))
+    return S.redacted(table(spark, sf, "documents").select("doc_id", "text"), "text", "redacted", "n_redacted").select("doc_id", "redacted", "n_redacted")
 
 
 def clean_labels(spark, sf):
