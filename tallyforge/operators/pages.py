@@ -32,6 +32,16 @@ def scanned(pages: DataFrame, least: int = 50) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sum(content_length(F.coalesce("text", F.lit("")))).alias("n_content"), F.count("*").alias("n_pages")).withColumn("scanned", F.col("n_content") < least * F.col("n_pages"))
 
 
+def scanned_files(files: DataFrame, pages: DataFrame, least: int = 50) -> DataFrame:
+    """(doc_id, state) with state ok, encrypted or error, and their pages -> (doc_id, scanned).
+
+    An encrypted file counts as native, one that cannot be read or has no pages as scanned.
+    """
+    judged = scanned(pages, least).select(F.col("doc_id").alias("_d"), F.col("scanned").alias("_s"))
+    flag = F.when(F.col("state") == "encrypted", False).when(F.col("state") == "error", True).otherwise(F.coalesce("_s", F.lit(True)))
+    return files.join(judged, F.col("doc_id") == F.col("_d"), "left").select("doc_id", flag.alias("scanned"))
+
+
 def page_source(pages: DataFrame, least: int = 50) -> DataFrame:
     """Each page's source: native where it has text enough and its document is not scanned, else ocr."""
     whole = Window.partitionBy("doc_id")

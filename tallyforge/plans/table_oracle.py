@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tallyforge.plans.document_oracle import _STATEMENTS
+from tallyforge.operators.prompts import SUMMARY_NAMES
+from tallyforge.plans.more_oracle import _CONTENT
 from tallyforge.plans.oracle import BILLS, LINES
 from tallyforge.plans.table_queries import TARGETS
 
@@ -42,5 +44,14 @@ TABLES = {
     "history_batches": f"""WITH {BILLS} SELECT l_orderkey * 1000 + l_suppkey + 10 AS history_seq, CASE WHEN total IS NULL THEN '2024-01-02' ELSE '2024-01-01' END AS processed_at, source_file, vendor, coalesce(invoice_number, '') AS invoice_number,
         coalesce(invoice_date, '') AS invoice_date, coalesce(total::VARCHAR, '') AS total, vendor AS file_hash, CASE WHEN total IS NULL THEN 'REVIEW' ELSE 'OK' END AS status FROM bills""",
     "audit_log": "SELECT event_id AS seq, event_type AS event, '[REDACTED] by ' || event_type AS detail, user_id::VARCHAR AS user FROM events ORDER BY event_id DESC LIMIT 500",
+    "scanned_states": rf"""SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 7 WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE {_CONTENT} < 50 END AS scanned FROM (SELECT doc_id, text AS t FROM documents)""",
+    "layout_text": """WITH r AS (SELECT o_custkey AS d, o_orderkey % 2 + 1 AS p, o_orderkey % 3 AS s, o_orderkey AS n, CASE WHEN o_orderkey % 5 <> 0 THEN 'n ' || o_orderkey || ' | ' || o_orderstatus END AS line FROM orders),
+        t AS (SELECT d, p, chr(10) || '=== STRUCTURED TABLES ===' || chr(10) || '[Table 1]' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY n) || chr(10), '') AS t FROM (SELECT *, min(s) OVER (PARTITION BY d, p) AS f FROM r) WHERE s = f GROUP BY d, p)
+        SELECT d::VARCHAR AS doc_id, string_agg('--- PAGE ' || p || ' ---' || t || chr(10) || '=== RAW PAGE TEXT ===' || chr(10) || 'page of ' || d, chr(10) ORDER BY p) AS text FROM t GROUP BY d""",
+    "prompt_parts": f"""WITH s AS (SELECT doc_id, text, concat_ws(chr(10), {", ".join(f"CASE WHEN doc_id % {k} = 0 THEN '  {label}: ' || n_chars END" for k, label in zip((2, 3, 5, 7, 11, 13, 17, 19), SUMMARY_NAMES.values()))}) AS l FROM documents)
+        SELECT doc_id, CASE WHEN l <> '' THEN 'Figures printed at the end of the document:' || chr(10) || l ELSE '' END AS summary, doc_id % 2 <> 0 AND len(text) // 4 > 2500 AS compact FROM s""",
+    "written_templates": f"""WITH {_STATEMENTS}, n AS (SELECT o_custkey, least(count(*), 400) AS c FROM w GROUP BY o_custkey)
+        SELECT o_custkey::VARCHAR AS doc_id, CASE WHEN c <= 40 THEN '{{"vendor": "V", "fields": {{"total": {{"anchor": "Grand Total"}}}}, "words": ' || c || '}}' END AS template, CASE WHEN c <= 40 THEN '' ELSE 'no template in the answer' END AS problem FROM n""",
+    "history_tail": f"WITH {BILLS} SELECT l_orderkey * 1000 + l_suppkey AS history_seq, vendor, invoice_number FROM bills ORDER BY 1 DESC LIMIT 200",
     "model_retry": f"""WITH {BILLS} SELECT doc_id, 'N-' || l_orderkey AS invoice_number, (line_sum + tax_sum)::DECIMAL(18,2) AS total, tax_sum::DECIMAL(18,2) AS tax, true AS validation_ok FROM bills""",
 }

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import jsonfix
 from tallyforge.functions import scalars as S
-from tallyforge.operators import documents, edits, exports, geometry, infer, pages, tables
+from tallyforge.operators import documents, edits, exports, geometry, infer, pages, prompts, tables
 from tallyforge.plans.bills import bill_lines, bills, table
 from tallyforge.plans.document_queries import statements
 from tallyforge.sinks import files
+from tallyforge.sources import readers
 from tallyforge.sources.readers import shared_folder
 
 
@@ -174,7 +175,47 @@ def model_retry(spark, sf):
     return documents.extract_with_model(b, model).select("doc_id", "invoice_number", "total", "tax", "validation_ok")
 
 
+def scanned_states(spark, sf):
+    """Files that are fine, encrypted, broken, or have no pages."""
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id") % 7
+    state = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(k == 1, "encrypted").when(k == 2, "error").otherwise("ok").alias("state"))
+    return pages.scanned_files(state, d.where("doc_id % 7 <> 3").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text"))
+
+
+def layout_text(spark, sf):
+    """Pages with tables by two strategies, of which the first that finds any counts."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("page_no"), F.col("o_orderkey").alias("row_no"), "o_orderstatus")
+    rows = o.select("doc_id", "page_no", (F.col("row_no") % 3).cast("int").alias("strategy"), F.lit(1).alias("table_no"), "row_no", F.when(F.col("row_no") % 5 == 0, F.array(F.lit(" "), F.lit(None))).otherwise(F.array(F.concat(F.lit(" n\n"), "row_no"), F.col("o_orderstatus"))).alias("cells"))
+    page = o.select("doc_id", "page_no").distinct().withColumn("text", F.concat(F.lit("page of "), "doc_id"))
+    return prompts.layout_text(page, rows)
+
+
+def prompt_parts(spark, sf):
+    """The summary block of a prompt, and whether the prompt has to be compact."""
+    d = table(spark, sf, "documents")
+    has = lambda k: F.when(F.col("doc_id") % k == 0, F.col("n_chars").cast("string"))
+    df = d.select("doc_id", "text", *(has(k).alias(name) for k, name in zip((2, 3, 5, 7, 11, 13, 17, 19), pages.SUMMARY_LABELS)))
+    url = F.when(F.col("doc_id") % 2 == 0, "https://api.openai.com/v1").otherwise("http://localhost:11434")
+    return df.select("doc_id", prompts.summary_text().alias("summary"), prompts.compact_prompt(url, F.col("text")).alias("compact"))
+
+
+def written_templates(spark, sf):
+    """Templates that a model writes; every answer to a long statement is no template."""
+
+    def model(prompt: str) -> str:
+        words = prompt.count("\n") - 2
+        return "I cannot." if words > 40 else f"```yaml\nvendor: V\nfields:\n  total:\n    anchor: Grand Total\nwords: {words}\n```"
+
+    return prompts.generate_templates(statements(spark, sf), model)
+
+
+def history_tail(spark, sf):
+    b = bills(spark, sf).select((F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("history_seq"), "vendor", "invoice_number")
+    return readers.history_tail(b, 200)
+
+
 TABLES = (
     json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
-    wide_line_columns, text_cleanup, history_batches, audit_log, model_retry,
+    wide_line_columns, text_cleanup, history_batches, audit_log, model_retry, scanned_states, layout_text, prompt_parts, written_templates, history_tail,
 )

@@ -10,6 +10,7 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from urllib.parse import unquote
 
 import pandas as pd
 import yaml
@@ -69,6 +70,49 @@ def admit(files: DataFrame, limit_mb: int = 25) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null").drop("content")
 
 
+def check_batch(files: DataFrame, most: int = 100) -> None:
+    """Refuses a batch of more than ``most`` files; at most one more is counted."""
+    if files.select("path").limit(most + 1).count() > most:
+        raise ValueError(f"Too many files at once (limit {most}).")
+
+
+def list_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kb) of the workbooks and CSV files in a folder, by name."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,csv,XLSX,CSV}").load(path)
+    return found.select(F.substring_index("path", "/", -1).alias("name"), F.round(F.col("length") / 1024, 1).alias("kb")).orderBy("name")
+
+
+def read_templates(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Templates of a folder of YAML files by their names without ending: configuration, a few files."""
+    found = spark.read.option("pathGlobFilter", "*.{yaml,yml}").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return load_templates({re.sub(r"\.ya?ml$", "", unquote(r.path.rsplit("/", 1)[-1])): r.value for r in found.collect()})
+
+
+def _file(spark: SparkSession, folder: str, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{safe_id(name)}.yaml")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save_template(spark: SparkSession, folder: str, name: str, text: str) -> str:
+    """Writes one template, over an older one of its name; the name is made safe."""
+    path, fs = _file(spark, folder, name)
+    out = fs.create(path, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return path.toString()
+
+
+def delete_template(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether there was one to delete."""
+    path, fs = _file(spark, folder, name)
+    return bool(fs.delete(path, False))
+
+
+def history_tail(history: DataFrame, n: int = 200) -> DataFrame:
+    """The last ``n`` invoices, newest first: a bounded top-k."""
+    return history.orderBy(F.desc("history_seq")).limit(n)
+
+
 def file_hash(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 

@@ -4,6 +4,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from tallyforge.operators import documents, exports, geometry, infer, pages, tables
 from tallyforge.operators.geometry import Word
 from tallyforge.sinks import files
@@ -146,3 +148,20 @@ def test_stream_sees_what_earlier_batches_appended(spark, tmp_path):
         inbox.start(inbox.read_inbox(spark, str(folder)), *paths).awaitTermination()
     got = {r.source_file: r.duplicate_note for r in spark.read.parquet(paths[1]).collect()}
     assert got == {"f0": "", "f1": "identical file processed on 2026-01-01 00:00:00"}
+
+
+def test_template_folder_outputs_and_batches(spark, tmp_path):
+    folder = str(tmp_path / "templates")
+    readers.save_template(spark, folder, "ACME Ltd", "vendor: ACME\nfields: {}\n")
+    readers.save_template(spark, folder, "b", "- no mapping\n")
+    assert readers.read_templates(spark, folder) == {"acme_ltd": {"vendor": "ACME", "fields": {}}}
+    assert readers.delete_template(spark, folder, "ACME Ltd") and not readers.delete_template(spark, folder, "ACME Ltd")
+    for name, n in (("b.csv", 2048), ("a.xlsx", 512), ("c.txt", 9)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    assert [tuple(r) for r in readers.list_outputs(spark, str(tmp_path)).collect()] == [("a.xlsx", 0.5), ("b.csv", 2.0)]
+    files_ = spark.createDataFrame([(f"{i}.pdf",) for i in range(3)], "path string")
+    readers.check_batch(files_, 3)
+    with pytest.raises(ValueError):
+        readers.check_batch(files_, 2)
+    history = spark.createDataFrame([(i, f"v{i}") for i in range(9)], "history_seq long, vendor string")
+    assert [r.history_seq for r in readers.history_tail(history, 2).collect()] == [8, 7]
