@@ -8,10 +8,10 @@ set-oriented (bands, nearest headers, sums) is in ``tables`` and ``checks``.
 from __future__ import annotations
 
 import json
-
+from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,7 +193,8 @@ def band_table(words: list[Word], lines: list[list[Word]], rule: dict) -> list[d
                 return name
         return None
 
-    table = pd.DataFrame([(r[0].top, _cells(r, columns, place)) for r in rows_by_anchor([w for w in words if low < w.top < high], float(rule.get("row_tol", 6.0)), False)], columns=["top", "cells"])
+    lines_ = rows_by_anchor([w for w in words if low < w.top < high], float(rule.get("row_tol", 6.0)), False)
+    table = {"top": [r[0].top for r in lines_], "cells": [_cells(r, columns, place) for r in lines_]}
     figures = [c["name"] for c in columns if c["type"] in ("money", "number")]
     texts = [c["name"] for c in columns if c["type"] == "text"]
     full = [i for i, c in enumerate(table["cells"]) if any(c.get(f) not in (None, "") for f in figures)]
@@ -244,17 +245,22 @@ EXTRACTED = "doc_id string, template_id string, header string, items array<strin
 def extract_documents(words: DataFrame, templates: dict[str, dict]) -> DataFrame:
     """Words (with template_id) -> header and items of every document as JSON, one group a document.
 
-    Grouping by document is the only shuffle; a document's words are few, whatever the corpus.
+    Gathering the words of a document is the only shuffle; they are few, whatever the corpus.
     """
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page_no", "word_no"])
-        placed = [Word(*r) for r in frame[["text", "x0", "x1", "top"]].itertuples(index=False)]
-        template = templates.get(key[1])
-        header, items = extract(placed, template) if template else ({}, [])
-        return pd.DataFrame([(key[0], key[1], json.dumps(header, ensure_ascii=False), [json.dumps(r, ensure_ascii=False) for r in items])], columns=["doc_id", "template_id", "header", "items"])
-
-    return words.groupBy("doc_id", "template_id").applyInPandas(run, EXTRACTED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers, rows = [], []
+            for name, words_ in zip(batch.column(1).to_pylist(), batch.column(2)):
+                template = templates.get(name)
+                header, items = extract([Word(w["text"], w["x0"], w["x1"], w["top"]) for w in words_.as_py()], template) if template else ({}, [])
+                headers.append(json.dumps(header, ensure_ascii=False))
+                rows.append([json.dumps(r, ensure_ascii=False) for r in items])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(headers, pa.string()), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "template_id", "header", "items"])
+
+    placed = F.array_sort(F.collect_list(F.struct("page_no", "word_no", "text", "x0", "x1", "top")))
+    documents = words.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("template_id").cast("string").alias("template_id")).agg(placed.alias("words"))
+    return documents.mapInArrow(run, EXTRACTED)
 
 
 def to_invoices(extracted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import jsonfix
 from tallyforge.functions import scalars as S
-from tallyforge.operators import documents, edits, exports, geometry, infer, pages, prompts, tables
+from tallyforge.operators import checks, documents, edits, exports, geometry, infer, pages, prompts, tables
 from tallyforge.plans.bills import bill_lines, bills, table
 from tallyforge.plans.document_queries import statements
 from tallyforge.sinks import files
@@ -215,7 +215,13 @@ def history_tail(spark, sf):
     return readers.history_tail(b, 200)
 
 
+def arrival_order(spark, sf):
+    """How many documents of the same text came before each."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"))
+    return checks.first_in_batch(d, "key", "doc_id").select("doc_id", "seen")
+
+
 TABLES = (
     json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
-    wide_line_columns, text_cleanup, history_batches, audit_log, model_retry, scanned_states, layout_text, prompt_parts, written_templates, history_tail,
+    wide_line_columns, text_cleanup, history_batches, audit_log, model_retry, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
 )
