@@ -54,5 +54,4 @@ TABLES = {
         SELECT o_custkey::VARCHAR AS doc_id, CASE WHEN c <= 40 THEN '{{"vendor": "V", "fields": {{"total": {{"anchor": "Grand Total"}}}}, "words": ' || c || '}}' END AS template, CASE WHEN c <= 40 THEN '' ELSE 'no template in the answer' END AS problem FROM n""",
     "history_tail": f"WITH {BILLS} SELECT l_orderkey * 1000 + l_suppkey AS history_seq, vendor, invoice_number FROM bills ORDER BY 1 DESC LIMIT 200",
     "arrival_order": "SELECT doc_id, (row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1)::INT AS seen FROM documents",
-    "model_retry": f"""WITH {BILLS} SELECT doc_id, 'N-' || l_orderkey AS invoice_number, (line_sum + tax_sum)::DECIMAL(18,2) AS total, tax_sum::DECIMAL(18,2) AS tax, true AS validation_ok FROM bills""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import jsonfix
 from tallyforge.functions import scalars as S
-from tallyforge.operators import checks, documents, edits, exports, geometry, infer, pages, prompts, tables
+from tallyforge.operators import checks, edits, exports, geometry, infer, pages, prompts, tables
 from tallyforge.plans.bills import bill_lines, bills, table
 from tallyforge.plans.document_queries import statements
 from tallyforge.sinks import files
@@ -162,19 +162,6 @@ def audit_log(spark, sf):
     return spark.read.parquet(second).select("seq", "event", "detail", "user")
 
 
-def model_retry(spark, sf):
-    """A model whose first answers miss the total of every third document, and which heeds the correction."""
-
-    def model(prompt: str) -> str:
-        number, subtotal, tax = prompt.split("|")[:3]
-        wrong = int(number) % 3 == 0 and "CORRECTION" not in prompt
-        return f'{{"vendor": "V", "invoice_number": "N-{number}", "invoice_date": "2024-01-01", "taxes": [{{"name": "GST", "amount": {tax}}}], "subtotal": {subtotal}, "total": {"1.00" if wrong else round(float(subtotal) + float(tax), 2)}, "line_items": [{{"description": "goods", "amount": {subtotal}}}]}}'
-
-    shared_folder(spark)
-    b = bills(spark, sf).select("doc_id", F.concat_ws("|", "l_orderkey", F.col("line_sum").cast("string"), F.col("tax_sum").cast("string"), F.lit("")).alias("prompt"))
-    return documents.extract_with_model(b, model).select("doc_id", "invoice_number", "total", "tax", "validation_ok")
-
-
 def scanned_states(spark, sf):
     """Files that are fine, encrypted, broken, or have no pages."""
     d = table(spark, sf, "documents")
@@ -223,5 +210,5 @@ def arrival_order(spark, sf):
 
 TABLES = (
     json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
-    wide_line_columns, text_cleanup, history_batches, audit_log, model_retry, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
+    wide_line_columns, text_cleanup, history_batches, audit_log, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
 )
