@@ -81,11 +81,17 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
 
     full = near.shared(near.bands(classes))
     _, comp = near.run(full, classes.select("id", "n", "regs"), fetch)
-    named = space.save(classes.select("id", "doc", "h1", "h2").join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "doc", "comp"))
-    first = named.where("comp is not null").groupBy(F.col("comp").alias("_c")).agg(F.min(F.struct("doc", "_h1", "_h2")).alias("_first"))
-    named = space.save(named.join(first, F.col("comp") == F.col("_c"), "left").select("_h1", "_h2", F.coalesce("_first", F.struct("doc", "_h1", "_h2")).alias("_first")))
-    judged = F.col("n") > 0
-    out = rows.select("id", "n", "h1", "h2").join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & judged & F.col("id").isNotNull(), "left")
+    keyed = classes.select("id", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "doc")
+    linked = space.save(keyed.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("_h1", "_h2", "doc", "comp"))
+    first = space.save(linked.groupBy(F.col("comp").alias("_c")).agg(F.min(F.struct("doc", "_h1", "_h2")).alias("_first")))
+    # only linked classes meet their component: the others have none in common
+    named = linked.join(small(first, SMALL), F.col("comp") == F.col("_c")).select("_h1", "_h2", "_first")
+    alone = keyed.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left_anti").select("_h1", "_h2", F.struct("doc", "_h1", "_h2").alias("_first"))
+    named = space.save(named.union(alone))
+    some = (F.col("n") > 0) & F.col("id").isNotNull()
+    light = rows.select("id", "n", "h1", "h2")
+    judged = light.where(some).join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("id", "n", "h1", "h2", "_first")
+    out = judged.union(light.where(~some).withColumn("_first", F.lit(None).cast("struct<doc:long,_h1:long,_h2:long>")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("_first.doc", "id"))
     rep = F.coalesce(F.col("_first") == F.struct("id", "h1", "h2"), F.lit(True))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), "h1", "h2", rep.alias("rep"))
