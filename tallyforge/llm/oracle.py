@@ -98,5 +98,85 @@ FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT x AS doc_id, mi
 """
 
 
+#: The checksum of the driver's folds, from its polynomial: a table of 256 remainders, then a fold over the bytes of ASCII keys.
+_CRC = r"""crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), n)) AS remainder)"""
+
+
+def _crc32(key: str) -> str:
+    return f"xor(list_reduce(list_transform(range(1, length({key}) + 1), lambda i: ascii(substr({key}, i, 1))::BIGINT), lambda c, b: xor(c >> 8, remainder[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC},
+raw AS (
+  SELECT conv_id, turn, coalesce(conv_id::VARCHAR, '') AS c, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS r(i) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY pos) AS times, lag(role[1:1]) OVER (PARTITION BY c ORDER BY pos) || role[1:1] AS pair FROM placed),
+fault AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN times > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM seen),
+conv AS (SELECT DISTINCT conv_id, c FROM raw),
+ins(x, y, letters) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'IJ'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'IJ'), (2, 2, ''), (2, 3, 'J'), (3, 3, ''), (3, 2, 'I')),
+move(x, y, letter, role) AS (VALUES (0, 0, 'D', NULL), (1, 1, 'D', NULL), (2, 2, 'D', NULL), (3, 3, 'D', NULL), (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'), (2, 3, 'K', 'a'), (0, 2, 'R', NULL), (1, 2, 'R', NULL), (3, 2, 'R', NULL), (2, 3, 'S', NULL)),
+best AS (
+  SELECT c, 0::BIGINT AS pos, 0 AS st, {{'cost': 0::BIGINT, 'audit': '', 'code': ''}} AS b FROM conv
+  UNION ALL
+  SELECT d.c, d.pos + 1, m.y, min({{'cost': b.cost + 2 * length(i.letters) + CASE m.letter WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + CASE WHEN m.letter <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END,
+    'audit': b.audit || translate(i.letters || m.letter, 'JS', 'IR'), 'code': b.code || i.letters || m.letter}})
+  FROM best d JOIN fault f ON f.c = d.c AND f.pos = d.pos + 1 JOIN ins i ON i.x = d.st JOIN move m ON m.x = i.y
+  WHERE m.letter = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (m.letter <> 'K' OR m.role = f.role[1:1]))
+  GROUP BY d.c, d.pos, m.y),
+done AS (
+  SELECT d.c, min({{'cost': b.cost + 2 * length(i.letters), 'audit': b.audit || translate(i.letters, 'J', 'I'), 'code': b.code || i.letters}}) AS b
+  FROM best d JOIN (SELECT c, max(pos) AS pos FROM best GROUP BY c) USING (c, pos) JOIN ins i ON i.x = d.st WHERE i.y IN (0, 3) GROUP BY d.c),
+letter AS (SELECT c, k, b.code[k:k] AS l, length(regexp_replace(b.code[1:k], '[IJ]', '', 'g')) AS pos FROM done, unnest(range(1, length(b.code) + 1)) AS r(k)),
+said AS (
+  SELECT l.c, string_agg(CASE WHEN l = 'K' THEN f.role WHEN l IN ('I', 'R') THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l IN ('I', 'J') THEN '' ELSE f.text END, chr(10) ORDER BY k) AS said
+  FROM letter l LEFT JOIN fault f ON f.c = l.c AND f.pos = l.pos WHERE l <> 'D' GROUP BY l.c),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM fault GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, b.cost::BIGINT AS cost, b.audit AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM conv JOIN done USING (c) LEFT JOIN said USING (c) LEFT JOIN counts USING (c)
+"""
+
+
+OP13 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flag AS (
+  SELECT d, part, doc_id, len(w) < 100 AS A, 100 * len(list_distinct(w)) < 80 * len(w) AS B, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS C,
+    regexp_matches(t, '[#$%&*|]') AS D_, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E FROM doc),
+label AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT f.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    concat(CASE WHEN A THEN 'A' ELSE '' END, CASE WHEN B THEN 'B' ELSE '' END, CASE WHEN C THEN 'C' ELSE '' END, CASE WHEN D_ THEN 'D' ELSE '' END, CASE WHEN E THEN 'E' ELSE '' END) AS failed
+  FROM flag f LEFT JOIN label USING (doc_id)),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+grouped AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, failed),
+gone AS (
+  SELECT *, (SELECT coalesce(min(i), 6) FROM range(1, 6) AS r(i) WHERE contains(failed, filter_order[i:i])) AS hit FROM grouped, orders),
+parts AS (SELECT DISTINCT part FROM doc),
+rows_ AS (
+  SELECT part, filter_order, step::INT AS step, filter_order[step:step] AS own, sum(CASE WHEN hit > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit < step AND contains(failed, filter_order[step:step]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = filter_order[step:step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM gone, range(1, 6) AS s(step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM rows_
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2, "op3_benchmark_decontamination": OP3, "op8_mixing": OP8}
+    return {"op2_near_duplicates": OP2, "op3_benchmark_decontamination": OP3, "op8_mixing": OP8, "op11_conversation_repair": OP11, "op13_filter_interactions": OP13}

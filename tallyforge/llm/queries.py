@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontaminate, htmltext, language, mixing, neardup, quality, secrets, substring, tokencount, urlfilter
+from tallyforge.llm import conversations, decontaminate, htmltext, interactions, language, mixing, neardup, quality, secrets, substring, tokencount, urlfilter
 from tallyforge.llm.common import table
 
 
@@ -51,5 +51,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op11(table(spark, sf_dir, "conversations"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules)}
+    found = (
+        op1_token_counts, op2_near_duplicates, op3_benchmark_decontamination, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_secret_scans, op8_mixing, op9_url_filters, op10_quality_rules,
+        op11_conversation_repair, op12_lm_scoring, op13_filter_interactions,
+    )
+    return {f.__name__: f for f in found}
