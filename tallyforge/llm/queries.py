@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import conversations, decontaminate, htmltext, interactions, language, mixing, neardup, quality, secrets, substring, tokencount, urlfilter
+from tallyforge.llm import conversations, decontaminate, htmltext, interactions, language, lmscore, mixing, neardup, quality, secrets, substring, tokencount, urlfilter
 from tallyforge.llm.common import table
 
 
