@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import Workspace, hashed_words, mix64
 
 #: Bytes of text taken at a time, and bytes of text for each group of hashes.
-BLOCK, SHARE = 1 << 25, 1 << 23
-#: Base of the levels, bits of filter an entry, hash functions, levels at most.
-BASE, BITS, PROBES, LEVELS = 1.5, 12, 6, 100
+BLOCK, SHARE = 1 << 23, 1 << 22
+#: Base of the levels, bits of filter an entry, bits set for it, levels at most.
+BASE, BITS, PROBES, LEVELS = 1.5, 12, 5, 100
 #: Bytes of filter broadcast at a time, and words whose exact counts are broadcast (16 bytes each).
-MOST_BYTES, MOST_WORDS = 1 << 28, 1 << 21
+MOST_BYTES, MOST_WORDS = 1 << 27, 1 << 20
 #: Weight of the word's own probability against the counts of its history.
 PRIOR = 200.0
 _END = 0x9E3779B97F4A7C15
@@ -112,18 +112,26 @@ def _counted(buckets: int):
                     edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
                     out += [(int(at[lo]), kind, h[lo:hi].tobytes(), c[lo:hi].astype(np.uint8).tobytes() if c[lo:hi].max() < 256 else c[lo:hi].tobytes()) for lo, hi in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "h", "c"])
+                del out, pairs, times, tokens, hashes
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _positions(h: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    """Bit within the n-gram's segment of the given size."""
-    with np.errstate(over="ignore"):
-        salt = np.uint64((level * 1_000_003 + probe * 7919 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (h ^ salt) * np.uint64(0xD6E8FEB86659FD93)
+def _places(h: np.ndarray, level: int, cells: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of 64 bits within a segment of so many cells, and a number of which six bits each name a bit of the cell."""
+    salt = np.uint64((level * 1_000_003 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (h ^ salt) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return ((x >> np.uint64(32)) * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
+    cell = ((x >> np.uint64(32)) * np.asarray(cells, np.uint64) >> np.uint64(32)).astype(np.int64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return cell, x
+
+
+def _bit(x: np.ndarray, probe: int) -> np.ndarray:
+    return x >> np.uint64(58 - 6 * probe) & np.uint64(63)
 
 
 _SEGMENT = "bucket long, segment binary, words binary, counts binary, tally array<long>"
@@ -147,24 +155,28 @@ def _segment(key: tuple, rows: pa.Table) -> pa.Table:
         bits += [(h, level)]
         if kind == WORD:
             kept = h.tobytes(), c.tobytes()
-    size = max(64, -(-sum(int(level.sum()) for _, level in bits) * BITS // 64) * 64)
-    full = np.zeros(size, bool)
+    cells = max(1, -(-sum(int(level.sum()) for _, level in bits) * BITS // 64))
+    full = np.zeros(cells * 64, bool)
     for h, level in bits:
         for j in range(1, int(level.max()) + 1):
-            own = h[level >= j]
+            cell, x = _places(h[level >= j], j, cells)
             for probe in range(PROBES):
-                full[_positions(own, j, probe, size)] = True
-    return pa.table({"bucket": [key[0].as_py()], "segment": pa.array([np.packbits(full).tobytes()], pa.binary()), "words": pa.array([kept[0]], pa.binary()), "counts": pa.array([kept[1]], pa.binary()), "tally": pa.array([tally.reshape(-1).tolist()], pa.list_(pa.int64()))})
+                full[cell * 64 + _bit(x, probe).astype(np.int64)] = True
+    pa.default_memory_pool().release_unused()
+    return pa.table({"bucket": [key[0].as_py()], "segment": pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary()), "words": pa.array([kept[0]], pa.binary()), "counts": pa.array([kept[1]], pa.binary()), "tally": pa.array([tally.reshape(-1).tolist()], pa.list_(pa.int64()))})
 
 
 @dataclass
 class Part:
-    """Consecutive segments of the filter: those of groups ``low`` to ``low + len(sizes) - 1``."""
+    """Consecutive segments of the filter: those of groups ``low`` to ``low + len(sizes) - 1``, in cells of 64 bits.
+
+    A level of an n-gram sets PROBES bits of one cell, so a probe reads memory once.
+    """
 
     low: int
     buckets: int
     sizes: np.ndarray
-    bits: np.ndarray
+    cells: np.ndarray
 
     def __post_init__(self):
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -176,12 +188,14 @@ class Part:
         live = np.flatnonzero((at >= 0) & (at < len(self.sizes)))
         h, size, start = h[live], self.sizes[at[live]], self.starts[at[live]]
         for j in range(1, LEVELS + 1):
+            cell, x = _places(h, j, size)
+            mask = np.zeros(len(h), np.uint64)
             for probe in range(PROBES):
-                if not len(live):
-                    return out
-                bit = start + _positions(h, j, probe, size)
-                stay = (self.bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-                live, h, size, start = live[stay], h[stay], size[stay], start[stay]
+                mask |= np.uint64(1) << _bit(x, probe)
+            stay = self.cells[start + cell] & mask == mask
+            live, h, size, start = live[stay], h[stay], size[stay], start[stay]
+            if not len(live):
+                break
             out[live] = j
         return out
 
@@ -200,19 +214,17 @@ class Model:
 
     def parts(self, most_bytes: int) -> Iterator[Part]:
         """The filter in parts of at most so many bytes (one segment at least), in order."""
-        sizes, data, low, held = [], [], 0, 0
+        sizes, data, low = [], bytearray(), 0
         for r in self.table.select("bucket", "segment").orderBy("bucket").toLocalIterator():
-            if data and held + len(r.segment) > most_bytes:
-                yield Part(low, self.buckets, np.array(sizes, np.int64), np.frombuffer(b"".join(data), np.uint8))
-                sizes, data, low, held = [], [], low + len(sizes), 0
+            if sizes and len(data) + len(r.segment) > most_bytes:
+                yield Part(low, self.buckets, np.array(sizes, np.int64), np.frombuffer(data, np.uint64))
+                sizes, data, low = [], bytearray(), low + len(sizes)
             while low + len(sizes) < r.bucket:  # groups without any n-gram
-                sizes.append(64)
-                data.append(bytes(8))
-                held += 8
-            sizes.append(8 * len(r.segment))
-            data.append(r.segment)
-            held += len(r.segment)
-        yield Part(low, self.buckets, np.array(sizes or [64], np.int64), np.frombuffer(b"".join(data) or bytes(8), np.uint8))
+                sizes.append(1)
+                data += bytes(8)
+            sizes.append(len(r.segment) // 8)
+            data += r.segment
+        yield Part(low, self.buckets, np.array(sizes or [1], np.int64), np.frombuffer(data or bytes(8), np.uint64))
 
     def words(self, least: int = 1, below: int | None = None) -> DataFrame:
         """(h, c): exact counts of words, from ``least`` on and under ``below``."""
@@ -321,6 +333,8 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR, most_bytes: int =
                      pa.array(np.add.reduceat(np.log10(c + 1.0)[tokens], starts)), pa.ListArray.from_arrays(pa.array(edge), pa.array(hashes[tokens[rare]].view(np.int64))), pa.array(np.add.reduceat(p, starts))],
                     ["doc_id", "row", "n_tokens", "n_known", "base", "rare", "score"],
                 )
+                del hashes, tokens, word, pair, at, hit, c, rare, p
+                pa.default_memory_pool().release_unused()
 
     out = rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base double, rare array<long>, score double")
     if not whole:  # words without a broadcast count are joined; the written table keeps the numbers of rows
