@@ -46,16 +46,20 @@ def from_answers(answers: DataFrame, column: str = "raw") -> DataFrame:
         pairs += [F.struct(F.lit(c).alias("k"), S.to_number(r[c]).cast("string").alias("v")) for c in CELLS]
         return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
-    currency = F.when(_text(a("currency")).isNotNull(), F.array(F.struct(F.lit("currency").alias("key"), F.trim(a("currency")).alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    # a tax's name that is taken already gets a suffix
-    entries = F.transform(taxes, lambda t, i: F.struct(F.when(F.coalesce(F.nullif(F.trim(t["name"]), F.lit("")), F.lit("tax")).isin("currency") | F.exists(F.slice(taxes, 1, i), lambda o: F.trim(o["name"]) == F.trim(t["name"])), F.concat(F.trim(t["name"]), F.lit("_amount"))).otherwise(F.coalesce(F.nullif(F.trim(t["name"]), F.lit("")), F.lit("tax"))).alias("key"), S.to_number(t["amount"]).cast(D).cast("string").alias("value")))
-    unique = F.filter(F.concat(currency, entries), lambda e: e["key"].isNotNull())
+    start = F.when(_text(a("currency")).isNotNull(), F.create_map(F.lit("currency"), F.trim(a("currency")))).otherwise(F.create_map().cast("map<string,string>"))
+
+    def put(taken: Column, t: Column) -> Column:
+        """A tax whose name is taken goes by ``<name>_amount``; the last of these stays."""
+        name = F.trim(F.coalesce(F.nullif(t["name"], F.lit("")), F.lit("tax")))
+        key, value = F.when(F.map_contains_key(taken, name), F.concat(name, F.lit("_amount"))).otherwise(name), S.to_number(t["amount"]).cast(D).cast("string")
+        return F.when(F.map_contains_key(taken, key), F.transform_values(taken, lambda k, v: F.when(k == key, value).otherwise(v))).otherwise(F.map_concat(taken, F.create_map(key, value)))
+
     line_sum = F.aggregate("lines", F.lit(0).cast(D), lambda acc, m: (acc + F.coalesce(F.try_element_at(m, F.lit("amount")).try_cast(D), F.lit(0).cast(D))).cast(D))
     df = df.withColumns({
         "vendor": F.coalesce(_text(a("vendor")), F.lit("")), "invoice_number": F.when(S.invoice_number_confidence(number) >= 0.4, number), "po_number": F.when(S.order_number_confidence(order) >= 0.4, order),
         "invoice_date": _text(a("invoice_date")), "subtotal": money("subtotal"), "total": money("total"), "cgst": money("cgst"), "sgst": money("sgst"), "igst": money("igst"), "taxable_value": money("taxable_value"),
         "tax": F.when(gst > 0, gst).when(F.size(taxes) > 0, tax_sum).otherwise((money("total") - money("subtotal")).cast(D)),
-        "extra": F.map_from_entries(F.filter(unique, lambda e: F.size(F.filter(unique, lambda o: o["key"] == e["key"])) == 1)), "lines": F.transform(rows, cols),
+        "extra": F.aggregate(taxes, start, put), "lines": F.transform(rows, cols),
     })
     return df.withColumns({"n_lines": F.size("lines"), "line_sum": line_sum}).drop("_a", "json", column)
 

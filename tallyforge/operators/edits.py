@@ -57,13 +57,24 @@ def labels_for(values: DataFrame, words: DataFrame) -> DataFrame:
     return values.select(*keys).join(left, keys, "left").join(up, keys, "left").select(*keys, F.coalesce("label", "_above").alias("label"))
 
 
-def without_overlaps(candidates: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kind, x0, x1) -> candidates that overlap none of a smaller kind on their line; equal boxes once."""
-    better = candidates.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "line_no", "kind", "x0", "x1")))
-    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("line_no") == F.col("_line_no")) & (F.col("_kind") < F.col("kind"))
-    kept = candidates.join(better, same & (F.col("_x0") < F.col("x1")) & (F.col("x0") < F.col("_x1")), "left_anti")
-    first = Window.partitionBy("doc_id", "line_no", F.rint("x0"), F.rint("x1")).orderBy("kind", "x0", "x1")
-    return kept.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+def without_overlaps(candidates: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, line_no, kind, x0, x1[, top, bottom]) -> candidates that no better one covers, with columns ``more``.
+
+    Candidates of a line are taken by kind, then from left to right. One of kind 0 is always kept; another is kept if it overlaps none that
+    is kept so far, of any kind: a candidate that is left out covers nothing. Boxes that touch overlap; heights count where both columns
+    are there. Of kept boxes that are equal in whole points one is left, the first of the document. A line is folded in one place: its
+    candidates are as many as its words, whatever the document.
+    """
+    flat = "top" not in candidates.columns or "bottom" not in candidates.columns
+    tall = [] if flat else ["top", "bottom"]
+    one = F.struct("kind", "x0", "x1", *tall, *more)
+    lines = candidates.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    over = lambda a, b: (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (F.lit(True) if flat else (a["top"] <= b["bottom"]) & (b["top"] <= a["bottom"]))
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, c: F.when((c["kind"] == 0) | ~F.exists(acc, lambda o: over(o, c)), F.array_append(acc, c)).otherwise(acc))
+    rows = lines.select("doc_id", "line_no", F.posexplode(kept).alias("_at", "_c")).select("doc_id", "line_no", "_at", "_c.*")
+    same = ["doc_id", *([] if tall else ["line_no"]), *(F.rint(c) for c in ("x0", "x1", *tall))]
+    first = Window.partitionBy(*same).orderBy("line_no", "_at")
+    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_at")
 
 
 def default_type(name: str) -> str:

@@ -126,14 +126,19 @@ def guess_vendor(docs: DataFrame) -> DataFrame:
 MOST_KEYWORDS = 500
 
 
+def loose_words(keyword: str) -> list[str]:
+    """The words that stand for a keyword which isn't in a text as a whole: those of three letters or more, if there are two, be they equal."""
+    words = [w for w in re.split(r"\W+", keyword) if len(w) > 2]
+    return words if len(words) > 1 else []
+
+
 def _match_many(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """As ``match_templates``, with one automaton of all keywords and their words in every Python worker."""
     known = []
     for r in keywords.orderBy("ord").toLocalIterator():
         kw = (r.keyword or "").lower().strip()
         if kw:
-            words = {w for w in re.split(r"\W+", kw) if len(w) > 2}
-            known.append((int(r.ord), r.template_id, r.keyword, kw, words if len(words) > 1 else set()))
+            known.append((int(r.ord), r.template_id, r.keyword, kw, set(loose_words(kw))))
     shared = docs.sparkSession.sparkContext.broadcast(known)  # the configuration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +181,9 @@ def match_templates(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     known = []
     for r in rows:
         kw = (r.keyword or "").lower().strip()
-        words = [w for w in re.split(r"\W+", kw) if len(w) > 2]
         if not kw:
             continue
-        loose = reduce(lambda a, b: a & b, (F.contains(F.col("_low"), F.lit(w)) for w in words)) if len(words) > 1 else F.lit(False)
+        loose = reduce(lambda a, b: a & b, (F.contains(F.col("_low"), F.lit(w)) for w in loose_words(kw)), F.lit(bool(loose_words(kw))))
         score = F.when(F.contains(F.col("_low"), F.lit(kw)), 1.0).when(loose, 0.85).otherwise(0.0)
         known.append(F.struct(score.alias("score"), F.lit(-int(r.ord)).alias("place"), F.lit(r.template_id).alias("template_id"), F.lit(r.keyword).alias("keyword")))
     none = F.lit(None).cast("struct<score:double,place:int,template_id:string,keyword:string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.functions.register import register
-from tallyforge.operators import checks, documents, edits, exports, geometry, tables
+from tallyforge.operators import checks, documents, edits, exports, tables, templates
 from tallyforge.plans.bills import bills, table
 from tallyforge.plans.more_queries import _invoices, _words
 from tallyforge.sources import readers
@@ -43,7 +43,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
 
 def template_extract(spark, sf):
     words = statements(spark, sf).withColumn("template_id", F.lit("orders"))
-    out = geometry.to_invoices(geometry.extract_documents(words, {"orders": TEMPLATE}))
+    out = templates.to_invoices(templates.extract_documents(words, {"orders": TEMPLATE}))
     return out.select("doc_id", "vendor", "invoice_number", F.round("total", 2).alias("total"), F.round("subtotal", 2).alias("subtotal"), "tax", "n_lines", F.col("line_sum").cast("double").alias("line_sum"), F.try_element_at("extra", F.lit("first_amount")).cast("double").alias("first_amount"))
 
 
@@ -118,8 +118,26 @@ def sql_functions(spark, sf):
 
 
 def overlap_candidates(spark, sf):
-    w = _words(spark, sf).select("doc_id", F.lit(0).alias("line_no"), (F.col("part") % 3).cast("int").alias("kind"), (F.col("x0") + F.col("part") % 7).alias("x0"), (F.col("x1") + F.col("part") % 5).alias("x1")).distinct()
+    """Boxes in chains, some of which touch: what covers them decides, and what is left out covers nothing."""
+    w = _words(spark, sf).select("doc_id", F.lit(0).alias("line_no"), (F.col("part") % 4).cast("int").alias("kind"), (F.col("x0") + F.col("part") % 7).alias("x0"), (F.col("x1") + F.col("part") % 5).alias("x1")).distinct()
     return edits.without_overlaps(w).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("x0").alias("sum_x0"))
 
 
-DOCUMENTS = (template_extract, table_read, word_lines, gap_cells, model_answers, answer_scores, edit_override, nearest_click, wide_export, file_identity, admission, typed_projection, sql_functions, overlap_candidates)
+def overlap_chains(spark, sf):
+    """The lines of an order as boxes that reach into their neighbours, or just touch them."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("double").alias("q"), F.min("l_partkey").alias("p"))
+    box = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("line_no"), (F.col("p") % 3).cast("int").alias("kind"), (F.col("l_linenumber") * 10.0).alias("x0"), (F.col("l_linenumber") * 10.0 + F.when(F.col("q") > 25, 10.0).otherwise(F.col("q") % 9)).alias("x1"), "l_linenumber")
+    return edits.without_overlaps(box, "l_linenumber").select("doc_id", "kind", "x0", "x1", "l_linenumber")
+
+
+def tax_names(spark, sf):
+    """Answers with several taxes of one name, and one called like another field."""
+    tax = lambda name, amount: F.struct(F.lit(name).alias("name"), amount.cast("string").alias("amount"))
+    b = bills(spark, sf).where("tax_sum is not null")
+    taxes = F.array(tax("VAT", F.col("tax_sum")), tax(" VAT", F.lit("1.25")), tax("currency", F.lit("5")), tax("VAT", F.lit("no figure")), tax("VAT", F.col("n_lines")), tax(None, F.lit("0.5")))
+    raw = b.select("doc_id", F.to_json(F.struct("vendor", F.lit("INR").alias("currency"), taxes.alias("taxes"))).alias("raw"))
+    of = lambda k: F.try_element_at("extra", F.lit(k)).alias(k)
+    return documents.from_answers(raw).select("doc_id", F.size("extra").alias("n_extra"), of("currency"), of("VAT"), of("VAT_amount"), of("currency_amount"), of("tax"), F.col("tax").alias("tax_sum"))
+
+
+DOCUMENTS = (template_extract, table_read, word_lines, gap_cells, model_answers, answer_scores, edit_override, nearest_click, wide_export, file_identity, admission, typed_projection, sql_functions, overlap_candidates, overlap_chains, tax_names)

@@ -128,7 +128,7 @@ ORACLE = {
           CASE WHEN text IS NULL OR text = '' THEN '(none)' WHEN len(text) > 10 THEN left(text, 3) || '…' || right(text, 3) ELSE '…' END AS masked,
           trim(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM r""",
     "clean_labels": r"""WITH r AS (SELECT doc_id, text, text AS t FROM documents)
-        SELECT doc_id, trim(lower(t), ':.,;-()[]% ') AS label, trim(replace(regexp_replace(lower(translate(t, 'áéíóúñçêèàäöüßÁÉÍÓÚÑÇÊÈÀÄÖÜ', 'aeiouncêeaaous')), '[^a-z0-9%/ ]', ' ', 'g'), '  ', ' ')) AS header,
+        SELECT doc_id, trim(lower(t), ':.,;-()[]% ') AS label, trim(replace(regexp_replace(lower(t), '[^a-z0-9%/ ]', ' ', 'g'), '  ', ' ')) AS header,
           trim(regexp_replace('[?' || text || '?]', '\[?\?+([^?\]]*)\?+\]?', '\1', 'g')) AS undoubted,
           replace(replace(replace(t, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS xml,
           left(regexp_replace(replace(split_part('in/' || t || '.pdf', '/', -1), '\', '_'), '[<>:"|?*\x00-\x1f]', '_', 'g'), 180) AS filename FROM r""",

@@ -143,7 +143,7 @@ def redact(spark, sf):
 
 def clean_labels(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", S.norm_label(t).alias("label"), S.norm_header(F.translate(t, "áéíóúñçêèàäöüßÁÉÍÓÚÑÇÊÈÀÄÖÜ", "aeiouncêeaaous")).alias("header"), S.strip_doubt(F.concat(F.lit("[?"), t, F.lit("?]"))).alias("undoubted"), S.xml_escape(t).alias("xml"), S.safe_filename(F.concat(F.lit("in/"), t, F.lit(".pdf"))).alias("filename"))
+    return table(spark, sf, "documents").select("doc_id", S.norm_label(t).alias("label"), S.norm_header(t).alias("header"), S.strip_doubt(F.concat(F.lit("[?"), t, F.lit("?]"))).alias("undoubted"), S.xml_escape(t).alias("xml"), S.safe_filename(F.concat(F.lit("in/"), t, F.lit(".pdf"))).alias("filename"))
 
 
 def summary_filter(spark, sf):

@@ -17,7 +17,20 @@ TABLES = {
     "carried_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'order #' || o_orderkey AS description, price::VARCHAR AS amount FROM r",
     "positional_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'order' AS col_0, '#' || o_orderkey AS col_1, price::VARCHAR AS col_2 FROM r",
     "header_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'Grand' AS label, round(2 * s::DOUBLE, 2) AS double_total, 'order #' || o_orderkey AS description, price::DOUBLE AS amount FROM r JOIN e USING (o_custkey)",
-    "wrapped_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'order #' || o_orderkey || ' paid' AS description, price::DOUBLE AS amount FROM r",
+    "wrapped_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, CASE WHEN o_custkey % 3 > 0 THEN 'new ' ELSE '' END || 'order #' || o_orderkey || CASE WHEN o_custkey % 3 <> 1 THEN ' paid' ELSE '' END AS description, price::DOUBLE AS amount FROM r",
+    "derived_chain": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'by keyword' AS vendor, (SELECT price::DOUBLE FROM r WHERE r.o_custkey = e.o_custkey AND i = 1) AS first, s::DOUBLE AS gross, 0.0::DOUBLE AS net, s::DOUBLE AS paid, -s::DOUBLE AS due FROM e",
+    "field_candidates": f"""WITH {_STATEMENTS}, c(o_custkey, kind, x0, x1, anchor, value, nth, gap, below, is_money) AS (
+        SELECT o_custkey, 0, 130, 160, 'Statement No', 'C-' || o_custkey, NULL, NULL, NULL, false FROM e WHERE o_custkey % 3 = 0
+        UNION ALL SELECT o_custkey, 1, 90, 160, 'Statement', 'No C-' || o_custkey, NULL, 13, NULL, false FROM e WHERE o_custkey % 3 = 1 AND o_custkey > 9
+        UNION ALL SELECT o_custkey, 0, 154, 212, 'Statement No', '', NULL, NULL, NULL, false FROM e WHERE o_custkey % 3 = 2
+        UNION ALL SELECT o_custkey, 3, 60, 90, 'Statement No', 'C-' || o_custkey, NULL, NULL, 1, false FROM e WHERE o_custkey % 3 = 2 AND o_custkey > 9
+        UNION ALL SELECT o_custkey, 2, 300, 330, 'order #' || o_orderkey, price::VARCHAR, 1, NULL, NULL, true FROM r UNION ALL SELECT o_custkey, 2, 300, 330, 'Grand Total', s::VARCHAR, 1, NULL, NULL, true FROM e)
+        SELECT o_custkey::VARCHAR AS doc_id, kind, x0::DOUBLE AS x0, x1::DOUBLE AS x1, anchor, value, nth::INT AS nth, gap::DOUBLE AS gap, below::INT AS below, is_money FROM c""",
+    "file_words": r"""WITH p AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(12), ' '), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS page FROM documents),
+        w AS (SELECT doc_id, page, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(line, '[\x20\x09-\x0D]+$', '')) AS ends FROM p)
+        SELECT doc_id, sum(len(ws))::BIGINT AS n_words, max(page)::BIGINT AS last_page, sum(list_sum(list_transform(ws, lambda x: length(x))))::BIGINT AS n_chars, max(ends) * 5.0::DOUBLE AS widest FROM w WHERE len(ws) > 0 GROUP BY doc_id""",
+    "first_page_words": r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(string_split(coalesce(text, ''), chr(10))[1], chr(12), ' '), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+        SELECT doc_id, array_to_string(ws, ' ') AS words FROM w WHERE len(ws) > 0""",
     "hsn_and_exempt": """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AND p_partkey % 2 <> 0 AS moves FROM part)
         SELECT k::VARCHAR AS doc_id, CASE WHEN moves THEN '' WHEN k % 3 = 0 THEN (k % 9000 + 1000)::VARCHAR ELSE 'pcs' END AS unit, CASE WHEN k % 2 = 0 THEN '8471' WHEN moves THEN (k % 9000 + 1000)::VARCHAR ELSE '' END AS hsn,
           CASE WHEN k % 5 = 0 THEN '0' ELSE '9' END AS cgst_rate FROM p""",

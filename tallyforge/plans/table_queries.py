@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import jsonfix
 from tallyforge.functions import scalars as S
-from tallyforge.operators import checks, edits, exports, geometry, infer, pages, prompts, tables
+from tallyforge.operators import candidates, checks, edits, exports, infer, pages, prompts, tables, templates
 from tallyforge.plans.bills import bill_lines, bills, table
 from tallyforge.plans.document_queries import statements
 from tallyforge.sinks import files
-from tallyforge.sources import readers
+from tallyforge.sources import page_source, readers
 from tallyforge.sources.readers import shared_folder
 
 
@@ -58,22 +58,97 @@ def positional_table(spark, sf):
     return tables.read_tables(words).select("doc_id", *(F.try_element_at("cols", F.lit(f"col_{i}")).alias(f"col_{i}") for i in range(3)))
 
 
+def _three_ways(words, ways):
+    """The same statements in three layouts; the document's key says which."""
+    k = F.col("doc_id").cast("long") % 3
+    parts = [way(words.where(k == i)).withColumn("template_id", F.lit(f"t{i}")) for i, way in enumerate(ways)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _item_columns(out, *numbers):
+    rows = out.select("doc_id", "header", F.explode("items").alias("r"))
+    return rows.select("doc_id", "header", F.try_element_at("r", F.lit("description")).alias("description"), F.try_element_at("r", F.lit("amount")).cast("double").alias("amount"), *numbers)
+
+
 def header_table(spark, sf):
-    template = {"fields": {"label": {"anchor": "Total", "before": 1}, "sum": {"anchor": "Grand Total", "sum_nth": [1, 1]}}, "line_items": {"header_anchor": "Description", "end_anchor": "Grand Total", "columns": [{"name": "description", "header": "Description"}, {"name": "amount", "header": "Amount", "type": "money"}]}}
-    out = geometry.extract_documents(statements(spark, sf).withColumn("template_id", F.lit("t")), {"t": template})
-    head = F.from_json("header", "label string, sum double")
-    rows = out.select("doc_id", head.alias("h"), F.explode("items").alias("r")).withColumn("r", F.from_json("r", "description string, amount double"))
-    return rows.select("doc_id", "h.label", F.round("h.sum", 2).alias("double_total"), "r.description", "r.amount")
+    """Tables under header lines: as they are; with columns swapped and other names; on a shifted page whose first words are a line above."""
+    fields = {"label": {"anchor": "Total", "before": 1}, "sum": {"anchor": "Grand Total", "sum_nth": [1, 1]}}
+    rules = lambda first, second, end: {"header_anchor": first, "end_anchor": end, "columns": [{"name": "description", "header": first}, {"name": "amount", "header": second, "type": "money"}]}
+    known = {
+        "t0": {"fields": fields, "line_items": rules("Description", "Amount", "Grand Total")},
+        "t1": {"fields": fields, "line_items": rules("Particulars", "Sum", "Grand Total")},
+        "t2": {"fields": fields, "line_items": rules("Description", "Amount", "Grand")},
+    }
+    left = F.col("x0") >= 300
+    swapped = lambda w: w.withColumns({"text": F.when(F.col("text") == "Description", "Particulars").when(F.col("text") == "Amount", "Sum").otherwise(F.col("text")), "x0": F.when((F.col("x0") < 200), F.col("x0") + 400).otherwise(F.col("x0")), "x1": F.when(F.col("x0") < 200, F.col("x1") + 400).otherwise(F.col("x1"))})
+    shifted = lambda w: w.withColumns({"top": F.col("top") * 1.5 + 7, "x0": F.col("x0") + F.when(left, 40).otherwise(15), "x1": F.col("x1") + F.when(left, 40).otherwise(15)})
+    out = templates.extract_documents(_three_ways(statements(spark, sf), (lambda w: w, swapped, shifted)), known)
+    return _item_columns(out, F.col("header.label").alias("label"), F.round(F.col("header.sum").cast("double"), 2).alias("double_total")).drop("header")
 
 
 def wrapped_table(spark, sf):
-    """Descriptions that go on in a line of their own, below their figures."""
+    """Descriptions that go on in a line of their own: below their figures, above them, and on both sides."""
+    table_ = {"header_anchor": "Description", "end_anchor": "Grand Total", "start_offset": 4, "end_offset": 4, "row_tol": 2, "columns": [{"name": "description", "type": "text", "x_min": 20, "x_max": 250}, {"name": "amount", "type": "money", "x_min": 250, "x_max": 500}]}
     words = statements(spark, sf)
-    wraps = words.where("text = 'order'").select("doc_id", "page_no", (F.col("word_no") + 100_000).alias("word_no"), F.lit("paid").alias("text"), "x0", "x1", (F.col("top") + 4).alias("top"))
-    template = {"line_items": {"header_anchor": "Description", "end_anchor": "Grand Total", "start_offset": 4, "end_offset": 4, "row_tol": 2, "columns": [{"name": "description", "type": "text", "x_min": 20, "x_max": 250}, {"name": "amount", "type": "money", "x_min": 250, "x_max": 500}]}}
-    out = geometry.extract_documents(words.unionByName(wraps).withColumn("template_id", F.lit("t")), {"t": template})
-    rows = out.select("doc_id", F.explode("items").alias("r")).withColumn("r", F.from_json("r", "description string, amount double"))
-    return rows.select("doc_id", "r.description", "r.amount")
+
+    def wrapped(*pieces):
+        def way(w):
+            more = [w.where("text = 'order'").select("doc_id", "page_no", (F.col("word_no") + no).alias("word_no"), F.lit(text).alias("text"), "x0", "x1", (F.col("top") + dy).alias("top")) for no, text, dy in pieces]
+            for m in more:
+                w = w.unionByName(m)
+            return w
+
+        return way
+
+    ways = (wrapped((100_000, "paid", 4)), wrapped((100_000, "new", -4)), wrapped((100_000, "new", -4), (200_000, "paid", 4)))
+    out = templates.extract_documents(_three_ways(words, ways), {f"t{i}": {"line_items": table_} for i in range(3)})
+    return _item_columns(out).drop("header")
+
+
+def derived_chain(spark, sf):
+    """Differences that need each other, named in an order in which none can be taken at once; a layout by its keyword, values below labels."""
+    table_ = {"header_anchor": "Description", "end_anchor": "Grand Total", "columns": [{"name": "description", "header": "Description"}, {"name": "amount", "header": "Amount", "type": "money"}]}
+    derive = {"due": {"diff": ["net", "paid"]}, "net": {"diff": ["gross", "discount"]}, "gross": {"sum": "amount"}, "paid": {"diff": ["gross", "net"]}}
+    template = {
+        "vendor": "base", "fields": {"discount": {"anchor": "Grand Total", "nth": 1}, "first": {"anchor": "Amount", "below": True, "type": "money"}},
+        "variants": [{"identify": {"keyword": "no such text"}, "vendor": "never"}, {"identify": {"keyword": "STATEMENT no"}, "vendor": "by keyword", "line_items": table_ | {"derive_totals": derive}}],
+    }
+    h = templates.extract_documents(statements(spark, sf).withColumn("template_id", F.lit("t")), {"t": template}).select("doc_id", "header")
+    return h.select("doc_id", F.col("header.vendor").alias("vendor"), *(F.round(F.col(f"header.{c}").cast("double"), 2).alias(c) for c in ("first", "gross", "net", "paid", "due")))
+
+
+def field_candidates(spark, sf):
+    """What may be a field of a statement: its number behind a colon, behind a gap, below its label; amounts behind their labels."""
+    number = F.startswith("text", F.lit("C-"))
+    below = lambda w: w.withColumns({"x0": F.when(number, 60.0).otherwise(F.col("x0")), "x1": F.when(number, 90.0).otherwise(F.col("x1")), "top": F.when(number, 22.0).otherwise(F.col("top"))})
+    words = _three_ways(statements(spark, sf), (lambda w: w, lambda w: w.where("text <> ':'"), below))
+    return candidates.field_candidates(templates.text_lines(words)).drop("line_no")
+
+
+def _document_files(spark, sf):
+    """The documents as a file each, in some folders; every line of a text is a page. Where they are."""
+    path = _scratch(spark, "files")
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 32).alias("folder"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f\n", " \f").alias("value"))
+    d.repartition("folder").write.partitionBy("folder", "doc_id").text(path)
+    page_source.register(spark)
+    return path
+
+
+def _file_words(spark, sf):
+    words = spark.read.format("tallyforge_words").option("path", _document_files(spark, sf)).option("suffix", ".txt").load()
+    return words.withColumn("doc_id", F.regexp_extract("doc_id", r"doc_id=(\d+)", 1).cast("long"))
+
+
+def file_words(spark, sf):
+    """Words of files through the data source: counted per document, with the last page that has any and the heights of its pages."""
+    w = _file_words(spark, sf).groupBy("doc_id")
+    return w.agg(F.count("*").alias("n_words"), F.max("page_no").cast("long").alias("last_page"), F.sum(F.length("text")).alias("n_chars"), F.max("x1").alias("widest"))
+
+
+def first_page_words(spark, sf):
+    """The words of the first page of each file; the filter reaches the parser."""
+    w = _file_words(spark, sf).where("page_no = 1").groupBy("doc_id")
+    return w.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("words"))
 
 
 def hsn_and_exempt(spark, sf):
@@ -209,6 +284,6 @@ def arrival_order(spark, sf):
 
 
 TABLES = (
-    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
+    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
     wide_line_columns, text_cleanup, history_batches, audit_log, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
 )

@@ -166,16 +166,6 @@ def template_keywords(spark: SparkSession, templates: dict[str, dict]) -> DataFr
     return spark.createDataFrame([(n, i, kw, v) for i, (n, kw, v) in enumerate(rows)], "template_id string, ord int, keyword string, variant_vendor string")
 
 
-def select_variant(template: dict, page_text: str) -> dict:
-    """The layout whose keyword is in the text, else the first, laid over the template's own keys."""
-    variants = template.get("variants")
-    if not variants:
-        return template
-    low = page_text.lower()
-    hit = next((v for v in variants if (kw := (v.get("identify") or {}).get("keyword")) and kw.lower() in low), variants[0])
-    return {k: v for k, v in template.items() if k != "variants"} | hit
-
-
 def load_rules(text: str) -> tuple[dict, dict[str, dict]]:
     """(default profile, vendor profiles) from YAML; a flat file is a default profile."""
     data = yaml.safe_load(text) or {}

@@ -1,22 +1,9 @@
-"""Reading documents by a template: anchors, values beside them, item tables in bands.
-
-Words of a document lie in one group, ordered; the few steps that are folds over them (lines anchored at
-their first word, stop rules, wrapped cells) run in Python on that group, a document being small. What is
-set-oriented (bands, nearest headers, sums) is in ``tables`` and ``checks``.
-"""
+"""A plain reader of one document by a template, against which the relations are held."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tallyforge.sources.readers import select_variant
-
 STRIP = ":.,;-()[]% "
 #: Date spellings, read day first.
 DATES = ("%d-%b-%Y", "%d-%B-%Y", "%d %b %Y", "%d %B %Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%Y-%m-%d", "%b %d, %Y", "%B %d, %Y")
@@ -218,6 +205,16 @@ def band_table(words: list[Word], lines: list[list[Word]], rule: dict) -> list[d
     return out
 
 
+def select_variant(template: dict, page_text: str) -> dict:
+    """The layout whose keyword is in the text, else the first, laid over the template's own keys."""
+    variants = template.get("variants")
+    if not variants:
+        return template
+    low = page_text.lower()
+    hit = next((v for v in variants if (kw := (v.get("identify") or {}).get("keyword")) and kw.lower() in low), variants[0])
+    return {k: v for k, v in template.items() if k != "variants"} | hit
+
+
 def extract(words: list[Word], template: dict) -> tuple[dict[str, Any], list[dict[str, Any]]]:
     """Header fields and item rows of one document."""
     lines = rows_by_anchor(words, 3.0, True)
@@ -237,41 +234,3 @@ def extract(words: list[Word], template: dict) -> tuple[dict[str, Any], list[dic
             a, b = (header.get(x) or 0.0 for x in how["diff"])
             header[name] = round(a - b, 2)
     return header, items
-
-
-EXTRACTED = "doc_id string, template_id string, header string, items array<string>"
-
-
-def extract_documents(words: DataFrame, templates: dict[str, dict]) -> DataFrame:
-    """Words (with template_id) -> header and items of every document as JSON, one group a document.
-
-    Gathering the words of a document is the only shuffle; they are few, whatever the corpus.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            headers, rows = [], []
-            for name, words_ in zip(batch.column(1).to_pylist(), batch.column(2)):
-                template = templates.get(name)
-                header, items = extract([Word(w["text"], w["x0"], w["x1"], w["top"]) for w in words_.as_py()], template) if template else ({}, [])
-                headers.append(json.dumps(header, ensure_ascii=False))
-                rows.append([json.dumps(r, ensure_ascii=False) for r in items])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(headers, pa.string()), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "template_id", "header", "items"])
-
-    placed = F.array_sort(F.collect_list(F.struct("page_no", "word_no", "text", "x0", "x1", "top")))
-    documents = words.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("template_id").cast("string").alias("template_id")).agg(placed.alias("words"))
-    return documents.mapInArrow(run, EXTRACTED)
-
-
-def to_invoices(extracted: DataFrame) -> DataFrame:
-    """JSON results -> typed header columns, ``extra`` for other fields, ``lines`` as maps, sums of lines."""
-    core = {"vendor": "string", "invoice_number": "string", "invoice_date": "string", "po_number": "string", "subtotal": "double", "tax": "double", "total": "double", "cgst": "double", "sgst": "double", "igst": "double", "taxable_value": "double"}
-    df = extracted.withColumn("_h", F.from_json("header", "map<string,string>")).withColumn("lines", F.transform("items", lambda s: F.from_json(s, "map<string,string>")))
-    amount = lambda line: F.coalesce(*(F.try_element_at(line, F.lit(k)).try_cast("decimal(18,2)") for k in ("amount", "total", "line_total", "total_incl")))
-    return df.select(
-        "doc_id", "template_id", F.concat("doc_id", F.lit("")).alias("source_file"), *(F.try_element_at("_h", F.lit(c)).try_cast(t).alias(c) for c, t in core.items()),
-        F.map_filter("_h", lambda k, v: ~k.isin(*core)).alias("extra"), "lines", F.size("lines").alias("n_lines"),
-        F.aggregate("lines", F.lit(0).cast("decimal(18,2)"), lambda acc, x: (acc + F.coalesce(amount(x), F.lit(0))).cast("decimal(18,2)")).alias("line_sum"),
-    )
-
-

@@ -96,10 +96,10 @@ def test_deep_and_long_answers_end():
 
 
 def test_many_keywords_match_alike(spark, monkeypatch):
-    texts = ["The Apache License and more", "gnu general words", "public general gnu license", "nothing", None, "abcxyz licence"]
+    texts = ["The Apache License and more", "gnu general words", "public general gnu license", "nothing", None, "abcxyz licence", "foo bar"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    keys = spark.createDataFrame([("a", 1, "Apache License"), ("b", 2, "GNU General Public"), ("c", 3, " "), ("d", 4, None), ("e", 5, "xyz"), ("f", 6, "apache")], "template_id string, ord int, keyword string")
+    keys = spark.createDataFrame([("a", 1, "Apache License"), ("b", 2, "GNU General Public"), ("c", 3, " "), ("d", 4, None), ("e", 5, "xyz"), ("f", 6, "apache"), ("g", 7, "foo foo")], "template_id string, ord int, keyword string")
     want = sorted(map(tuple, pages.match_templates(docs, keys).collect()))
-    assert [r[1] for r in want] == ["a", None, "b", None, None, "e"]
+    assert [r[1] for r in want] == ["a", None, "b", None, None, "e", "g"]
     monkeypatch.setattr(pages, "MOST_KEYWORDS", 2)
     assert sorted(map(tuple, pages.match_templates(docs, keys).collect())) == want
