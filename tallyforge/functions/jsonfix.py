@@ -120,12 +120,11 @@ def _repaired(texts: pd.Series) -> pd.Series:
 
 
 def parse_json(df: DataFrame, column: str, to: str = "json") -> DataFrame:
-    """Adds ``to``: valid JSON text or null. Rows that Spark can parse never reach Python.
+    """Adds ``to``: valid JSON text or null. Of rows that Spark can parse, Python sees a null only; the input is computed once.
 
     Spark's parser passes over what follows the value, so texts where something may follow are read again.
     """
     df = df.withColumn("_raw", unwrap(F.col(column)))
-    good = F.try_parse_json("_raw").isNotNull() & ~F.col("_raw").rlike(r"[}\]]\s*[^\s,}\]]")
-    fine = df.where(F.coalesce(good, F.lit(False))).withColumn(to, F.col("_raw"))
-    broken = df.where(~F.coalesce(good, F.lit(False))).withColumn(to, _repaired("_raw"))
-    return fine.unionByName(broken).drop("_raw")
+    good = F.coalesce(F.try_parse_json("_raw").isNotNull() & ~F.col("_raw").rlike(r"[}\]]\s*[^\s,}\]]"), F.lit(False))
+    df = df.withColumn("_bad", F.when(~good, F.col("_raw")))
+    return df.withColumn(to, F.coalesce(_repaired("_bad"), F.when(F.col("_bad").isNull(), F.col("_raw")))).drop("_raw", "_bad")

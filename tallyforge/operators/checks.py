@@ -267,15 +267,17 @@ def check_duplicates(batch: DataFrame, history: DataFrame) -> DataFrame:
     batch: source_file, vendor, invoice_number, file_hash, batch_pos (the order of arrival). history: the
     same without batch_pos, with processed_at and history_seq. Within the batch the first occurrence is
     found by a minimum per key, which is summed before the shuffle: a key with a third of all rows is no
-    large task, and the joins that bring it back can be split.
+    large task, and the joins that bring it back can be split. Of history only rows whose key the batch has are summed: a
+    semi join drops the others where they are read if the batch is small, and shares the exchange of the sums if not.
     """
     df = batch.withColumns({"_key": duplicate_key(F.col("vendor"), F.col("invoice_number")), "_hash": F.coalesce("file_hash", F.lit(""))})
     first = lambda c, name: df.where(F.col(c) != "").groupBy(F.col(c).alias(f"_k{name}")).agg(F.min_by("source_file", "batch_pos").alias(f"_of{name}"), F.min("batch_pos").alias(f"_at{name}"))
     past = history.withColumns({"_pk": duplicate_key(F.col("vendor"), F.col("invoice_number")), "_ph": F.coalesce("file_hash", F.lit(""))})
-    old = lambda c, name: past.where(F.col(c) != "").groupBy(F.col(c).alias(f"_o{name}")).agg(F.min_by(F.struct("source_file", "processed_at"), "history_seq").alias(f"_h{name}"))
+    asked = lambda c, own: past.where(F.col(c) != "").join(df.where(F.col(own) != "").select(F.col(own).alias("_asked")).distinct(), F.col(c) == F.col("_asked"), "left_semi")
+    old = lambda c, own, name: asked(c, own).groupBy(F.col(c).alias(f"_o{name}")).agg(F.min_by(F.struct("source_file", "processed_at"), "history_seq").alias(f"_h{name}"))
     df = (
         df.join(first("_hash", "h"), F.col("_hash") == F.col("_kh"), "left").join(first("_key", "k"), F.col("_key") == F.col("_kk"), "left")
-        .join(old("_ph", "h"), F.col("_hash") == F.col("_oh"), "left").join(old("_pk", "k"), F.col("_key") == F.col("_ok"), "left")
+        .join(old("_ph", "_hash", "h"), F.col("_hash") == F.col("_oh"), "left").join(old("_pk", "_key", "k"), F.col("_key") == F.col("_ok"), "left")
     )
     cases = (
         (F.col("_ath") < F.col("batch_pos"), F.col("_ofh"), F.lit("identical file already in this batch")),

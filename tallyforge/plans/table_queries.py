@@ -218,23 +218,26 @@ def text_cleanup(spark, sf):
 
 
 def history_batches(spark, sf):
-    """Two batches appended to a history, read back."""
+    """Two batches appended to a history again and again, merged, read back."""
     path = _scratch(spark, "history")
     b = bills(spark, sf).withColumns({"batch_pos": F.col("l_orderkey") * 1000 + F.col("l_suppkey"), "file_hash": F.col("vendor"), "validation_ok": F.col("total").isNotNull()})
     for day, part in (("2024-01-01", b.where("total is not null")), ("2024-01-02", b.where("total is null"))):
-        files.append_history(part, path, day, 10)
-    return spark.read.parquet(path)
+        for _ in range(2):  # the second time changes nothing
+            files.append_history(part, path, day, 10)
+    files.compact_history(spark, path)
+    files.append_history(part, path, day, 10)  # nor does it after they were merged
+    return readers.read_history(spark, path)
 
 
 def audit_log(spark, sf):
     """Details are scrubbed on their way into the log; a compacted log keeps the newest."""
     e = table(spark, sf, "events")
     rows = e.select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("timestamp"), F.col("event_type").alias("event"), F.concat(F.lit("api_key="), F.col("user_id"), F.lit(" by "), "event_type").alias("detail"), F.col("user_id").cast("string").alias("user"), F.lit("ok").alias("outcome"))
-    first, second = _scratch(spark, "audit"), _scratch(spark, "audit")
-    for half in (rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")):
-        files.append_audit(half, first)
-    files.compact_audit(spark, first, second, 500)
-    return spark.read.parquet(second).select("seq", "event", "detail", "user")
+    path = _scratch(spark, "audit")
+    for k in (0, 1, 0):
+        files.append_audit(rows.where(f"seq % 2 = {k}"), path, f"half {k}")
+    files.compact_audit(spark, path, 500)
+    return readers.read_audit(spark, path).select("seq", "event", "detail", "user")
 
 
 def scanned_states(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from xml.sax.saxutils import escape
 
 from tallyforge.functions.scalars import scrub
+from tallyforge.sinks.ledger import Ledger
 
 HISTORY = "history_seq long, processed_at string, source_file string, vendor string, invoice_number string, invoice_date string, total string, file_hash string, status string"
 AUDIT = "seq long, timestamp string, event string, detail string, user string, outcome string"
@@ -78,30 +79,43 @@ def write_vouchers(vouchers: DataFrame, folder: str, company: str = "") -> None:
     vouchers.select(F.concat(F.lit(head), F.col("xml"), F.lit(tail)).alias("value")).write.mode("overwrite").text(folder)
 
 
-def append_history(invoices: DataFrame, path: str, processed_at: str, start: int = 0) -> None:
-    """Appends a batch; batch_pos gives the order. The caller says when, so reruns agree."""
+def append_history(invoices: DataFrame, path: str, processed_at: str, start: int = 0, batch: str | None = None) -> bool:
+    """Appends a batch; batch_pos gives the order. The caller says when, so reruns agree.
+
+    A batch is known by its name, which follows from time and start where none is given: appending it again changes
+    nothing, and gives False.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = invoices.select(
         (F.col("batch_pos") + start).cast("long").alias("history_seq"), F.lit(processed_at).alias("processed_at"), "source_file", "vendor", text("invoice_number"), text("invoice_date"), text("total"), text("file_hash"),
         F.when(F.col("validation_ok"), "OK").otherwise("REVIEW").alias("status"),
     )
-    rows.write.mode("append").parquet(path)
+    return Ledger(invoices.sparkSession, path, HISTORY).append(rows, batch or f"{processed_at}-{start}")
+
+
+def compact_history(spark: SparkSession, path: str) -> None:
+    """All batches in one entry; it may be broken off at any time."""
+    Ledger(spark, path, HISTORY).compact()
 
 
 def clear_history(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], HISTORY).write.mode("overwrite").parquet(path)
+    Ledger(spark, path, HISTORY).clear()
+
+
+def append_audit(events: DataFrame, path: str, batch: str) -> bool:
+    """(seq, timestamp, event, detail, user, outcome): details are scrubbed before they are written. A batch of a known name changes nothing."""
+    return Ledger(events.sparkSession, path, AUDIT).append(events.withColumn("detail", scrub(F.col("detail"))), batch)
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """(seq, timestamp, event, detail, user, outcome): details are scrubbed and cut before they are written."""
-    events.withColumn("detail", scrub(F.col("detail"))).write.mode("append").parquet(path)
+def audit_tail(audit: DataFrame, n: int = 300, events: tuple[str, ...] = ()) -> DataFrame:
+    """The last ``n`` events, of the given kinds if any, newest first: a bounded top-k, no full sort."""
+    return (audit.where(F.col("event").isin(*events)) if events else audit).orderBy(F.desc("seq")).limit(n)
 
 
-def audit_tail(audit: DataFrame, n: int = 300) -> DataFrame:
-    """The last ``n`` events, newest first: a bounded top-k, no full sort."""
-    return audit.orderBy(F.desc("seq")).limit(n)
+def compact_audit(spark: SparkSession, path: str, most: int = 20_000) -> None:
+    """Keeps the newest ``most`` events, in one entry; it may be broken off at any time."""
+    Ledger(spark, path, AUDIT).compact(newest=("seq", most))
 
 
-def compact_audit(spark: SparkSession, path: str, to: str, most: int = 20_000) -> None:
-    """Writes the newest ``most`` events to a new place; the caller swaps the folders."""
-    audit_tail(spark.read.schema(AUDIT).parquet(path), most).write.mode("overwrite").parquet(to)
+def clear_audit(spark: SparkSession, path: str) -> None:
+    Ledger(spark, path, AUDIT).clear()

@@ -64,6 +64,10 @@ class Ledger:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{n}" for n in found))
 
+    def clear(self) -> None:
+        fs, path = self._fs("")
+        fs.delete(path, True)
+
     def compact(self, keep: Column | None = None, newest: tuple[str, int] | None = None) -> str | None:
         """One entry in place of all: of rows that ``keep``, or of the ``newest`` (column, how many).
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import clean_text
 from tallyforge.sinks.files import AUDIT, HISTORY
+from tallyforge.sinks.ledger import Ledger
 
 WORDS = "doc_id string, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double, page_height double"
 
@@ -144,11 +145,11 @@ def globalise(words: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).parquet(path)
+    return Ledger(spark, path, HISTORY).read()
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).parquet(path)
+    return Ledger(spark, path, AUDIT).read()
 
 
 def load_templates(texts: dict[str, str]) -> dict[str, dict]:

@@ -1,17 +1,18 @@
 """Streams of documents (an extension): every micro-batch is checked against what earlier ones appended.
 
-``foreachBatch`` gives a batch its number; a batch that is run again after a failure replaces its own rows,
-so history counts nothing twice.
+``foreachBatch`` gives a batch its number; a batch that is run again after a failure finds its rows in the ledger,
+and sees only what came before it, so history counts nothing twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators.checks import check_duplicates, validate
 from tallyforge.sinks.files import HISTORY
+from tallyforge.sinks.ledger import Ledger
 
 INCOMING = "source_file string, vendor string, invoice_number string, invoice_date string, subtotal double, tax double, total double, line_sum double, n_lines int, file_hash string, arrived timestamp"
 
@@ -24,24 +25,19 @@ def read_inbox(spark: SparkSession, path: str, per_batch: int = 100) -> DataFram
 def process_batch(batch: DataFrame, number: int, history: str, out: str) -> None:
     """Validates a batch, marks its duplicates against history, writes results, appends to history."""
     spark = batch.sparkSession
-    order = F.row_number
-    from pyspark.sql import Window
-
-    placed = batch.withColumn("batch_pos", order().over(Window.orderBy("arrived", "source_file")).cast("long"))
-    past = spark.read.schema(HISTORY + ", batch long").option("ignoreMissingFiles", "true").parquet(history).where(F.col("batch") < number).drop("batch")
-    done = validate(check_duplicates(placed, past).withColumn("file_hash", F.col("file_hash")))
+    ledger, first = Ledger(spark, history, HISTORY), number * 10_000_000_000
+    placed = batch.withColumn("batch_pos", F.row_number().over(Window.orderBy("arrived", "source_file")).cast("long"))
+    done = validate(check_duplicates(placed, ledger.read().where(F.col("history_seq") < first)))
     done.write.mode("overwrite").parquet(f"{out}/batch={number}")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    done.select(
-        (F.col("batch_pos") + F.lit(number) * 10_000_000_000).alias("history_seq"), F.date_format("arrived", "yyyy-MM-dd HH:mm:ss").alias("processed_at"), "source_file", "vendor",
+    rows = done.select(
+        (F.col("batch_pos") + F.lit(first)).alias("history_seq"), F.date_format("arrived", "yyyy-MM-dd HH:mm:ss").alias("processed_at"), "source_file", "vendor",
         text("invoice_number"), text("invoice_date"), text("total"), text("file_hash"), F.when(F.col("validation_ok"), "OK").otherwise("REVIEW").alias("status"),
-    ).write.mode("overwrite").parquet(f"{history}/batch={number}")
+    )
+    ledger.append(rows, f"{number:010d}")
 
 
 def start(stream: DataFrame, history: str, out: str, checkpoint: str) -> StreamingQuery:
-    spark = stream.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(history)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: process_batch(df, n, history, out)).start()
 
 
