@@ -31,6 +31,18 @@ TABLES = {
         SELECT doc_id, sum(len(ws))::BIGINT AS n_words, max(page)::BIGINT AS last_page, sum(list_sum(list_transform(ws, lambda x: length(x))))::BIGINT AS n_chars, max(ends) * 5.0::DOUBLE AS widest FROM w WHERE len(ws) > 0 GROUP BY doc_id""",
     "first_page_words": r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(string_split(coalesce(text, ''), chr(10))[1], chr(12), ' '), '[^\x20\x09-\x0D]+') AS ws FROM documents)
         SELECT doc_id, array_to_string(ws, ' ') AS words FROM w WHERE len(ws) > 0""",
+    "sql_fields": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Invoice No:  A-' || doc_id || chr(10) || ': none' || chr(10) || '12:30' || chr(13) || chr(10) || 'Datum : heute ' || chr(10) || 'Empty:' || chr(10) || coalesce(text, '') ELSE text END AS t FROM documents),
+        l AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\r\n|\r|\n')) AS line, generate_subscripts(regexp_split_to_array(t, '\r\n|\r|\n'), 1) - 1 AS line_no FROM d)
+        SELECT doc_id, line_no::INT AS line_no, trim(regexp_extract(line, '^([^:]{1,60}):\s*(.*\S)\s*$', 1)) AS label, regexp_extract(line, '^([^:]{1,60}):\s*(.*\S)\s*$', 2) AS value
+        FROM l WHERE regexp_matches(line, '^[^:]{0,59}\p{L}[^:]{0,59}:\s*\S')""",
+    "sql_cells": f"""WITH {_STATEMENTS}, g AS (SELECT o_custkey, top, text, x0, x0 + 30 AS x1, word_no, x0 - lag(x0 + 30) OVER (PARTITION BY o_custkey, top ORDER BY x0) AS gap FROM w),
+        t AS (SELECT *, greatest(14.0, 3 * coalesce(min(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY o_custkey, top), 2)) AS wide FROM g),
+        c AS (SELECT *, count(CASE WHEN gap > wide THEN 1 END) OVER (PARTITION BY o_custkey, top ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS cell_no FROM t)
+        SELECT o_custkey::VARCHAR AS doc_id, top::INT AS line_no, cell_no::INT AS cell_no, min(x0)::DOUBLE AS x0, max(x1)::DOUBLE AS x1, string_agg(text, ' ' ORDER BY x0) AS text FROM c GROUP BY 1, 2, 3""",
+    "model_calls": """WITH k AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, greatest(4096, least(floor((turn * 10 * 200 + 1500) * 1.2), 16384))::INT AS tokens FROM conversations)
+        SELECT conv_id, turn, tokens, CASE WHEN k IN (0, 1, 2, 3, 7) THEN '{"ok": true}' END AS raw, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 1 WHEN 7 THEN 2 ELSE 6 END::INT AS attempts,
+          CASE k WHEN 0 THEN 'extra_body+max_tokens' WHEN 1 THEN 'extra_body+max_completion_tokens' WHEN 2 THEN 'extra_body' WHEN 3 THEN 'max_tokens' WHEN 7 THEN 'extra_body+max_tokens' END AS option,
+          CASE k WHEN 4 THEN 'timed out: 600 s' WHEN 5 THEN 'RuntimeError: quota' WHEN 6 THEN 'empty answer' END AS problem FROM k""",
     "hsn_and_exempt": """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AND p_partkey % 2 <> 0 AS moves FROM part)
         SELECT k::VARCHAR AS doc_id, CASE WHEN moves THEN '' WHEN k % 3 = 0 THEN (k % 9000 + 1000)::VARCHAR ELSE 'pcs' END AS unit, CASE WHEN k % 2 = 0 THEN '8471' WHEN moves THEN (k % 9000 + 1000)::VARCHAR ELSE '' END AS hsn,
           CASE WHEN k % 5 = 0 THEN '0' ELSE '9' END AS cgst_rate FROM p""",

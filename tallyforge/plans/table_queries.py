@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions import jsonfix
+from tallyforge.functions import jsonfix, tables as table_functions
 from tallyforge.functions import scalars as S
-from tallyforge.operators import candidates, checks, edits, exports, infer, pages, prompts, tables, templates
+from tallyforge.operators import calls, candidates, checks, edits, exports, infer, pages, prompts, tables, templates
 from tallyforge.plans.bills import bill_lines, bills, table
 from tallyforge.plans.document_queries import statements
 from tallyforge.sinks import files
@@ -151,6 +151,40 @@ def first_page_words(spark, sf):
     return w.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("words"))
 
 
+def sql_fields(spark, sf):
+    """``Label: value`` lines of the documents by a table function in SQL; every fifth document gets some."""
+    table_functions.register_tables(spark)
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Invoice No:  A-"), "doc_id", F.lit("\n: none\n12:30\r\nDatum : heute \nEmpty:\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    table(spark, sf, "documents").select("doc_id", t.alias("text")).createOrReplaceTempView("_tf_documents")
+    return spark.sql("SELECT d.doc_id, f.line_no, f.label, f.value FROM _tf_documents d, LATERAL tf_fields(d.text) f")
+
+
+def sql_cells(spark, sf):
+    """Cells of the statements' lines by a table function over partitions."""
+    table_functions.register_tables(spark)
+    statements(spark, sf).select("doc_id", F.col("top").cast("int").alias("line_no"), "text", "x0", "x1").createOrReplaceTempView("_tf_words")
+    return spark.sql("SELECT * FROM tf_cells(TABLE(SELECT * FROM _tf_words) PARTITION BY (doc_id, line_no) ORDER BY x0)")
+
+
+def model_calls(spark, sf):
+    """Turns of the conversations as prompts of a service that refuses options in turn, times out, fails, or does not answer in JSON."""
+
+    def service(prompt: str, way: dict) -> str:
+        kind = int(prompt[0])
+        if kind == 1 and "max_tokens" in way or kind == 2 and {"max_tokens", "max_completion_tokens"} & way.keys() or kind == 3 and "extra_body" in way:
+            raise ValueError("unsupported parameter")
+        if kind == 4:
+            raise TimeoutError("600 s")
+        if kind == 5:
+            raise RuntimeError("quota")
+        if kind == 6:
+            return " "
+        return "Sure, in a moment." if kind == 7 and not prompt.endswith(calls.FIRMER) else '{"ok": true}'
+
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(((F.col("conv_id") + F.col("turn")) % 8).cast("string"), F.lit(" "), "conv_id", F.lit("/"), "turn", F.lit(" "), F.coalesce("text", F.lit(""))).alias("prompt"), calls.token_budget(F.col("turn") * 10, "").alias("tokens"))
+    return calls.ask_model(turns, service, "http://localhost:8000/v1", tokens="tokens").drop("prompt")
+
+
 def hsn_and_exempt(spark, sf):
     """Misplaced tariff codes and exempt rows."""
     k = F.col("p_partkey")
@@ -287,6 +321,6 @@ def arrival_order(spark, sf):
 
 
 TABLES = (
-    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
+    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, sql_fields, sql_cells, model_calls, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
     wide_line_columns, text_cleanup, history_batches, audit_log, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
 )
