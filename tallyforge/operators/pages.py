@@ -63,9 +63,23 @@ def tag_boxes(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     return df.where((F.col("_any") & kept) | (~F.col("_any") & (t != "") & (F.col("conf") > 0.1))).select("doc_id", "page_no", "seq", tagged.alias("tagged"), "conf")
 
 
-def ocr_text(pages: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFrame:
-    """A row per document: pages' text in order, whether boxes were used, and their mean confidence."""
-    tagged = tag_boxes(boxes, least)
+def unmarked(text: Column) -> Column:
+    """What is left of a text without the marks of pages and sections."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)---\s*PAGE\s*\d+\s*---", ""), r"===\s*\S.*?\s*===", ""))
+
+
+def ocr_text(pages: DataFrame, boxes: DataFrame, least: float = 0.5, enabled: bool = True) -> DataFrame:
+    """A row per document: pages' text in order, whether boxes were used, and their mean confidence.
+
+    Native text alone, with confidence 1, where recognition is switched off, where any of a document's boxes has a ``problem``
+    (see ``engines.recognise``), or where nothing but marks came out.
+    """
+    native = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
+    if not enabled:
+        return pages.groupBy("doc_id").agg(native.alias("text"), F.lit(False).alias("ocr_used"), F.lit(1.0).alias("ocr_confidence"))
+    faulty = F.col("problem").isNotNull() if "problem" in boxes.columns else F.lit(False)
+    failed = boxes.where(faulty).select(F.col("doc_id").alias("_f")).distinct()
+    tagged = tag_boxes(boxes.where(~faulty), least)
     by_page = tagged.groupBy(F.col("doc_id").alias("_d"), F.col("page_no").alias("_p")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tagged"))), lambda x: x["tagged"]), "\n").alias("boxed"), F.sum("conf").alias("_sum"), F.count("*").alias("_n"),
     )
@@ -73,10 +87,13 @@ def ocr_text(pages: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFram
     use = F.col("page_source") == "ocr"
     df = df.withColumns({"_t": F.when(use, F.coalesce("boxed", F.lit(""))).otherwise(F.col("text")), "_s": F.when(use, F.col("_sum")), "_c": F.when(use, F.col("_n"))})
     n = F.coalesce(F.sum("_c"), F.lit(0))
-    return df.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"), F.max(use).alias("ocr_used"),
-        F.round(F.when(n > 0, F.sum("_s") / n).when(F.max(use), 0.0).otherwise(1.0), 4).alias("ocr_confidence"),
+    read = df.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "_t"))), lambda x: x["_t"]), "\n\n").alias("_text"), native.alias("_native"), F.max(use).alias("_used"),
+        F.round(F.when(n > 0, F.sum("_s") / n).when(F.max(use), 0.0).otherwise(1.0), 4).alias("_conf"),
     )
+    good = F.col("_f").isNull() & (unmarked(F.col("_text")) != "")
+    read = read.join(failed, F.col("doc_id") == F.col("_f"), "left")
+    return read.select("doc_id", F.when(good, F.col("_text")).otherwise(F.col("_native")).alias("text"), (good & F.col("_used")).alias("ocr_used"), F.when(good, F.col("_conf")).otherwise(1.0).alias("ocr_confidence"))
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ MORE = {
           FROM words JOIN cols USING (template_id) WHERE (x_min <= (x0 + x1) / 2 AND (x0 + x1) / 2 < x_max) OR (x_min <= x0 AND x0 < x_max))
         SELECT doc_id, word_no, part, x0, x1, min_by(name, (rule, ord)) AS "column" FROM h GROUP BY ALL""",
     "nearest_header": rf"""WITH {_WORDS}, {_COLUMNS} SELECT doc_id, word_no, part, x0, min_by(name, (abs(x_min - x0), ord)) AS "column" FROM words JOIN cols USING (template_id) GROUP BY ALL""",
-    "midpoint_columns": rf"""WITH {_COLUMNS} SELECT template_id, name, x_min AS x0, coalesce((lag(x_min) OVER w + x_min) / 2, -1e9) AS lo, coalesce((x_min + lead(x_min) OVER w) / 2, 1e9) AS hi FROM cols WINDOW w AS (PARTITION BY template_id ORDER BY x_min, name)""",
+    "midpoint_columns": "SELECT o_custkey::VARCHAR AS doc_id, name, x0::DOUBLE AS x0, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES ('Description', 50, -1e9, 175), ('Amount', 300, 175, 1e9)) v(name, x0, lo, hi)",
     "gap_columns": rf"""WITH {_WORDS}, x AS (SELECT DISTINCT doc_id, (round_even(x0 / 10, 0) * 10)::BIGINT AS x FROM words), g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) AS gap FROM x)
         SELECT doc_id, string_agg(x::VARCHAR, ',' ORDER BY x) AS boundaries FROM g WHERE gap IS NULL OR gap >= 20 GROUP BY doc_id""",
     "carry_forward": "SELECT * FROM (SELECT user_id AS doc_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events) WHERE carried IS NOT NULL",
@@ -67,7 +67,7 @@ MORE = {
         FROM bills b LEFT JOIN lines l ON b.doc_id = l.doc_id""",
     "json_export": rf"""WITH {BILLS} SELECT doc_id, '{{"doc_id":"' || doc_id || '","vendor":"' || vendor || '","invoice_number":' || coalesce('"' || invoice_number || '"', 'null') || ',"total":' || coalesce('"' || total || '"', 'null') || '}}' AS json FROM bills""",
     "audit_tail": "SELECT event_id AS seq, event_type AS event, user_id::VARCHAR AS \"user\" FROM events ORDER BY event_id DESC LIMIT 300",
-    "audit_events": "SELECT event_type AS event, count(*) AS n FROM events GROUP BY event_type",
+    "audit_events": "SELECT event_type AS event, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq, count(*) FILTER (event_id % 7 = 0) AS failures FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type",
     "props_json": "SELECT event_id, coalesce(json_valid(props), false) AS readable FROM events",
     "ai_guard": f"""SELECT doc_id, true AS allowed, left(CASE WHEN doc_id % 3 = 0 THEN text ELSE t END, 60000) AS prepared,
         concat_ws('; ', CASE WHEN doc_id % 3 <> 0 AND n > 0 THEN 'redacted ' || n || ' personal/banking identifier(s)' END, CASE WHEN len(CASE WHEN doc_id % 3 = 0 THEN text ELSE t END) > 60000 THEN 'truncated to 60000 characters' END) AS note FROM {_STAGES}""",

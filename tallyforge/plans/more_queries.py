@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import exports, pages, tables
 from tallyforge.plans.bills import bill_lines, bills, table
+from tallyforge.sinks import files
 from tallyforge.sinks.files import audit_tail as tail
 
 
@@ -84,7 +85,11 @@ def nearest_header(spark, sf):
 
 
 def midpoint_columns(spark, sf):
-    return tables.midpoint_bounds(_columns(spark).select("template_id", "name", F.col("x_min").alias("x0")), ["template_id"])
+    """The header words of every statement, with bounds halfway between them."""
+    from tallyforge.plans.document_queries import statements  # which imports this module
+
+    w = statements(spark, sf).where("top = 60").select("doc_id", F.col("text").alias("name"), "x0")
+    return tables.midpoint_bounds(w, ["doc_id"])
 
 
 def gap_columns(spark, sf):
@@ -136,7 +141,10 @@ def audit_tail(spark, sf):
 
 
 def audit_events(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("n"))
+    """How often two kinds of events are in the log."""
+    e = table(spark, sf, "events")
+    log = e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.when(F.col("event_id") % 7 == 0, "error").otherwise("ok").alias("outcome"))
+    return files.audit_counts(log, ("click", "purchase"))
 
 
 def props_json(spark, sf):

@@ -61,6 +61,8 @@ TABLES = {
         w AS (SELECT *, sum(CASE WHEN page_no = 0 THEN 300 ELSE 0 END) OVER (PARTITION BY doc_id) < 50 * count(*) OVER (PARTITION BY doc_id) OR page_no <> 0 AS scan FROM g)
         SELECT doc_id, md5(string_agg(CASE WHEN scan THEN t ELSE repeat('native text ', 30) END, chr(10) || chr(10) ORDER BY page_no)) AS text_md5, bool_or(scan) AS ocr_used,
           round(coalesce(sum(s) FILTER (scan) / sum(n) FILTER (scan), 1.0), 4) AS ocr_confidence FROM w GROUP BY doc_id""",
+    "ocr_fallbacks": """SELECT doc_id::VARCHAR AS doc_id, md5(CASE WHEN doc_id % 2 = 1 THEN text || repeat(' native', 9) WHEN doc_id % 3 = 1 THEN 'scan of ' || doc_id ELSE '--- PAGE 1 ---' || left(source, 5) END) AS text_md5,
+        doc_id % 2 = 0 AND doc_id % 3 = 1 AS ocr_used, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 1 THEN 0.75 ELSE 1.0 END::DOUBLE AS ocr_confidence FROM documents""",
     "wide_line_columns": f"WITH l AS ({LINES}) SELECT doc_id, pos, l_partkey, l_partkey::VARCHAR AS description, CASE WHEN pos % 2 = 0 THEN quantity::INT::VARCHAR END AS qty, CASE WHEN pos % 2 = 1 THEN price::VARCHAR END AS rate FROM l",
     "text_cleanup": r"""WITH t AS (SELECT *, 'a' || chr(0) || 'b' || chr(7) || chr(9) || '--- page 7 ---' || text || '=== end === x' AS t FROM documents)
         SELECT doc_id, 'a-b' || chr(9) || '--- page 7 ---' || regexp_replace(text, '[\x01-\x08\x0A-\x1F]', '', 'g') || '=== end === x' AS cleaned,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import jsonfix, tables as table_functions
 from tallyforge.functions import scalars as S
-from tallyforge.operators import calls, candidates, checks, edits, exports, infer, pages, prompts, tables, templates
+from tallyforge.operators import calls, candidates, checks, edits, engines, exports, infer, pages, prompts, tables, templates
 from tallyforge.plans.bills import bill_lines, bills, table
 from tallyforge.plans.document_queries import statements
 from tallyforge.sinks import files
@@ -240,6 +240,22 @@ def ocr_mix(spark, sf):
     return pages.ocr_text(native, boxes).select("doc_id", F.md5("text").alias("text_md5"), "ocr_used", "ocr_confidence")
 
 
+def ocr_fallbacks(spark, sf):
+    """Scanned pages by an engine that each worker builds once: some it can't read, some give nothing, so native text stays."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("--- PAGE 1 ---"), F.left("source", F.lit(5)))).otherwise(F.concat("text", F.repeat(F.lit(" native"), F.lit(9)))).alias("text"), F.encode(F.concat(F.col("doc_id") % 3, F.lit("scan of "), "doc_id"), "UTF-8").alias("image"))
+
+    def make():
+        def read(image: bytes) -> list[tuple[str, float]]:
+            if image[:1] == b"0":
+                raise ValueError("no image")
+            return [(image[1:].decode(), 0.75), ("end", 0.25)] if image[:1] == b"1" else []
+
+        return read
+
+    boxes = engines.recognise(d.where("cast(doc_id as long) % 2 = 0"), make, "ocr_fallbacks")
+    return pages.ocr_text(d.drop("image"), boxes).select("doc_id", F.md5("text").alias("text_md5"), "ocr_used", "ocr_confidence")
+
+
 def wide_line_columns(spark, sf):
     cols = F.when(F.col("pos") % 2 == 0, F.create_map(F.lit("qty"), F.col("quantity").cast("int").cast("string"), F.lit("description"), F.col("l_partkey").cast("string"))).otherwise(F.create_map(F.lit("description"), F.col("l_partkey").cast("string"), F.lit("rate"), F.col("price").cast("string")))
     rows = bill_lines(spark, sf).select("doc_id", "pos", "l_partkey", (F.col("l_orderkey") * 100 + F.col("pos")).alias("batch_pos"), cols.alias("cols"))
@@ -321,6 +337,6 @@ def arrival_order(spark, sf):
 
 
 TABLES = (
-    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, sql_fields, sql_cells, model_calls, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix,
+    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, sql_fields, sql_cells, model_calls, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix, ocr_fallbacks,
     wide_line_columns, text_cleanup, history_batches, audit_log, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
 )

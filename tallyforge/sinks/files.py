@@ -112,6 +112,12 @@ def audit_tail(audit: DataFrame, n: int = 300, events: tuple[str, ...] = ()) ->
     return (audit.where(F.col("event").isin(*events)) if events else audit).orderBy(F.desc("seq")).limit(n)
 
 
+def audit_counts(audit: DataFrame, events: tuple[str, ...] = ()) -> DataFrame:
+    """(event, n, first_seq, last_seq, failures) of the given kinds, or of all, most frequent first; sums travel, not rows."""
+    kept = audit.where(F.col("event").isin(*events)) if events else audit
+    return kept.groupBy("event").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_if(F.col("outcome") != "ok").alias("failures")).orderBy(F.desc("n"), "event")
+
+
 def compact_audit(spark: SparkSession, path: str, most: int = 20_000) -> None:
     """Keeps the newest ``most`` events, in one entry; it may be broken off at any time."""
     Ledger(spark, path, AUDIT).compact(newest=("seq", most))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 from urllib.parse import unquote
 
 import pandas as pd
@@ -61,6 +61,11 @@ def read_folder(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF,Pdf}"
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
+def folder_names(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF,Pdf}") -> DataFrame:
+    """(path, length) of the files, in order of their names; contents are neither read nor sorted."""
+    return read_folder(spark, path, pattern).select("path", "length").orderBy(F.substring_index("path", "/", -1), "path")
+
+
 def admit(files: DataFrame, limit_mb: int = 25) -> tuple[DataFrame, DataFrame]:
     """Files within the limit that begin with the PDF signature, and the others with a reason."""
     name = F.substring_index("path", "/", -1)
@@ -181,5 +186,23 @@ def save_rules(default: dict, vendors: dict[str, dict]) -> str:
     return yaml.safe_dump({"default": default, "vendors": vendors}, sort_keys=False, allow_unicode=True)
 
 
+def change_rules(text: str, rules: dict | None, vendor: str | None = None) -> str:
+    """The rules' YAML with one profile replaced: a vendor's, or the default; None deletes a vendor's."""
+    default, vendors = load_rules(text)
+    if vendor is None:
+        return save_rules(rules or {}, vendors)
+    kept = {k: v for k, v in vendors.items() if k != vendor}
+    return save_rules(default, kept if rules is None else kept | {vendor: rules})
+
+
+def save_settings(settings: Settings) -> str:
+    return yaml.safe_dump(asdict(settings), sort_keys=False)
+
+
+def load_settings(text: str | None) -> Settings:
+    found = yaml.safe_load(text) if text else None
+    return Settings.load(found if isinstance(found, dict) else None)
+
+
 def safe_id(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
