@@ -16,6 +16,7 @@ TABLES = {
     "infer_template": f"""WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'OK' AS status, 'Description' AS header_anchor, 'Grand Total' AS end_anchor, 'description:text:20.0:210.0,amount:money:210.0:370.0' AS columns, 'Grand Total' AS total_anchor FROM e""",
     "carried_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'order #' || o_orderkey AS description, price::VARCHAR AS amount FROM r",
     "positional_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'order' AS col_0, '#' || o_orderkey AS col_1, price::VARCHAR AS col_2 FROM r",
+    "infer_layouts": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, CASE WHEN o_custkey % 3 = 2 THEN 'REVIEW' ELSE 'OK' END AS status, CASE WHEN o_custkey % 3 = 1 AND c > 1 THEN 8.0 ELSE 6.0 END::DOUBLE AS row_tol FROM e",
     "header_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'Grand' AS label, round(2 * s::DOUBLE, 2) AS double_total, 'order #' || o_orderkey AS description, price::DOUBLE AS amount FROM r JOIN e USING (o_custkey)",
     "wrapped_table": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, CASE WHEN o_custkey % 3 > 0 THEN 'new ' ELSE '' END || 'order #' || o_orderkey || CASE WHEN o_custkey % 3 <> 1 THEN ' paid' ELSE '' END AS description, price::DOUBLE AS amount FROM r",
     "derived_chain": f"WITH {_STATEMENTS} SELECT o_custkey::VARCHAR AS doc_id, 'by keyword' AS vendor, (SELECT price::DOUBLE FROM r WHERE r.o_custkey = e.o_custkey AND i = 1) AS first, s::DOUBLE AS gross, 0.0::DOUBLE AS net, s::DOUBLE AS paid, -s::DOUBLE AS due FROM e",

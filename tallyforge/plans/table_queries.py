@@ -31,13 +31,32 @@ def json_repair(spark, sf):
     return jsonfix.parse_json(table(spark, sf, "events").select("event_id", raw.alias("raw")), "raw").select("event_id", "json")
 
 
+def _dated(words):
+    """The statements with a number and a date, without which no invoice is in order."""
+    cell = lambda no, text, x: F.struct(F.lit(900_000 + no).alias("word_no"), text.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 30)).alias("x1"), F.lit(25.0).alias("top"))
+    said = (("Invoice", 50), ("No", 90), (":", 122), (None, 155), ("Date", 300), (":", 332), ("05/01/2024", 365))
+    head = F.array(*(cell(i, F.lit(t) if t else F.concat(F.lit("INV-"), "doc_id"), x) for i, (t, x) in enumerate(said)))
+    more = words.select("doc_id").distinct().select("doc_id", F.explode(head).alias("w"))
+    return words.unionByName(more.select("doc_id", F.lit(1).alias("page_no"), "w.*"))
+
+
 def infer_template(spark, sf):
     """Templates of the statements, from their words alone."""
-    out = infer.infer_templates(statements(spark, sf)).withColumn("t", F.from_json("template", "line_items struct<header_anchor:string,end_anchor:string,columns:array<struct<name:string,x_min:double,x_max:double,type:string>>>, fields map<string,struct<anchor:string>>"))
+    out = infer.infer_templates(_dated(statements(spark, sf))).withColumn("t", F.from_json("template", "line_items struct<header_anchor:string,end_anchor:string,columns:array<struct<name:string,x_min:double,x_max:double,type:string>>>, fields map<string,struct<anchor:string>>"))
     columns = F.array_join(F.transform("t.line_items.columns", lambda c: F.concat_ws(":", c["name"], c["type"], c["x_min"].cast("string"), c["x_max"].cast("string"))), ",")
     return out.select("doc_id", "status", "t.line_items.header_anchor", "t.line_items.end_anchor", columns.alias("columns"), F.try_element_at("t.fields", F.lit("total"))["anchor"].alias("total_anchor"))
 
 
+def infer_layouts(spark, sf):
+    """Statements as they are, with amounts printed so low that only looser rows read them, and with a total that does not agree."""
+    last = F.max("top").over(Window.partitionBy("doc_id"))
+    amount = (F.col("x0") == 300) & (F.col("top") > 60) & (F.col("top") < F.col("_last"))
+    low = lambda w: w.withColumn("_last", last).withColumn("top", F.when(amount, F.col("top") + 7).otherwise(F.col("top"))).drop("_last")
+    wrong = lambda w: w.withColumn("_last", last).withColumn("text", F.when((F.col("x0") == 300) & (F.col("top") == F.col("_last")), (F.col("text").try_cast("decimal(18,2)") + 100).cast("string")).otherwise(F.col("text"))).drop("_last")
+    out = infer.infer_templates(_three_ways(_dated(statements(spark, sf)), (lambda w: w, low, wrong)).drop("template_id"))
+    return out.select("doc_id", "status", F.get_json_object("template", "$.line_items.row_tol").cast("double").alias("row_tol"))
+
+
 def _numbered(spark, sf):
     """The statements' words with the number of their order (0: the head, null: the total)."""
     return statements(spark, sf).withColumn("i", F.when(F.col("x0").isin(200, 235) | ((F.col("x0") == 300) & (F.col("word_no") % 3 == 1)), F.lit(None)).when(F.col("word_no") < 10, 0).otherwise(F.floor((F.col("word_no") - 10) / 3)).cast("long"))
@@ -337,6 +356,6 @@ def arrival_order(spark, sf):
 
 
 TABLES = (
-    json_repair, infer_template, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, sql_fields, sql_cells, model_calls, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix, ocr_fallbacks,
+    json_repair, infer_template, infer_layouts, carried_table, positional_table, header_table, wrapped_table, derived_chain, field_candidates, file_words, first_page_words, sql_fields, sql_cells, model_calls, hsn_and_exempt, summary_targets, fallback_fill, value_labels, backward_match, table_row_count, ocr_mix, ocr_fallbacks,
     wide_line_columns, text_cleanup, history_batches, audit_log, scanned_states, layout_text, prompt_parts, written_templates, history_tail, arrival_order,
 )
