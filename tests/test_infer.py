@@ -23,7 +23,7 @@ def flat(*rows):
 @pytest.fixture(scope="module")
 def sample(spark):
     stacked = flat(
-        line(96, (420, "Taxable")), line(100, (50, "Particulars"), (250, "Qty"), (330, "HSN")), line(104, (420, "Value"), (500, "Total")),
+        line(20, (50, "Invoice No: S-1"), (300, "Date: 05/06/2024")), line(96, (420, "Taxable")), line(100, (50, "Particulars"), (250, "Qty"), (330, "HSN")), line(104, (420, "Value"), (500, "Total")),
         line(130, (50, "Chair"), (250, "2"), (330, "9401"), (420, "60.00"), (500, "70.80")), line(142, (50, "with very long arms and wheels below it all")), line(160, (50, "Lamp"), (250, "1"), (330, "9405"), (420, "20.00"), (500, "23.60")),
         line(200, (50, "Grand Total"), (500, "94.40")),
     )
@@ -37,7 +37,7 @@ def test_lines_and_header_bands(sample):
     assert got["plain", 2].text == "description qty rate amount" and got["plain", 2].score == 5 and not got["plain", 2].figure
     band = {r.doc_id: r for r in infer.header_band(lines).collect()}
     assert band.keys() == {"plain", "stacked"} and band["plain"].end == "subtotal" and band["plain"].stop == 200
-    assert band["stacked"].end == "grand total" and band["stacked"].stop == 200 and band["stacked"].above == -1
+    assert band["stacked"].end == "grand total" and band["stacked"].stop == 200 and band["stacked"].above == 0
 
 
 def test_columns_are_named_and_parted(sample):
@@ -56,6 +56,9 @@ def test_columns_are_named_and_parted(sample):
 def test_templates_are_verified(sample):
     got = {r.doc_id: r for r in infer.infer_templates(sample, "ACME").collect()}
     assert {d: r.status for d, r in got.items()} == {"plain": "OK", "stacked": "OK", "bare": "REVIEW"}
+    # without a number and a date no invoice is in order
+    undated = infer.infer_templates(sample.where("doc_id = 'stacked' and top > 20"), "ACME").first()
+    assert undated.status == "REVIEW" and json.loads(undated.template)["line_items"] == json.loads(got["stacked"].template)["line_items"]
     stacked, bare = json.loads(got["stacked"].template), json.loads(got["bare"].template)
     assert stacked["vendor"] == "ACME" and stacked["line_items"]["end_anchor"] == "Grand Total" and stacked["line_items"]["header_anchor"] == "Particulars"
     assert "line_items" not in bare and bare["fields"]["invoice_number"] == {"anchor": "Invoice No", "type": "text"}
