@@ -112,7 +112,7 @@ def test_derived_totals_come_in_order_of_need(spark):
 
 
 def test_field_candidates(spark):
-    page = [*line(10, (20, "Invoice No: INV-2024-7"), (300, "Date:"), (400, "12/06/2025")), *line(30, (20, "Reference   "), (100, "AB-1234")), *line(50, (20, "Sub Total"), (200, "81.00"), (260, "9.00")), *line(70, (300, "Order Ref")), *line(82, (302, "PO-77881")), *line(100, (20, "some ordinary words of prose"))]
+    page = [*line(10, (20, "Invoice No: INV-2024-7"), (300, "Date:"), (400, "12/06/2025")), *line(30, (20, "Reference"), (75, "AB-1234")), *line(50, (20, "Sub Total"), (200, "81.00"), (260, "9.00")), *line(70, (300, "Order Ref")), *line(82, (302, "PO-77881")), *line(100, (20, "some ordinary words of prose"))]
     lines = templates.text_lines(frame(spark, [("a", "t", page), ("b", "t", line(5, (20, ":"), (200, "Total:"))), ("c", "t", line(5, (20, "A x:"), (100, "B:"), (200, "9.50")))]))
     got = {}
     for r in candidates.field_candidates(lines).orderBy("line_no", "kind", "x0").collect():
