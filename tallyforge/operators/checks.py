@@ -73,6 +73,25 @@ def printed_figures(lines: DataFrame) -> DataFrame:
     ).select("doc_id", F.coalesce("_specific", "_plain").cast(D).alias("printed_total"), F.col("printed_subtotal").cast(D).alias("printed_subtotal"))
 
 
+def printed_amounts(lines: Column) -> Column:
+    """An array of lines -> those with an amount: their text in lower case, and the rightmost amount."""
+    rows = F.transform(F.filter(lines, lambda s: F.trim(s) != ""), lambda s: F.struct(F.lower(s).alias("low"), F.try_element_at(amounts(s), F.lit(-1)).alias("v")))
+    return F.filter(rows, lambda r: r["v"].isNotNull())
+
+
+def _first_printed(rows: str, when) -> Column:
+    return F.get(F.filter(rows, lambda r: when(r["low"])), F.lit(0))["v"].cast(D)
+
+
+def printed_total(rows: str) -> Column:
+    """As ``printed_figures`` finds it, over ``printed_amounts`` of one document."""
+    return F.coalesce(_first_printed(rows, lambda s: _has(s, TOTAL_LABELS)), _first_printed(rows, lambda s: _has(s, ("total",)) & ~_has(s, NOT_TOTAL)))
+
+
+def printed_subtotal(rows: str) -> Column:
+    return _first_printed(rows, lambda s: _has(s, SUBTOTAL_LABELS))
+
+
 def reconcile(invoices: DataFrame, printed: DataFrame) -> DataFrame:
     """Validated invoices against printed figures: a row per invoice with matches, status and notes."""
     ours = invoices.select(*invoices.columns)

@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators.checks import SUBTOTAL_LABELS, TOTAL_LABELS, printed_figures
+from tallyforge.operators.checks import SUBTOTAL_LABELS, TOTAL_LABELS, printed_amounts, printed_figures, printed_subtotal, printed_total
+
+#: Fixed value: what ends a line.
+LINE_END = r"\r\n|\r|\n"
 
 __all__ = ["SUBTOTAL_LABELS", "TOTAL_LABELS", "printed_figures"]
 
 
 def text_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, text) of the lines that are not blank."""
-    return docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "text")).where(F.trim("text") != "")
+    return docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(text, LINE_END)).alias("line_no", "text")).where(F.trim("text") != "")
 
 
 def content_length(text: Column) -> Column:
@@ -116,27 +119,34 @@ HEADERISH = ("customer", "order", "size", "pickup", "time", "qty", "qty.", "item
 LABEL_TAIL = r"(?i)\s+(invoice\s*(no|number|date)|bill\s*(no|number|date)|receipt\s*no|date|gstin|po\s*number|order\s*ref|tax\s*invoice)\b.*$"
 
 
-def guess_vendor(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> the line that looks like a supplier's name, or ''.
+def _any(words: tuple[str, ...], start: str = "") -> str:
+    return f"{start}(?:{'|'.join(map(re.escape, words))})"
+
+
+def with_vendor_guess(docs: DataFrame) -> DataFrame:
+    """Adds vendor_guess: the line of ``text`` that looks like a supplier's name, or ''.
 
     First a line among the first 25 with a company suffix, without the label that may follow; then a plain
     line among the first 15.
     """
-    lines = F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
-    df = docs.select("doc_id", F.slice(F.coalesce(lines, F.array().cast("array<string>")), 1, 25).alias("_lines"))
+    lines = F.filter(F.transform(F.split("text", LINE_END), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    # lower case once a line: a lambda's expressions are not shared
+    lowered = F.transform(F.slice(F.coalesce(lines, F.array().cast("array<string>")), 1, 25), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    df = docs.withColumn("_lines", lowered)
 
-    def unfit(s: Column) -> Column:
-        low = F.lower(s)
-        tokens = F.transform(F.split(low, " "), lambda t: F.btrim(t, F.lit(":.")))
-        hits = F.size(F.filter(tokens, lambda t: t.isin(*HEADERISH)))
-        starts = reduce(lambda a, b: a | b, (F.startswith(low, F.lit(k)) for k in SKIPPED))
-        return starts | ((hits >= 2) & (hits >= F.size(tokens) / 2))
+    def unfit(x: Column) -> Column:
+        hits = F.size(F.filter(F.split(x["low"], " "), lambda t: F.btrim(t, F.lit(":.")).isin(*HEADERISH)))
+        return x["low"].rlike(_any(SKIPPED, "^")) | ((hits >= 2) & (hits >= F.size(F.split(x["low"], " ")) / 2))
 
-    suffixed = lambda s: reduce(lambda a, b: a | b, (F.contains(F.lower(s), F.lit(x)) for x in SUFFIXES))
-    cleaned = F.transform(F.filter("_lines", lambda s: suffixed(s) & ~unfit(s)), lambda s: F.btrim(F.regexp_replace(s, LABEL_TAIL, ""), F.lit(" -|,")))
-    one = F.try_element_at(F.filter(cleaned, lambda s: (F.length(s) > 3) & (F.length(s) <= 70)), F.lit(1))
-    plain = F.filter(F.slice("_lines", 1, 15), lambda s: (F.length(s) >= 4) & (F.length(s) <= 70) & ~unfit(s) & ~F.contains(s, F.lit(":")) & ~s.rlike(r"\d{2,}"))
-    return df.select("doc_id", F.coalesce(one, F.try_element_at(plain, F.lit(1)), F.lit("")).alias("vendor_guess"))
+    cleaned = F.transform(F.filter("_lines", lambda x: x["low"].rlike(_any(SUFFIXES)) & ~unfit(x)), lambda x: F.btrim(F.regexp_replace(x["s"], LABEL_TAIL, ""), F.lit(" -|,")))
+    one = F.get(F.filter(cleaned, lambda s: (F.length(s) > 3) & (F.length(s) <= 70)), F.lit(0))
+    plain = F.filter(F.slice("_lines", 1, 15), lambda x: (F.length(x["s"]) >= 4) & (F.length(x["s"]) <= 70) & ~F.contains(x["s"], F.lit(":")) & ~x["s"].rlike(r"\d{2,}") & ~unfit(x))
+    return df.withColumn("vendor_guess", F.coalesce(one, F.get(plain, F.lit(0))["s"], F.lit(""))).drop("_lines")
+
+
+def guess_vendor(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, vendor_guess)."""
+    return with_vendor_guess(docs.select("doc_id", "text")).select("doc_id", "vendor_guess")
 
 
 #: So many keywords become one expression; more are looked for by one automaton in a pass over each text.
@@ -228,17 +238,19 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def fallback_fields(invoices: DataFrame) -> DataFrame:
-    """Fills what is missing from the document's ``text``: number, order, date, totals, tax, vendor."""
+    """Fills what is missing from the document's ``text``: number, order, date, totals, tax, vendor.
+
+    Every row is filled from its own text, where it lies: nothing is shuffled. What is looked at more than once is a column of its
+    own first: a date within a date within an expression would be looked for again for every format of both.
+    """
     t = F.coalesce("text", F.lit(""))
-    filled = invoices.withColumns({
-        "invoice_number": F.coalesce(F.nullif("invoice_number", F.lit("")), first_match(t, NUMBER_LABELS)), "po_number": F.coalesce("po_number", first_match(t, ORDER_LABELS)),
-        "invoice_date": S.dmy_date(F.coalesce(F.nullif("invoice_date", F.lit("")), S.iso_date(first_match(t, DATE_LABELS)))),
+    df = invoices.withColumns({"_found": first_match(t, DATE_LABELS), "_printed": printed_amounts(F.split(t, LINE_END))})
+    df = df.withColumn("_given", F.coalesce(F.nullif("invoice_date", F.lit("")), S.iso_date(F.col("_found"))))
+    df = with_vendor_guess(df).withColumns({
+        "invoice_number": F.coalesce(F.nullif("invoice_number", F.lit("")), first_match(t, NUMBER_LABELS)), "po_number": F.coalesce("po_number", first_match(t, ORDER_LABELS)), "invoice_date": S.dmy_date(F.col("_given")),
     })
-    printed = printed_figures(text_lines(invoices.select("doc_id", "text"))).withColumnRenamed("doc_id", "_pd")
-    vendor = guess_vendor(invoices.select("doc_id", "text")).select(F.col("doc_id").alias("_vd"), "vendor_guess")
-    df = filled.join(printed, F.col("doc_id") == F.col("_pd"), "left").join(vendor, F.col("doc_id") == F.col("_vd"), "left")
     d = "decimal(18,2)"
-    df = df.withColumns({"total": F.coalesce(F.col("total").cast(d), "printed_total"), "subtotal": F.coalesce(F.col("subtotal").cast(d), "printed_subtotal"), "vendor": F.coalesce(F.nullif("vendor", F.lit("")), "vendor_guess")})
+    df = df.withColumns({"total": F.coalesce(F.col("total").cast(d), printed_total("_printed")), "subtotal": F.coalesce(F.col("subtotal").cast(d), printed_subtotal("_printed")), "vendor": F.coalesce(F.nullif("vendor", F.lit("")), "vendor_guess")})
     return df.withColumn("tax", F.coalesce(F.col("tax").cast(d), (F.col("total") - F.col("subtotal")).cast(d))).select(*invoices.columns)
 
 

@@ -93,6 +93,16 @@ def test_ocr_text_and_vendor(spark):
     assert {r.doc_id: r.vendor_guess for r in pages.guess_vendor(d).collect()} == {1: "Acme Trading Pvt Ltd", 2: "Plain Name", 3: ""}
 
 
+def test_fallback_fields_stay_with_their_row(spark):
+    columns = "doc_id string, vendor string, invoice_number string, invoice_date string, po_number string, subtotal double, tax double, total double, text string"
+    text = "Tax Invoice\nAcme Pvt Ltd  Invoice No: N-7\nPO No: P/9 of 2024-03-05\nSub Total: 100.00\nno figure in this total\nGrand Total USD 118.00"
+    rows = [("a", None, None, None, None, None, None, None, text), ("b", "V", "K", "05/01/2024", "P", 1.0, 2.0, 3.0, None), ("a", None, None, "x", None, None, None, None, "Total 5.00")]
+    out = pages.fallback_fields(spark.createDataFrame(rows, columns))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.doc_id, r.vendor, r.invoice_number, r.invoice_date, r.po_number, *(x if x is None else float(x) for x in (r.subtotal, r.tax, r.total))) for r in out.collect()]
+    assert got == [("a", "Acme Pvt Ltd", "N-7", "05-Mar-2024", "P/9", 100.0, 18.0, 118.0), ("b", "V", "K", "05-Jan-2024", "P", 1.0, 2.0, 3.0), ("a", "", None, "x", None, None, None, 5.0)]
+
+
 INV = "doc_id string, source_file string, vendor string, invoice_number string, invoice_date string, po_number string, subtotal double, tax double, total double, extra map<string,string>, batch_pos long, confidence double, validation_ok boolean, validation_notes array<string>, rule_failures array<string>, duplicate_note string, file_hash string"
 
 
