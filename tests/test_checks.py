@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import pytest
 
@@ -90,3 +91,24 @@ def test_line_maths_and_sums(spark):
     lines = spark.createDataFrame([("a", 1.1, 2.2), ("a", None, 1.0)], "d string, x double, y double")
     r = checks.derive_totals(lines, ["d"], {"subtotal": "x", "total": "y"}, {"tax": ("total", "subtotal")}).first()
     assert (float(r.subtotal), float(r.total), float(r.tax)) == (1.1, 3.2, 2.1)
+
+
+def test_bills_are_shuffled_by_order_alone(spark, tmp_path):
+    from tallyforge.plans import bills
+
+    tables = {
+        "lineitem": spark.createDataFrame([(1, 1, 1, 1, 2.0, 10.0, 0.0, 0.1), (1, 1, 1, 2, 1.0, 5.0, 0.0, 0.1), (1, 2, 2, 3, 1.0, 7.0, 0.0, 0.0)], "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"),
+        "orders": spark.createDataFrame([(1, 8, datetime.date(1995, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate date"),
+        "supplier": spark.createDataFrame([(1, "S1"), (2, "S2")], "s_suppkey long, s_name string"), "customer": spark.createDataFrame([(9, "C")], "c_custkey long, c_name string"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = bills.bills(spark, str(tmp_path))
+    assert {(r.doc_id, r.vendor, r.bill_to, r.n_lines, float(r.line_sum)) for r in out.collect()} == {("INV-1-1", "S1", None, 2, 15.0), ("INV-1-2", "S2", None, 1, 7.0)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bills.bills(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"hashpartitioning\((\w+)#", plan)
+    assert sorted(keys) == ["c_custkey", "l_orderkey", "o_custkey", "o_orderkey"]
