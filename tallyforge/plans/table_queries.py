@@ -17,6 +17,10 @@ from tallyforge.sources import page_source, readers
 from tallyforge.sources.readers import shared_folder
 
 
+#: Tasks that write files; each has its share of the documents, however they are stored.
+WRITERS = 64
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -147,8 +151,8 @@ def field_candidates(spark, sf):
 def _document_files(spark, sf):
     """The documents as a file each, in some folders; every line of a text is a page. Where they are."""
     path = _scratch(spark, "files")
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 32).alias("folder"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f\n", " \f").alias("value"))
-    d.repartition("folder").write.partitionBy("folder", "doc_id").text(path)
+    # by doc_id, not by folder: all tasks write alike
+    page_source.write_texts(table(spark, sf, "documents").select("doc_id", F.translate("text", "\f\n", " \f").alias("text")).repartition(WRITERS, "doc_id"), path)
     page_source.register(spark)
     return path
 

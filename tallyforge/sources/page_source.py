@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import importlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "doc_id string, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double, page_height double"
@@ -45,6 +48,31 @@ def text_pages(content: bytes, last: int | None) -> Iterator[Page]:
         yield no, LINE * len(lines), ((m.group(), m.start() * CHAR, m.end() * CHAR, k * LINE, (k + 1) * LINE) for k, line in enumerate(lines) for m in re.finditer(r"[^\x20\x09-\x0D]+", line))
 
 
+def _uri(path: str) -> str:
+    return re.sub(r"^file:/(?!/)", "file:///", path)
+
+
+def write_texts(texts: DataFrame, path: str, folders: int = 32) -> None:
+    """(doc_id, text): a file for each row, in folders by doc_id. Tasks create the files themselves, so no commit moves them one by
+    one on the driver; a task that runs again writes the same names."""
+    path = _uri(path)
+    system, root = pafs.FileSystem.from_uri(path)
+    for k in range(folders):
+        system.create_dir(f"{root}/folder={k}")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(path)
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{root}/folder={zlib.crc32(str(doc).encode()) % folders}/doc_id={doc}-{task}-{n}.txt") as f:
+                    f.write(f"{text or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    texts.select("doc_id", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 class Folders(InputPartition):
     """Folders that one task lists and reads, and files directly below the path."""
 
@@ -54,7 +82,7 @@ class Folders(InputPartition):
 
 class WordReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = re.sub(r"^file:/(?!/)", "file:///", options["path"])
+        self.path = _uri(options["path"])
         self.parser, self.suffix = options.get("parser", f"{__name__}:text_pages"), options.get("suffix", "")
         self.n, self.last = int(options.get("partitions", 64)), None
 
