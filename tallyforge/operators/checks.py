@@ -210,7 +210,7 @@ def _failures(p: Column, as_of: datetime.date) -> Column:
     no_cell = F.filter(p["require_line_fields"], lambda c: ~_every_line(F.coalesce(F.try_element_at(lines, c), F.array(c))))
     odd = F.filter(F.map_entries(p["regex"]), lambda e: value(e["key"]).isNotNull() & ~F.rlike(F.trim(value(e["key"])), F.concat(F.lit("^(?:"), e["value"], F.lit(")$"))))
     total, shown = F.col("total"), F.format_number(F.col("total"), 2)
-    d, today = rule_date(F.col("invoice_date")), F.lit(as_of)
+    d, today = F.col("_day"), F.lit(as_of)
 
     def rate(line: Column) -> Column:
         cell = lambda k: F.try_element_at(line, F.lit(k)).try_cast("double")
@@ -260,7 +260,8 @@ def _judged(invoices: DataFrame, profiles: dict[str, dict[str, Any]], default: d
         named = named.join(known, key == F.col("_key"), "left").withColumn("_profile", F.col("_own_profile"))
     names = re.findall(r"(\w+):", PROFILE)
     other = F.from_json(F.lit(json.dumps(dict(zip(names, _row(default))))), PROFILE)
-    judged = named.withColumn("_profile", F.coalesce("_profile", other))
+    # a column of its own: five checks look at the day, each would read it by all formats again
+    judged = named.withColumns({"_profile": F.coalesce("_profile", other), "_day": rule_date(F.col("invoice_date"))})
     return judged.withColumn("rule_failures", _failures(F.col("_profile"), as_of)).select(*invoices.columns, "rule_failures")
 
 
