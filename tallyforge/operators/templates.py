@@ -374,7 +374,8 @@ def read_lines(lines: DataFrame, layouts: DataFrame, uses: Uses = Uses()) -> Dat
 def extract_documents(words: DataFrame, templates: dict[str, dict] | DataFrame) -> DataFrame:
     """Words (with template_id) and templates, a mapping or a table (template_id, template JSON) -> header and items of every document."""
     known = isinstance(templates, dict)
-    layouts = plans(template_table(words.sparkSession, templates) if known else templates)
+    # a mapping is small: were lines dealt by template to meet it, all lines of a template would be one task's
+    layouts = F.broadcast(plans(template_table(words.sparkSession, templates))) if known else plans(templates)
     words = words.where(F.col("text").isNotNull() & F.col("x0").isNotNull() & F.col("top").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("template_id").cast("string").alias("template_id"), "page_no", "word_no", "text", "x0", "x1", "top")
     uses = Uses.of(templates) if known else Uses()
     shared_folder(words.sparkSession)
