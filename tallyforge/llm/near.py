@@ -7,7 +7,8 @@
 3. Register likelihood drops pairs that are surely below the threshold; the rest are verified on the
    full sets, each item's best pair first. What is connected already needs no more pairs.
 4. Buckets that still hold more than one component are compared completely, across components only:
-   blocks of members meet by their whole sets, and of the links only those that connect come out.
+   blocks of members meet by their whole sets, and of the links only those that connect come out. Of
+   buckets with the same members one is.
 
 So no link between different components is lost beyond the recall of the bands (see ROWS, BANDS), and no
 bucket is ever gathered in one task. Sets travel as sorted 64-bit hashes of their elements, made once from
@@ -187,7 +188,7 @@ class NearLinks:
             comp = components(links, self.space)
         # buckets that still hold several components
         named = save(full.join(comp.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("band", "id", F.coalesce("comp", "id").alias("comp")))
-        open_ = save(named.groupBy(F.col("band").alias("_band")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("_band"))
+        open_ = save(self._open(named))
         members = save(named.join(small(open_, SMALL), F.col("band") == F.col("_band")).select("band", "id", "comp"))
         drop(named, likely, best, ends, open_)
         more = save(self._blocks(*self._dealt(members, sets, fetch)))
@@ -197,6 +198,17 @@ class NearLinks:
         drop(full, sets, members)
         return links, comp
 
+    @staticmethod
+    def _open(named: DataFrame) -> DataFrame:
+        """(_band) of buckets that hold several components, one of all buckets with the same members.
+
+        Pairs meet in several bands, and what is the same set of members need not be compared again. Members are told by their number
+        and 128 bits of their ids' hashes.
+        """
+        bits = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"_x{seed}") for seed in (0, 1)]
+        sums = named.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n"), *bits).where("_lo <> _hi")
+        return sums.groupBy("_n", "_x0", "_x1").agg(F.min("band").alias("_band")).select("_band")
+
     @staticmethod
     def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """The pairs whose ends lie in different components."""
