@@ -22,6 +22,7 @@ taken in blocks of BLOCK bytes of text, one text at least.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Workspace, hashed_words, mix64
 
-#: Bytes of text taken at a time, and bytes of text for each group of hashes.
-BLOCK, SHARE = 1 << 23, 1 << 22
+#: Bytes of text taken at a time (arrays over its tokens take some twenty times as much), and bytes of text for each group of hashes.
+BLOCK, SHARE = 1 << 22, 1 << 22
 #: Base of the levels, bits of filter an entry, bits set for it, levels at most.
 BASE, BITS, PROBES, LEVELS = 1.5, 12, 5, 100
 #: Bytes of filter broadcast at a time, and words whose exact counts are broadcast (16 bytes each).
@@ -44,6 +45,7 @@ PRIOR = 200.0
 _END = 0x9E3779B97F4A7C15
 _EDGES = np.array([0.0] + [BASE**j for j in range(1, LEVELS)])
 WORD, PAIR = 0, 1
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -51,6 +53,13 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(_EDGES, counts + 1e-9, side="right") * (counts > 0)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: Arrow's, and that of NumPy, which the C library keeps for a worker's next task."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
@@ -74,10 +83,10 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = hashed_words(b" ".join(x.encode("utf-8", "surrogatepass") for x in names.to_pylist()))[2]
     n = np.bincount(owner, minlength=len(texts)) + 1
     starts = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
-    out = np.zeros(int(n.sum()), np.int64)
+    out = np.zeros(int(n.sum()), np.int32)
     place = np.ones(len(out), bool)
     place[starts + n - 1] = False
-    out[place] = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    out[place] = words.indices.to_numpy(zero_copy_only=False) + 1
     return np.concatenate(([_END], hashes)).astype(np.uint64), out, starts
 
 
@@ -86,7 +95,7 @@ def _pairs(tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[starts] = 0
-    return before * n + tokens
+    return before.astype(np.int64) * n + tokens
 
 
 def _pair_hash(pairs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -113,7 +122,7 @@ def _counted(buckets: int):
                     out += [(int(at[lo]), kind, h[lo:hi].tobytes(), c[lo:hi].astype(np.uint8).tobytes() if c[lo:hi].max() < 256 else c[lo:hi].tobytes()) for lo, hi in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "h", "c"])
                 del out, pairs, times, tokens, hashes
-                pa.default_memory_pool().release_unused()
+                _give_back()
 
     return run
 
@@ -162,8 +171,10 @@ def _segment(key: tuple, rows: pa.Table) -> pa.Table:
             cell, x = _places(h[level >= j], j, cells)
             for probe in range(PROBES):
                 full[cell * 64 + _bit(x, probe).astype(np.int64)] = True
-    pa.default_memory_pool().release_unused()
-    return pa.table({"bucket": [key[0].as_py()], "segment": pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary()), "words": pa.array([kept[0]], pa.binary()), "counts": pa.array([kept[1]], pa.binary()), "tally": pa.array([tally.reshape(-1).tolist()], pa.list_(pa.int64()))})
+    packed = np.packbits(full, bitorder="little").tobytes()
+    del full, bits
+    _give_back()
+    return pa.table({"bucket": [key[0].as_py()], "segment": pa.array([packed], pa.binary()), "words": pa.array([kept[0]], pa.binary()), "counts": pa.array([kept[1]], pa.binary()), "tally": pa.array([tally.reshape(-1).tolist()], pa.list_(pa.int64()))})
 
 
 @dataclass
@@ -334,7 +345,7 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR, most_bytes: int =
                     ["doc_id", "row", "n_tokens", "n_known", "base", "rare", "score"],
                 )
                 del hashes, tokens, word, pair, at, hit, c, rare, p
-                pa.default_memory_pool().release_unused()
+                _give_back()
 
     out = rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base double, rare array<long>, score double")
     if not whole:  # words without a broadcast count are joined; the written table keeps the numbers of rows
@@ -360,6 +371,8 @@ def _carry(probe):
                     word, pair = _merged(levels, starts, n, word, pair)
                 packed = [word[a : a + k].tobytes() + pair[a : a + k].tobytes() for a, k in zip(starts.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(texts)) for i in range(3)), pa.array(packed, pa.binary())], ["doc_id", "text", "row", "levels"])
+                del tokens, word, pair, packed
+                _give_back()
 
     return run
 
