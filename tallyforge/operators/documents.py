@@ -34,11 +34,16 @@ def from_answers(answers: DataFrame, column: str = "raw") -> DataFrame:
     """(doc_id, raw) -> one invoice a row. Unreadable answers give an invoice with nothing in it."""
     df = parse_json(answers, column).withColumn("_a", F.from_json("json", ANSWER))
     a = lambda k: F.col(f"_a.{k}")
-    money = lambda k: S.to_number(a(k)).cast(D)
-    number, order = _text(a("invoice_number")), _text(a("po_number"))
-    taxes = F.filter(F.coalesce(a("taxes"), F.array().cast(TAXES)), lambda t: S.to_number(t["amount"]).isNotNull())
-    tax_sum = F.aggregate(taxes, F.lit(0).cast(D), lambda acc, t: (acc + S.to_number(t["amount"]).cast(D)).cast(D))
-    gst = sum((F.coalesce(money(k), F.lit(0).cast(D)) for k in ("cgst", "sgst", "igst")), F.lit(0).cast(D)).cast(D)
+    # texts and figures first, each once: what follows reads them several times
+    tax = F.transform(a("taxes"), lambda t: F.struct(F.trim(F.coalesce(F.nullif(t["name"], F.lit("")), F.lit("tax"))).alias("name"), S.to_number(t["amount"]).cast(D).alias("amount")))
+    df = df.withColumns({
+        **{f"_{k}": S.strip_doubt(F.trim(a(k))) for k in ("vendor", "invoice_number", "po_number", "invoice_date", "currency")},
+        **{k: S.to_number(a(k)).cast(D) for k in ("subtotal", "total", "cgst", "sgst", "igst", "taxable_value")},
+        "_taxes": F.filter(F.coalesce(tax, F.array().cast("array<struct<name:string,amount:decimal(18,2)>>")), lambda t: t["amount"].isNotNull()),
+    })
+    said = lambda k: F.nullif(F.col(f"_{k}"), F.lit(""))
+    tax_sum = F.aggregate("_taxes", F.lit(0).cast(D), lambda acc, t: (acc + t["amount"]).cast(D))
+    gst = sum((F.coalesce(k, F.lit(0).cast(D)) for k in ("cgst", "sgst", "igst")), F.lit(0).cast(D)).cast(D)
     rows = F.filter(F.coalesce(a("line_items"), F.array().cast(LINE_ITEMS)), lambda r: ~S.is_summary_row(S.strip_doubt(F.coalesce(r["description"], F.lit("")))))
 
     def cols(r: Column) -> Column:
@@ -46,22 +51,27 @@ def from_answers(answers: DataFrame, column: str = "raw") -> DataFrame:
         pairs += [F.struct(F.lit(c).alias("k"), S.to_number(r[c]).cast("string").alias("v")) for c in CELLS]
         return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
-    start = F.when(_text(a("currency")).isNotNull(), F.create_map(F.lit("currency"), F.trim(a("currency")))).otherwise(F.create_map().cast("map<string,string>"))
+    start = F.when(said("currency").isNotNull(), F.create_map(F.lit("currency"), F.trim(a("currency")))).otherwise(F.create_map().cast("map<string,string>"))
 
     def put(taken: Column, t: Column) -> Column:
         """A tax whose name is taken goes by ``<name>_amount``; the last of these stays."""
-        name = F.trim(F.coalesce(F.nullif(t["name"], F.lit("")), F.lit("tax")))
-        key, value = F.when(F.map_contains_key(taken, name), F.concat(name, F.lit("_amount"))).otherwise(name), S.to_number(t["amount"]).cast(D).cast("string")
-        return F.when(F.map_contains_key(taken, key), F.transform_values(taken, lambda k, v: F.when(k == key, value).otherwise(v))).otherwise(F.map_concat(taken, F.create_map(key, value)))
+        value = t["amount"].cast("string")
+        key = F.when(F.map_contains_key(taken, t["name"]), F.concat(t["name"], F.lit("_amount"))).otherwise(t["name"])
+        put_at = lambda key: F.when(F.map_contains_key(taken, key), F.transform_values(taken, lambda k, v: F.when(k == key, value).otherwise(v))).otherwise(F.map_concat(taken, F.create_map(key, value)))
+        return F.get(F.transform(F.array(key), put_at), F.lit(0))
 
     line_sum = F.aggregate("lines", F.lit(0).cast(D), lambda acc, m: (acc + F.coalesce(F.try_element_at(m, F.lit("amount")).try_cast(D), F.lit(0).cast(D))).cast(D))
     df = df.withColumns({
-        "vendor": F.coalesce(_text(a("vendor")), F.lit("")), "invoice_number": F.when(S.invoice_number_confidence(number) >= 0.4, number), "po_number": F.when(S.order_number_confidence(order) >= 0.4, order),
-        "invoice_date": _text(a("invoice_date")), "subtotal": money("subtotal"), "total": money("total"), "cgst": money("cgst"), "sgst": money("sgst"), "igst": money("igst"), "taxable_value": money("taxable_value"),
-        "tax": F.when(gst > 0, gst).when(F.size(taxes) > 0, tax_sum).otherwise((money("total") - money("subtotal")).cast(D)),
-        "extra": F.aggregate(taxes, start, put), "lines": F.transform(rows, cols),
+        "vendor": F.coalesce("_vendor", F.lit("")), "invoice_number": said("invoice_number"), "po_number": said("po_number"), "invoice_date": said("invoice_date"),
+        "tax": F.when(gst > 0, gst).when(F.size("_taxes") > 0, tax_sum).otherwise((F.col("total") - F.col("subtotal")).cast(D)),
+        "extra": F.aggregate("_taxes", start, put), "lines": F.transform(rows, cols),
+    })
+    df = df.withColumns({
+        "invoice_number": F.when(S.invoice_number_confidence(F.col("invoice_number")) >= 0.4, F.col("invoice_number")), "po_number": F.when(S.order_number_confidence(F.col("po_number")) >= 0.4, F.col("po_number")),
+        "n_lines": F.size("lines"), "line_sum": line_sum,
     })
-    return df.withColumns({"n_lines": F.size("lines"), "line_sum": line_sum}).drop("_a", "json", column)
+    made = ("vendor", "invoice_number", "po_number", "invoice_date", "subtotal", "total", "cgst", "sgst", "igst", "taxable_value", "tax", "extra", "lines", "n_lines", "line_sum")
+    return df.select(*(c for c in answers.columns if c not in (column, *made)), *made)
 
 
 #: A note with one of these means that the sums are in doubt.
