@@ -6,6 +6,7 @@ they are hash joins to a small table; nearest and backward matches keep one row
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,17 +73,36 @@ HEADER_WORDS = {
 }
 
 
-def header_rows(words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, line_key, x0, text) -> the page's header: its line and a map from column to left edge.
+def _named(word: Column) -> Column:
+    """The columns that a word may head, as bits in their order."""
+    named = (reduce(lambda a, b: a | b, (F.startswith(word, F.lit(x)) for x in aliases)) for aliases in HEADER_WORDS.values())
+    return reduce(lambda a, b: a + b, (F.when(n, 1 << i).otherwise(0) for i, n in enumerate(named)))
 
-    The line with most different column words wins, the first of those; it needs two.
+
+def page_lines(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """(doc_id, page_no, line_key, w, heads, starts): words of each line by place; the columns that it names, as bits; where columns of the page start.
+
+    Left edges, rounded to ten, start a column where they jump by 20 or more; each start is in one line.
+    """
+    x = (F.rint(F.col("x0") / 10) * 10).cast("long")
+    jump = F.col("_x") - F.lag("_x").over(Window.partitionBy("doc_id", "page_no").orderBy("_x"))
+    df = group_lines(words.where("doc_id is not null and page_no is not null"), tolerance).withColumns({"_x": x, "_n": _named(F.lower(F.trim("text")))})
+    df = df.withColumn("_start", F.when(jump.isNull() | (jump >= 20), F.col("_x")))
+    return df.groupBy("doc_id", "page_no", "line_key").agg(F.array_sort(F.collect_list(F.struct("x0", "word_no", "text", "_n"))).alias("w"), F.bit_or("_n").alias("heads"), F.collect_list("_start").alias("starts"))
+
+
+def _header(lines: DataFrame) -> DataFrame:
+    """Adds ``header``, the columns by left edge that hold on the line's page, and ``header_line`` if they are the page's own.
+
+    The line with most different column words is a page's header, the first of those; it needs two. Pages without one have the last before.
     """
-    word = F.lower(F.trim("text"))
-    names = F.filter(F.array(*(F.when(reduce(lambda a, b: a | b, (F.startswith(word, F.lit(x)) for x in aliases)), F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"))) for i, (n, aliases) in enumerate(HEADER_WORDS.items()))), lambda c: c.isNotNull())
-    hits = words.select("doc_id", "page_no", "line_key", "x0", F.explode(names).alias("c")).groupBy("doc_id", "page_no", "line_key", "c.ord", "c.name").agg(F.min("x0").alias("x0"))
-    lines = hits.groupBy("doc_id", "page_no", "line_key").agg(F.count("*").alias("score"), F.array_sort(F.collect_list(F.struct("x0", "ord", "name"))).alias("cols")).where("score >= 2")
-    best = lines.groupBy("doc_id", "page_no").agg(F.max_by(F.struct("line_key", "cols"), F.struct("score", -F.col("line_key"))).alias("b"))
-    return best.select("doc_id", "page_no", F.col("b.line_key").alias("header_line"), F.col("b.cols").alias("header"))
+    score = F.bit_count("heads")
+    at = lambda i: F.transform(F.filter("w", lambda w: w["_n"].bitwiseAND(1 << i) != 0), lambda w: w["x0"])
+    cols = F.array_sort(F.filter(F.array(*(F.when(F.col("heads").bitwiseAND(1 << i) != 0, F.struct(F.array_min(at(i)).alias("x0"), F.lit(i).alias("ord"), F.lit(n).alias("name"))) for i, n in enumerate(HEADER_WORDS))), lambda c: c.isNotNull()))
+    page, down = Window.partitionBy("doc_id", "page_no"), Window.partitionBy("doc_id").orderBy("page_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.max_by(F.struct("line_key", "_cols"), F.when(score >= 2, F.struct(score, -F.col("line_key")))).over(page)
+    df = lines.withColumn("_cols", F.when(score >= 2, cols)).withColumn("_own", own)
+    return df.withColumns({"header_line": F.col("_own.line_key"), "header": F.last("_own._cols", ignorenulls=True).over(down)}).drop("_cols", "_own")
 
 
 def carry_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
@@ -93,41 +113,30 @@ def carry_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
     return df.withColumn("header", F.last("header", ignorenulls=True).over(w)).where("header is not null").select("doc_id", "page_no", "header_line", "header")
 
 
+def _cells_of(names: Column, name: Callable[[Column], Column]) -> Column:
+    """The line's words as a map by column; every column of ``names`` is there, empty if unused."""
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter("w", lambda w: name(w) == n), lambda w: w["text"]), " ")))
+
+
 def read_tables(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """Words of pages -> table rows as maps, by nearest header, carried over pages, with the three repairs.
 
     words: doc_id, page_no, word_no, text, x0, top. Result: doc_id, row_no, cols (map), in reading order.
-    Documents without any header get positional columns from gaps.
+    Documents without any such row get columns col_0, col_1, ... from gaps between left edges, on pages with two or more. All is done where the
+    words of a document lie: lines are read once, and what holds for their page or document comes by windows.
     """
-    lined = group_lines(words, tolerance)
-    held = carry_headers(words, header_rows(lined)).withColumnsRenamed({"doc_id": "_d", "page_no": "_p"})
-    df = lined.join(held, (F.col("doc_id") == F.col("_d")) & (F.col("page_no") == F.col("_p"))).where(F.col("header_line").isNull() | (F.col("line_key") > F.col("header_line")))
-    nearest = F.array_min(F.transform("header", lambda h: F.struct(F.abs(h["x0"] - F.col("x0")).alias("d"), h["ord"].alias("ord"), h["name"].alias("name"))))["name"]
-    cell = df.select("doc_id", "page_no", "line_key", "x0", "word_no", "text", nearest.alias("name"), F.transform("header", lambda h: h["name"]).alias("names"))
-    rows = _rows_of(cell)
-    rows = rows.where(~F.col("line_text").rlike(SUMMARY_LINE) & (F.coalesce(F.trim(F.try_element_at("cols", F.lit("description"))), F.lit("")) != ""))
-    bare = words.join(rows.select(F.col("doc_id").alias("_x")).distinct(), F.col("doc_id") == F.col("_x"), "left_anti")
-    rows = rows.unionByName(positional_rows(bare, tolerance))
+    df = _header(page_lines(words, tolerance))
+    nearest = lambda w: F.array_min(F.transform("header", lambda h: F.struct(F.abs(h["x0"] - w["x0"]).alias("d"), h["ord"].alias("ord"), h["name"].alias("name"))))["name"]
+    below = F.col("header").isNotNull() & (F.col("header_line").isNull() | (F.col("line_key") > F.col("header_line")))
+    df = df.withColumn("cols", F.when(below, _cells_of(F.transform("header", lambda h: h["name"]), nearest)))
+    text = F.array_join(F.transform("w", lambda w: w["text"]), " ")
+    df = df.withColumn("_row", F.coalesce(F.col("cols").isNotNull() & ~text.rlike(SUMMARY_LINE) & (_cell("description") != ""), F.lit(False)))
+    df = df.withColumn("_any", F.max("_row").over(Window.partitionBy("doc_id"))).withColumn("boundaries", F.when(~F.col("_any"), F.array_sort(F.flatten(F.collect_list("starts").over(Window.partitionBy("doc_id", "page_no"))))))
+    place = lambda i: F.concat(F.lit("col_"), i.cast("string"))
+    gaps = _cells_of(F.transform("boundaries", lambda b, i: place(i)), lambda w: place(to_boundary(w["x0"], F.col("boundaries"))))
+    rows = df.where(F.col("_row") | (~F.col("_any") & (F.size("boundaries") >= 2))).withColumn("cols", F.when(F.col("_any"), F.col("cols")).otherwise(gaps))
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_key")
-    rows = rows.select("doc_id", F.row_number().over(order).alias("row_no"), "cols")
-    return fix_exempt(fix_hsn(merge_continuations(rows)))
-
-
-def _rows_of(cell: DataFrame) -> DataFrame:
-    """Words with their column name -> one map a line; every column of ``names`` is there, empty if unused."""
-    sorted_words = lambda c: F.array_sort(F.collect_list(F.struct("x0", "word_no", "text", "name")))
-    lines = cell.groupBy("doc_id", "page_no", "line_key").agg(sorted_words(0).alias("w"), F.first("names").alias("names"))
-    joined = F.map_from_arrays("names", F.transform("names", lambda n: F.array_join(F.transform(F.filter("w", lambda x: x["name"] == n), lambda x: x["text"]), " ")))
-    return lines.select("doc_id", "page_no", "line_key", joined.alias("cols"), F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("line_text"))
-
-
-def positional_rows(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """Rows with columns col_0, col_1, ... from gaps between left edges, for pages with two columns or more."""
-    bounds = gap_boundaries(words, ["doc_id", "page_no"]).where(F.size("boundaries") >= 2).withColumnsRenamed({"doc_id": "_d", "page_no": "_p"})
-    df = group_lines(words, tolerance).join(bounds, (F.col("doc_id") == F.col("_d")) & (F.col("page_no") == F.col("_p")))
-    name = F.concat(F.lit("col_"), to_boundary(F.col("x0"), F.col("boundaries")).cast("string"))
-    names = F.transform("boundaries", lambda b, i: F.concat(F.lit("col_"), i.cast("string")))
-    return _rows_of(df.select("doc_id", "page_no", "line_key", "x0", "word_no", "text", name.alias("name"), names.alias("names")))
+    return fix_exempt(fix_hsn(merge_continuations(rows.select("doc_id", F.row_number().over(order).alias("row_no"), "cols"))))
 
 
 NUMERIC_CELLS = ("quantity", "rate", "amount", "taxable_value", "cgst_rate", "sgst_rate", "igst_rate", "discount")
