@@ -76,8 +76,7 @@ def carried_table(spark, sf):
 def positional_table(spark, sf):
     """Rows of words without any header."""
     words = statements(spark, sf).where("word_no >= 10 and x0 not in (200, 235)")
-    last = words.groupBy("doc_id").agg(F.max("top").alias("_bottom"))
-    words = words.join(last, "doc_id").where("top < _bottom").drop("_bottom")
+    words = words.withColumn("_bottom", F.max("top").over(Window.partitionBy("doc_id"))).where("top < _bottom").drop("_bottom")
     return tables.read_tables(words).select("doc_id", *(F.try_element_at("cols", F.lit(f"col_{i}")).alias(f"col_{i}") for i in range(3)))
 
 
