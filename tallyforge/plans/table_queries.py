@@ -185,7 +185,7 @@ def sql_cells(spark, sf):
     """Cells of the statements' lines by a table function over partitions."""
     table_functions.register_tables(spark)
     statements(spark, sf).select("doc_id", F.col("top").cast("int").alias("line_no"), "text", "x0", "x1").createOrReplaceTempView("_tf_words")
-    return spark.sql("SELECT * FROM tf_cells(TABLE(SELECT * FROM _tf_words) PARTITION BY (doc_id, line_no) ORDER BY x0)")
+    return spark.sql("SELECT * FROM tf_cells(TABLE(SELECT * FROM _tf_words) PARTITION BY doc_id ORDER BY (line_no, x0))")
 
 
 def model_calls(spark, sf):
