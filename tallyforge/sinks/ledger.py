@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Entries stay and are read for long: they are packed closer than what passes through.
+PACKED = "zstd"
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -55,7 +59,7 @@ class Ledger:
         if name in committed or name in self._replaced(committed):
             return False
         # what a broken append has left is written over
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        rows.write.mode("overwrite").option("compression", PACKED).parquet(f"{self.path}/{name}")
         return True
 
     def read(self) -> DataFrame:
@@ -87,7 +91,7 @@ class Ledger:
         fs, path = self._fs(name)
         fs.delete(path, True)
         self.spark.createDataFrame([(n,) for n in sorted({*live, *gone})], "value string").coalesce(1).write.text(f"{self.path}/_lists/{name}")
-        rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.path}/{name}")
+        rows.write.mode("overwrite").option("compression", PACKED).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.path}/{name}")
         fs.rename(self._fs(f"_lists/{name}")[1], self._fs(f"{name}/_replaces")[1])
         fs.create(self._fs(f"{name}/_SUCCESS")[1], True).close()
         for n in live:
