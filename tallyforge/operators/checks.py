@@ -291,17 +291,18 @@ def check_duplicates(batch: DataFrame, history: DataFrame) -> DataFrame:
     semi join drops the others where they are read if the batch is small, and shares the exchange of the sums if not.
     """
     df = batch.withColumns({"_key": duplicate_key(F.col("vendor"), F.col("invoice_number")), "_hash": F.coalesce("file_hash", F.lit(""))})
-    first = lambda c, name: df.where(F.col(c) != "").groupBy(F.col(c).alias(f"_k{name}")).agg(F.min_by("source_file", "batch_pos").alias(f"_of{name}"), F.min("batch_pos").alias(f"_at{name}"))
+    first = lambda c, name: df.where(F.col(c) != "").groupBy(F.col(c).alias(f"_k{name}")).agg(F.min_by("source_file", "batch_pos").alias(f"_of{name}"), F.min("batch_pos").alias(f"_at{name}"), F.max("batch_pos").alias("_last")).where(F.col("_last") > F.col(f"_at{name}")).drop("_last")
     past = history.withColumns({"_pk": duplicate_key(F.col("vendor"), F.col("invoice_number")), "_ph": F.coalesce("file_hash", F.lit(""))})
     asked = lambda c, own: past.where(F.col(c) != "").join(df.where(F.col(own) != "").select(F.col(own).alias("_asked")).distinct(), F.col(c) == F.col("_asked"), "left_semi")
     old = lambda c, own, name: asked(c, own).groupBy(F.col(c).alias(f"_o{name}")).agg(F.min_by(F.struct("source_file", "processed_at"), "history_seq").alias(f"_h{name}"))
-    df = (
-        df.join(first("_hash", "h"), F.col("_hash") == F.col("_kh"), "left").join(first("_key", "k"), F.col("_key") == F.col("_kk"), "left")
-        .join(old("_ph", "_hash", "h"), F.col("_hash") == F.col("_oh"), "left").join(old("_pk", "_key", "k"), F.col("_key") == F.col("_ok"), "left")
-    )
+    # a key's joins follow each other, so rows are dealt once a key; of the first key only what the second needs goes on
+    df = df.join(first("_key", "k"), F.col("_key") == F.col("_kk"), "left").join(old("_pk", "_key", "k"), F.col("_key") == F.col("_ok"), "left")
+    own = F.col("_atk") < F.col("batch_pos")
+    df = df.select(*batch.columns, "_hash", F.when(own, F.col("_ofk")).alias("_ofk"), own.alias("_own"), F.when(~F.coalesce(own, F.lit(False)), F.col("_hk")).alias("_hk"))
+    df = df.join(first("_hash", "h"), F.col("_hash") == F.col("_kh"), "left").join(old("_ph", "_hash", "h"), F.col("_hash") == F.col("_oh"), "left")
     cases = (
         (F.col("_ath") < F.col("batch_pos"), F.col("_ofh"), F.lit("identical file already in this batch")),
-        (F.col("_atk") < F.col("batch_pos"), F.col("_ofk"), F.lit("same vendor & invoice number in this batch")),
+        (F.col("_own"), F.col("_ofk"), F.lit("same vendor & invoice number in this batch")),
         (F.col("_hh").isNotNull(), F.col("_hh.source_file"), F.concat(F.lit("identical file processed on "), F.coalesce("_hh.processed_at", F.lit("")))),
         (F.col("_hk").isNotNull(), F.col("_hk.source_file"), F.concat(F.lit("invoice "), F.coalesce("invoice_number", F.lit("None")), F.lit(" from "), F.coalesce("vendor", F.lit("None")), F.lit(" already processed on "), F.coalesce("_hk.processed_at", F.lit("")))),
     )
