@@ -32,3 +32,18 @@ def test_pages_of_all_kinds(spark):
     assert got == [
         ("a", 1, {"description": "pen", "amount": "5"}), ("a", 2, {"description": "ink", "amount": "7"}), ("b", 1, {"col_0": "Description", "col_1": "Amount"}),
     ]
+
+
+def test_a_row_is_dealt_once_a_key(spark):
+    """Of the joins of a key the second finds its rows where the first has left them."""
+    from tallyforge.operators import checks
+
+    columns = "source_file string, vendor string, invoice_number string, file_hash string"
+    new, old = spark.createDataFrame([("n", "V", "1", "h", 1)], f"{columns}, batch_pos long"), spark.createDataFrame([("o", "V", "1", "h", "2025", 1)], f"{columns}, processed_at string, history_seq long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # a key: its rows, their first, their distinct keys, the history
+        assert exchanges(checks.check_duplicates(new, old)) == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
