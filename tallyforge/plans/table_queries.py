@@ -11,7 +11,7 @@ from tallyforge.functions import jsonfix, tables as table_functions
 from tallyforge.functions import scalars as S
 from tallyforge.operators import calls, candidates, checks, edits, engines, exports, infer, pages, prompts, tables, templates
 from tallyforge.plans.bills import bill_lines, bills, table
-from tallyforge.plans.document_queries import statements
+from tallyforge.plans.document_queries import statements, statements_apart
 from tallyforge.sinks import files
 from tallyforge.sources import page_source, readers
 from tallyforge.sources.readers import shared_folder
@@ -46,7 +46,7 @@ def _dated(words):
 
 def infer_template(spark, sf):
     """Templates of the statements, from their words alone."""
-    out = infer.infer_templates(_dated(statements(spark, sf))).withColumn("t", F.from_json("template", "line_items struct<header_anchor:string,end_anchor:string,columns:array<struct<name:string,x_min:double,x_max:double,type:string>>>, fields map<string,struct<anchor:string>>"))
+    out = infer.infer_templates(_dated(statements_apart(spark, sf))).withColumn("t", F.from_json("template", "line_items struct<header_anchor:string,end_anchor:string,columns:array<struct<name:string,x_min:double,x_max:double,type:string>>>, fields map<string,struct<anchor:string>>"))
     columns = F.array_join(F.transform("t.line_items.columns", lambda c: F.concat_ws(":", c["name"], c["type"], c["x_min"].cast("string"), c["x_max"].cast("string"))), ",")
     return out.select("doc_id", "status", "t.line_items.header_anchor", "t.line_items.end_anchor", columns.alias("columns"), F.try_element_at("t.fields", F.lit("total"))["anchor"].alias("total_anchor"))
 
@@ -57,7 +57,7 @@ def infer_layouts(spark, sf):
     amount = (F.col("x0") == 300) & (F.col("top") > 60) & (F.col("top") < F.col("_last"))
     low = lambda w: w.withColumn("_last", last).withColumn("top", F.when(amount, F.col("top") + 7).otherwise(F.col("top"))).drop("_last")
     wrong = lambda w: w.withColumn("_last", last).withColumn("text", F.when((F.col("x0") == 300) & (F.col("top") == F.col("_last")), (F.col("text").try_cast("decimal(18,2)") + 100).cast("string")).otherwise(F.col("text"))).drop("_last")
-    out = infer.infer_templates(_three_ways(_dated(statements(spark, sf)), (lambda w: w, low, wrong)).drop("template_id"))
+    out = infer.infer_templates(_three_ways(_dated(statements_apart(spark, sf)), (lambda w: w, low, wrong)).drop("template_id"))
     return out.select("doc_id", "status", F.get_json_object("template", "$.line_items.row_tol").cast("double").alias("row_tol"))
 
 
