@@ -223,8 +223,10 @@ def header_fields(lines: DataFrame, layouts: DataFrame, below: bool = True) -> D
     """
     keys = [*KEYS, "variant"]
     rules = layouts.select(F.col("template_id").alias("_t"), "variant", "fields")
-    hits = F.filter(F.transform("fields", lambda f: F.struct(f.alias("f"), _at(f["anchor"]).alias("at"))), lambda x: x["at"].isNotNull())
-    df = _meet(lines, rules).select(*keys, "line_no", "ws", "names", F.explode(hits).alias("_x")).select(*keys, "line_no", "ws", "names", "_x.*")
+    # most lines have the first word of no label
+    near = F.filter("fields", lambda f: F.array_contains("names", F.get(f["anchor"], F.lit(0))))
+    hits = F.filter(F.transform("_near", lambda f: F.struct(f.alias("f"), _at(f["anchor"]).alias("at"))), lambda x: x["at"].isNotNull())
+    df = _meet(lines, rules).withColumn("_near", near).where(F.size("_near") > 0).select(*keys, "line_no", "ws", "names", F.explode(hits).alias("_x")).select(*keys, "line_no", "ws", "names", "_x.*")
     n, behind = F.size("f.anchor"), F.col("at") + F.size("f.anchor")
     rest, labels = F.slice("ws", behind + 1, F.size("ws")), F.slice("names", behind + 1, F.size("ws"))
     # a separator that stands alone is no value

@@ -36,12 +36,12 @@ def json_repair(spark, sf):
 
 
 def _dated(words):
-    """The statements with a number and a date, without which no invoice is in order."""
+    """The statements with a number and a date, without which no invoice is in order; they come with the statement's first word, where it lies."""
     cell = lambda no, text, x: F.struct(F.lit(900_000 + no).alias("word_no"), text.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 30)).alias("x1"), F.lit(25.0).alias("top"))
     said = (("Invoice", 50), ("No", 90), (":", 122), (None, 155), ("Date", 300), (":", 332), ("05/01/2024", 365))
     head = F.array(*(cell(i, F.lit(t) if t else F.concat(F.lit("INV-"), "doc_id"), x) for i, (t, x) in enumerate(said)))
-    more = words.select("doc_id").distinct().select("doc_id", F.explode(head).alias("w"))
-    return words.unionByName(more.select("doc_id", F.lit(1).alias("page_no"), "w.*"))
+    own = F.array(F.struct("word_no", "text", "x0", "x1", "top"))
+    return words.select("doc_id", "page_no", F.explode(F.when(F.col("word_no") == 0, F.concat(own, head)).otherwise(own)).alias("w")).select("doc_id", "page_no", "w.*")
 
 
 def infer_template(spark, sf):
@@ -53,11 +53,12 @@ def infer_template(spark, sf):
 
 def infer_layouts(spark, sf):
     """Statements as they are, with amounts printed so low that only looser rows read them, and with a total that does not agree."""
-    last = F.max("top").over(Window.partitionBy("doc_id"))
-    amount = (F.col("x0") == 300) & (F.col("top") > 60) & (F.col("top") < F.col("_last"))
-    low = lambda w: w.withColumn("_last", last).withColumn("top", F.when(amount, F.col("top") + 7).otherwise(F.col("top"))).drop("_last")
-    wrong = lambda w: w.withColumn("_last", last).withColumn("text", F.when((F.col("x0") == 300) & (F.col("top") == F.col("_last")), (F.col("text").try_cast("decimal(18,2)") + 100).cast("string")).otherwise(F.col("text"))).drop("_last")
-    out = infer.infer_templates(_three_ways(_dated(statements_apart(spark, sf)), (lambda w: w, low, wrong)).drop("template_id"))
+    k, amount = F.col("doc_id").cast("long") % 3, F.col("x0") == 300
+    words = _dated(statements(spark, sf)).withColumn("_last", F.max("top").over(Window.partitionBy("doc_id")))
+    low = (k == 1) & amount & (F.col("top") > 60) & (F.col("top") < F.col("_last"))
+    wrong = (k == 2) & amount & (F.col("top") == F.col("_last"))
+    words = words.withColumns({"top": F.when(low, F.col("top") + 7).otherwise(F.col("top")), "text": F.when(wrong, (F.col("text").try_cast("decimal(18,2)") + 100).cast("string")).otherwise(F.col("text"))})
+    out = infer.infer_templates(words.drop("_last"))
     return out.select("doc_id", "status", F.get_json_object("template", "$.line_items.row_tol").cast("double").alias("row_tol"))
 
 
