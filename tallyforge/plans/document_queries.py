@@ -49,25 +49,6 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.explode(F.when(F.col("i") == 1, F.concat(body, frame)).otherwise(body)).alias("w")).select("doc_id", F.lit(1).alias("page_no"), "w.*")
 
 
-def statements_apart(spark: SparkSession, sf: str) -> DataFrame:
-    """The words of ``statements``, rows and frames dealt apart, as inference reads them."""
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = o.withColumn("i", F.row_number().over(order))
-    word = lambda no, text, x, top: F.struct(no.cast("int").alias("word_no"), text.cast("string").alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 30)).alias("x1"), top.cast("double").alias("top"))
-    at = F.col("i") * 12 + 60
-    n = F.lit(10) + F.col("i") * 3
-    body = rows.select("o_custkey", F.explode(F.array(word(n, F.lit("order"), 50, at), word(n + 1, F.concat(F.lit("#"), "o_orderkey"), 90, at), word(n + 2, F.col("price"), 300, at))).alias("w"))
-    ends = o.groupBy("o_custkey").agg(F.sum("price").alias("s"), F.count("*").alias("c"))
-    at, n = F.col("c") * 12 + 90, F.lit(20) + F.col("c") * 3
-    lit = lambda i, t, x, y: word(F.lit(i), F.lit(t), x, F.lit(y))
-    frame = ends.select("o_custkey", F.explode(F.array(
-        lit(0, "Statement", 50, 10), lit(1, "No", 90, 10), lit(2, ":", 122, 10), word(F.lit(3), F.concat(F.lit("C-"), "o_custkey"), 130, F.lit(10)), lit(4, "Description", 50, 60), lit(5, "Amount", 300, 60),
-        word(n, F.lit("Grand"), 200, at), word(n + 1, F.lit("Total"), 235, at), word(n + 2, F.col("s"), 300, at),
-    )).alias("w"))
-    return body.unionByName(frame).select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "w.*")
-
-
 def template_extract(spark, sf):
     words = statements(spark, sf).withColumn("template_id", F.lit("orders"))
     out = templates.to_invoices(templates.extract_documents(words, {"orders": TEMPLATE}))
