@@ -75,8 +75,8 @@ def printed_figures(lines: DataFrame) -> DataFrame:
 
 def printed_amounts(lines: Column) -> Column:
     """An array of lines -> those with an amount: their text in lower case, and the rightmost amount."""
-    rows = F.transform(F.filter(lines, lambda s: F.trim(s) != ""), lambda s: F.struct(F.lower(s).alias("low"), F.try_element_at(amounts(s), F.lit(-1)).alias("v")))
-    return F.filter(rows, lambda r: r["v"].isNotNull())
+    rows = F.transform(lines, lambda s: F.struct(s.alias("s"), F.try_element_at(amounts(s), F.lit(-1)).alias("v")))
+    return F.transform(F.filter(rows, lambda r: r["v"].isNotNull()), lambda r: F.struct(F.lower(r["s"]).alias("low"), r["v"].alias("v")))
 
 
 def _first_printed(rows: str, when) -> Column:

@@ -119,26 +119,29 @@ HEADERISH = ("customer", "order", "size", "pickup", "time", "qty", "qty.", "item
 LABEL_TAIL = r"(?i)\s+(invoice\s*(no|number|date)|bill\s*(no|number|date)|receipt\s*no|date|gstin|po\s*number|order\s*ref|tax\s*invoice)\b.*$"
 
 
-def _any(words: tuple[str, ...], start: str = "") -> str:
-    return f"{start}(?:{'|'.join(map(re.escape, words))})"
+def _any(holds, text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the words, as ``holds`` has it; words that another is part of need not be tried."""
+    least = [w for w in words if not any(o != w and o in w and (holds is F.contains or w.startswith(o)) for o in words)]
+    return reduce(lambda a, b: a | b, (holds(text, F.lit(w)) for w in least))
 
 
-def with_vendor_guess(docs: DataFrame) -> DataFrame:
+def with_vendor_guess(docs: DataFrame, lines: Column | None = None) -> DataFrame:
     """Adds vendor_guess: the line of ``text`` that looks like a supplier's name, or ''.
 
     First a line among the first 25 with a company suffix, without the label that may follow; then a plain
-    line among the first 15.
+    line among the first 15. ``lines`` are those of the text, where they are known; without any nothing is guessed.
     """
-    lines = F.filter(F.transform(F.split("text", LINE_END), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    split = F.split("text", LINE_END) if lines is None else lines
+    lines = F.filter(F.transform(split, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
     # lower case once a line: a lambda's expressions are not shared
     lowered = F.transform(F.slice(F.coalesce(lines, F.array().cast("array<string>")), 1, 25), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
     df = docs.withColumn("_lines", lowered)
 
     def unfit(x: Column) -> Column:
         hits = F.size(F.filter(F.split(x["low"], " "), lambda t: F.btrim(t, F.lit(":.")).isin(*HEADERISH)))
-        return x["low"].rlike(_any(SKIPPED, "^")) | ((hits >= 2) & (hits >= F.size(F.split(x["low"], " ")) / 2))
+        return _any(F.startswith, x["low"], SKIPPED) | ((hits >= 2) & (hits >= F.size(F.split(x["low"], " ")) / 2))
 
-    cleaned = F.transform(F.filter("_lines", lambda x: x["low"].rlike(_any(SUFFIXES)) & ~unfit(x)), lambda x: F.btrim(F.regexp_replace(x["s"], LABEL_TAIL, ""), F.lit(" -|,")))
+    cleaned = F.transform(F.filter("_lines", lambda x: _any(F.contains, x["low"], SUFFIXES) & ~unfit(x)), lambda x: F.btrim(F.regexp_replace(x["s"], LABEL_TAIL, ""), F.lit(" -|,")))
     one = F.get(F.filter(cleaned, lambda s: (F.length(s) > 3) & (F.length(s) <= 70)), F.lit(0))
     plain = F.filter(F.slice("_lines", 1, 15), lambda x: (F.length(x["s"]) >= 4) & (F.length(x["s"]) <= 70) & ~F.contains(x["s"], F.lit(":")) & ~x["s"].rlike(r"\d{2,}") & ~unfit(x))
     return df.withColumn("vendor_guess", F.coalesce(one, F.get(plain, F.lit(0))["s"], F.lit(""))).drop("_lines")
@@ -244,10 +247,13 @@ def fallback_fields(invoices: DataFrame) -> DataFrame:
     own first: a date within a date within an expression would be looked for again for every format of both.
     """
     t = F.coalesce("text", F.lit(""))
-    df = invoices.withColumns({"_found": first_match(t, DATE_LABELS), "_printed": printed_amounts(F.split(t, LINE_END))})
-    df = df.withColumn("_given", F.coalesce(F.nullif("invoice_date", F.lit("")), S.iso_date(F.col("_found"))))
-    df = with_vendor_guess(df).withColumns({
-        "invoice_number": F.coalesce(F.nullif("invoice_number", F.lit("")), first_match(t, NUMBER_LABELS)), "po_number": F.coalesce("po_number", first_match(t, ORDER_LABELS)), "invoice_date": S.dmy_date(F.col("_given")),
+    lacks = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    df = invoices.withColumns({"_found": F.when(lacks("invoice_date"), first_match(t, DATE_LABELS)), "_split": F.split(t, LINE_END)})
+    df = df.withColumns({"_spaced": S.one_spaced(F.col("_found")), "_printed": printed_amounts(F.col("_split"))})
+    df = df.withColumn("_given", F.coalesce(F.nullif("invoice_date", F.lit("")), S.iso_date(F.col("_found"), F.col("_spaced")))).withColumn("_spaced", S.one_spaced(F.col("_given")))
+    # a vendor is only guessed where there is none
+    df = with_vendor_guess(df, F.when(lacks("vendor"), F.col("_split"))).withColumns({
+        "invoice_number": F.coalesce(F.nullif("invoice_number", F.lit("")), first_match(t, NUMBER_LABELS)), "po_number": F.coalesce("po_number", first_match(t, ORDER_LABELS)), "invoice_date": S.dmy_date(F.col("_given"), F.col("_spaced")),
     })
     d = "decimal(18,2)"
     df = df.withColumns({"total": F.coalesce(F.col("total").cast(d), printed_total("_printed")), "subtotal": F.coalesce(F.col("subtotal").cast(d), printed_subtotal("_printed")), "vendor": F.coalesce(F.nullif("vendor", F.lit("")), "vendor_guess")})
